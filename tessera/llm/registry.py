@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("q01_sharding", "q02_warc", "q07_media")
+MODULES = ("q01_sharding", "q02_warc", "q07_media", "q08_bpe")
 
 QUERIES: dict = {}
 ORACLE: dict = {}
