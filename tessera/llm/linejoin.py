@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import sized, stored
 from tessera.llm.textblocks import LOWER, blocks, digests, mix, runs, words
 
-LINES = "doc_id long, line int, n int, hi long, lo long, inner int, skip int, prefix array<long>"
+LINES = "doc_id long, line int, n int, hi long, lo long, inner int, skip int, parity long, prefix array<long>"
 #: Words are counted in 2**SLOT_BITS slots by digest; any order of words is exact, and slots only make it near to rarity.
 SLOT_BITS, PARTS = 24, 64
 
@@ -33,9 +33,7 @@ def rarity(df: DataFrame, slot_bits: int = SLOT_BITS) -> np.ndarray:
         for batch in batches:
             for _, _, data, offsets in blocks(batch.column(0)):
                 start, end, _ = words(data, offsets)
-                total += np.bincount((digests(LOWER[data], start, end) >> np.uint64(64 - slot_bits)).astype(np.int64), minlength=1 << slot_bits).astype(np.uint32) if len(start) > 1 << 22 else 0
-                if len(start) <= 1 << 22:
-                    np.add.at(total, (digests(LOWER[data], start, end) >> np.uint64(64 - slot_bits)).astype(np.int64), np.uint32(1))
+                np.add.at(total, (digests(LOWER[data], start, end) >> np.uint64(64 - slot_bits)).astype(np.int64), np.uint32(1))
         slots = np.flatnonzero(total)
         for lo in range(0, len(slots), 1 << 16):
             part = slots[lo : lo + (1 << 16)]
@@ -58,7 +56,8 @@ def rarity(df: DataFrame, slot_bits: int = SLOT_BITS) -> np.ndarray:
 def line_sets(df: DataFrame, codes: np.ndarray, percent: int, least_words: int) -> DataFrame:
     """For every line of least_words distinct words or more: set size, a digest of 128 bits, the first line of the same
     text with the same set (inner, else null), and the digests of the prefix without its first `skip` words, which
-    occur once in the whole table and so match nothing."""
+    occur once in the whole table and so match nothing. Each word flips one of 64 bits of `parity`: lines that differ
+    in d words differ in d bits at most."""
     shared = df.sparkSession.sparkContext.broadcast(codes)
     bits = int(np.log2(len(codes)))
 
@@ -93,6 +92,9 @@ def line_sets(df: DataFrame, codes: np.ndarray, percent: int, least_words: int)
                 for i in (0, 1):
                     np.cumsum(mix(h, 201 + i), out=total[i, 1:])
                 upper, lower = (mix(t[begin + n] - t[begin]) for t in total)
+                flips = np.zeros(len(h) + 1, np.uint64)
+                np.bitwise_xor.accumulate(np.uint64(1) << (mix(h, 203) & np.uint64(63)), out=flips[1:])
+                parity = flips[begin + n] ^ flips[begin]
                 size = n - (percent * n + 99) // 100 + 1
                 size[n <= 3] = 0
                 seen = np.concatenate([[0], np.cumsum(code == 1)])
@@ -116,6 +118,7 @@ def line_sets(df: DataFrame, codes: np.ndarray, percent: int, least_words: int)
                         pa.array(lower.view(np.int64)),
                         pa.array(inner, pa.int32(), mask=inner < 0),
                         pa.array(skip, pa.int32()),
+                        pa.array(parity.view(np.int64)),
                         lists,
                     ],
                     names=[x.split()[0] for x in LINES.split(", ")],
@@ -125,15 +128,21 @@ def line_sets(df: DataFrame, codes: np.ndarray, percent: int, least_words: int)
 
 
 def candidates(reps: DataFrame, percent: int) -> DataFrame:
-    """Pairs of class representatives, the earlier first, that pass the prefix, size and positional filters."""
-    tokens = reps.select("doc_id", "line", "n", "skip", F.posexplode("prefix").alias("at", "token")).withColumn("at", F.col("at") + F.col("skip")).drop("skip")
-    x, y = tokens.alias("x"), tokens.alias("y")
+    """Pairs (x, y) of class digests that pass the prefix, size and positional filters and can't differ in too many
+    words by their parity bits. x has no more words than y. With p percent the first common word of x is among its
+    first 1 - 2p / (100 + p) part, that of y among its first 1 - p / 100 part."""
+    tokens = reps.select("hi", "n", "skip", "parity", F.posexplode("prefix").alias("at", "token"))
+    tokens = tokens.select("token", "hi", "parity", F.col("n").cast("long").alias("n"), (F.col("at") + F.col("skip")).cast("long").alias("at"))
+    small = tokens.filter(f"(n - at) * {100 + percent} >= 2 * {percent} * n")
+    packed = ["token", "hi", "parity", (F.shiftleft("n", 32) + F.col("at")).alias("n_at")]
+    x, y = small.select(packed).alias("x"), tokens.select(packed).alias("y")
+    nx, ny, ax, ay = "shiftright(x.n_at, 32)", "shiftright(y.n_at, 32)", "(x.n_at & 4294967295)", "(y.n_at & 4294967295)"
     both = F.expr(
-        "x.token = y.token AND (x.doc_id < y.doc_id OR (x.doc_id = y.doc_id AND x.line < y.line))"
-        f" AND 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"
-        f" AND (1 + least(x.n - x.at, y.n - y.at) - 1) * {100 + percent} >= {percent} * (x.n + y.n)"
+        f"x.token = y.token AND ({nx} < {ny} OR ({nx} = {ny} AND x.hi < y.hi)) AND 100 * {nx} >= {percent} * {ny}"
+        f" AND least({nx} - {ax}, {ny} - {ay}) * {100 + percent} >= {percent} * ({nx} + {ny})"
+        f" AND bit_count(x.parity ^ y.parity) * {100 + percent} <= {100 - percent} * ({nx} + {ny})"
     )
-    return x.join(y, both).select("x.doc_id", "x.line", F.col("y.doc_id").alias("doc_id_y"), F.col("y.line").alias("line_y")).distinct()
+    return x.join(y, both).select(F.col("x.hi").alias("x"), F.col("y.hi").alias("y")).distinct()
 
 
 def matches(df: DataFrame, percent: int = 80, least_words: int = 5) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -143,20 +152,20 @@ def matches(df: DataFrame, percent: int = 80, least_words: int = 5) -> tuple[Dat
     classes = lines.filter("inner IS NULL").groupBy("hi", "lo").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_doc"), F.min_by("line", "doc_id").alias("first_line"))
     classes = stored(classes.filter("copies > 1"), "line-classes")
     known = lines.filter("inner IS NULL").join(sized(classes.select("hi", "lo", "first_doc")), ["hi", "lo"], "left")
-    reps = known.filter("first_doc IS NULL OR first_doc = doc_id").filter("size(prefix) > 0").select("doc_id", "line", "n", "skip", "prefix")
-    pairs = stored(candidates(reps, percent), "line-pairs")
-    ends = pairs.select("doc_id", "line").union(pairs.select("doc_id_y", "line_y")).distinct()
-    ends = stored(ends, "line-ends")
+    reps = known.filter("first_doc IS NULL OR first_doc = doc_id")
+    pairs = stored(candidates(reps.filter("size(prefix) > 0").select("hi", "n", "skip", "parity", "prefix"), percent), "line-pairs")
+    ends = stored(pairs.select(F.col("x").alias("hi")).union(pairs.select("y")).distinct(), "line-ends")
+    ends = stored(reps.select("hi", "doc_id", "line").join(sized(ends), "hi", "left_semi"), "line-places")
     texts = df.select(F.col("doc_id").cast("long"), "text").join(sized(ends.select("doc_id").distinct()), "doc_id", "left_semi")
-    texts = texts.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "body")).join(sized(ends), ["doc_id", "line"], "left_semi")
+    texts = texts.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "body")).join(sized(ends), ["doc_id", "line"])
     lower = F.translate("body", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    sets = texts.select("doc_id", "line", F.array_distinct(F.filter(F.split(lower, r"[\x20\x09-\x0D]+"), lambda w: w != "")).alias("words")).distinct()
+    sets = texts.select("hi", F.struct("doc_id", "line").alias("place"), F.array_distinct(F.filter(F.split(lower, r"[\x20\x09-\x0D]+"), lambda w: w != "")).alias("words"))
     sets = stored(sets, "line-words")
-    joined = pairs.join(sets, ["doc_id", "line"]).withColumnRenamed("words", "words_x")
-    joined = joined.join(sets.select(F.col("doc_id").alias("doc_id_y"), F.col("line").alias("line_y"), F.col("words").alias("words_y")), ["doc_id_y", "line_y"])
-    common = F.size(F.array_intersect("words_x", "words_y"))
-    good = 100 * common >= percent * (F.size("words_x") + F.size("words_y") - common)
-    links = stored(joined.filter(good).select("doc_id", "line", "doc_id_y", "line_y"), "line-links")
+    joined = pairs.join(sets.select(F.col("hi").alias("x"), F.col("place").alias("a"), F.col("words").alias("words_a")), "x")
+    joined = joined.join(sets.select(F.col("hi").alias("y"), F.col("place").alias("b"), F.col("words").alias("words_b")), "y")
+    common = F.size(F.array_intersect("words_a", "words_b"))
+    good = joined.filter(100 * common >= percent * (F.size("words_a") + F.size("words_b") - common)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    links = stored(good.select("a.doc_id", "a.line", F.col("b.doc_id").alias("doc_id_y"), F.col("b.line").alias("line_y")), "line-links")
     return lines, classes, links
 
 
