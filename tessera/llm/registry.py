@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("q01_sharding", "q02_warc", "q03_linejoin", "q05_minhash", "q06_passages", "q07_media", "q08_bpe")
+MODULES = ("q01_sharding", "q02_warc", "q03_linejoin", "q04_quality", "q05_minhash", "q06_passages", "q07_media", "q08_bpe", "q10_decontaminate")
 
 QUERIES: dict = {}
 ORACLE: dict = {}
