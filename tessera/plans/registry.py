@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("observe", "describe", "sequences")
+MODULES = ("observe", "describe", "sequences", "evaluation")
 
 QUERIES: dict = {}
 ORACLE: dict = {}

@@ -291,7 +291,7 @@ def rolling_indicators(spark, sf):
 ROLLING = f"""WITH {U}, {SERIES}, l AS (SELECT *, lag(n) OVER (PARTITION BY kind ORDER BY bin) AS b FROM s),
 r AS (SELECT kind, bin, n, count(*) OVER w AS c, var_samp(n) OVER w AS v, corr(n, b) OVER x AS a, regr_slope(n, bin) OVER w AS sl FROM l
   WINDOW w AS (PARTITION BY kind ORDER BY bin ROWS BETWEEN 47 PRECEDING AND CURRENT ROW), x AS (PARTITION BY kind ORDER BY bin ROWS BETWEEN 46 PRECEDING AND CURRENT ROW))
-SELECT kind, bin, n, round(CASE WHEN c = 48 THEN v END, 6) AS variance, round(CASE WHEN c = 48 THEN a END, 6) AS ar1, round(CASE WHEN c = 48 THEN sl END, 6) AS slope FROM r"""
+SELECT kind, bin, n, round(CASE WHEN c = 48 THEN v END, 6) AS variance, round(CASE WHEN c = 48 THEN a END, 6) + 0.0::DOUBLE AS ar1, round(CASE WHEN c = 48 THEN sl END, 6) + 0.0::DOUBLE AS slope FROM r"""
 
 
 def trailing_entropy(spark, sf):
