@@ -142,24 +142,20 @@ def pagerank(e: DataFrame, iterations: int = 20, alpha: float = 0.85) -> DataFra
     return ranks
 
 
-def core_numbers(pairs: DataFrame, most: int = 10_000) -> DataFrame:
-    """(v, core): each turn takes away the nodes of least degree left, up to the current core, until none is left."""
-    left = stored(pairs, "core-pairs")
-    done, k = None, 1
-    while k <= most and not left.isEmpty():
-        d = degrees(left)
-        gone = stored(d.filter(F.col("degree") <= k).select("v"), "core-gone")
-        if gone.isEmpty():
-            k = max(k + 1, d.agg(F.min("degree")).first()[0])
-            continue
-        rest = left.join(gone.withColumnRenamed("v", "a"), "a", "left_anti").join(gone.withColumnRenamed("v", "b"), "b", "left_anti")
-        rest = stored(rest.select("a", "b"), "core-pairs")
-        # nodes that lose their last neighbours in this turn have the same core
-        alone = both_ways(left).select("v").distinct().join(both_ways(rest).select("v").distinct(), "v", "left_anti") if not rest.isEmpty() else both_ways(left).select("v").distinct()
-        layer = stored(alone.withColumn("core", F.lit(k)), "core-layer")
-        done = layer if done is None else done.unionByName(layer)
-        left = rest
-    return done
+def core_numbers(pairs: DataFrame) -> DataFrame:
+    """(v, core), by repeated h-indices: a node's value becomes the largest h such that h of its neighbours have h or
+    more, from its degree down until nothing changes. Neighbours are counted by value before they are ranked, so that a
+    hub needs no list of them."""
+    both = stored(both_ways(pairs), "core-edges")
+    cores = stored(both.groupBy("v").agg(F.count("*").alias("core")), "core-values")
+    down = Window.partitionBy("v").orderBy(F.desc("seen")).rowsBetween(Window.unboundedPreceding, 0)
+    while True:
+        counts = both.join(cores.select(F.col("v").alias("u"), F.col("core").alias("seen")), "u").groupBy("v", "seen").agg(F.count("*").alias("n"))
+        h = counts.withColumn("upto", F.sum("n").over(down)).groupBy("v").agg(F.max(F.least("upto", "seen")).alias("h"))
+        moved = stored(cores.join(h, "v").select("v", F.col("core").alias("was"), F.least("core", "h").alias("core")), "core-values")
+        if moved.filter("core <> was").isEmpty():
+            return moved.select("v", "core")
+        cores = moved.select("v", "core")
 
 
 def components(pairs: DataFrame) -> DataFrame:
