@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("observe", "describe", "sequences", "evaluation", "ingest")
+MODULES = ("observe", "describe", "sequences", "evaluation", "ingest", "forecasts")
 
 QUERIES: dict = {}
 ORACLE: dict = {}

@@ -17,7 +17,7 @@ def test_equals_sql(spark, duck, data, name):
 
 
 def test_every_query_has_sql_or_a_test_here():
-    assert set(registry.QUERIES) - set(registry.ORACLE) == {"drift_detection", "adwin_changes", "near_duplicate_rows", "bounded_windows", "core_numbers"}
+    assert set(registry.QUERIES) - set(registry.ORACLE) == {"drift_detection", "adwin_changes", "near_duplicate_rows", "bounded_windows", "core_numbers", "logistic_detector"}
 
 
 def _series(spark, data, value):
@@ -103,3 +103,23 @@ def test_near_duplicate_rows(spark):
     many = spark.range(500).selectExpr("id", "100 + id * 0.001 AS x", "5.0D AS y", "'a' AS c")
     linked = near_duplicate_rows(many, "id", ["x", "y"], ["c"], rows=2)
     assert linked.count() <= 24 * 4 * 500 and linked.selectExpr("explode(array(a, b)) AS v").distinct().count() == 500
+
+
+def test_logistic_finds_a_plain_rule(spark):
+    from tessera.operators.forecast import hazard_model, isotonic, logistic
+
+    df = spark.range(2000).selectExpr("CAST(id % 20 AS DOUBLE) AS x", "CASE WHEN id % 7 = 0 THEN NULL ELSE CAST(id % 3 AS DOUBLE) END AS z", "CAST(id % 20 >= 10 AS DOUBLE) AS y")
+    out = logistic(df, ["x", "z"], "y").transform(df)
+    assert out.filter("prediction = y").count() > 1900
+    three = df.selectExpr("x", "CAST(floor(x / 7) AS DOUBLE) AS y")
+    assert logistic(three, ["x"], "y", multinomial=True).transform(three).filter("prediction = y").count() > 1700
+    waits = spark.range(900).selectExpr("CAST(id % 2 AS DOUBLE) AS x", "CASE WHEN id % 2 = 1 THEN 1 + id % 3 ELSE 6 + id % 3 END AS step", "true AS event")
+    model = hazard_model(waits, ["x"], "step", "event", 10)
+    assert model.stages[-1].coefficients[0] > 0
+    steps = isotonic(spark.createDataFrame([(0.1, 0), (0.2, 1), (0.3, 0), (0.4, 1)], "s double, y int"), "s", "y").orderBy("score").collect()
+    assert [round(r.chance, 9) for r in steps] == [0.0, 0.5, 0.5, 1.0]
+
+
+def test_logistic_detector_ranks_held_out_years(spark, data):
+    rows = registry.QUERIES["logistic_detector"](spark, data).collect()
+    assert rows and all(r.positives > 0 and 0.3 < r.auroc < 0.7 for r in rows)  # flags don't depend on the features here
