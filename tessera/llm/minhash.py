@@ -19,8 +19,12 @@ from tessera.llm.common import sized, stored
 from tessera.llm.graphs import components
 from tessera.llm.textblocks import LOWER, blocks, digests, mix, words
 
-BINS, ROWS = 128, 4
-SIGNED = "doc_id long, n_shingles long, hi long, lo long, bands array<long>"
+BINS, ROWS = 200, 5
+#: One bit of each of the first 192 coordinates. At a similarity of 0.8 a bit differs with a chance of 0.1, so that more
+#: than 48 of 192 differ with a chance below 1e-9; at 0.3 one pair in five hundred gets through.
+BITS, MOST_BITS = 192, 48
+SIGNED = "doc_id long, n_shingles long, hi long, lo long, s0 long, s1 long, s2 long, bands array<long>"
+BIT_COLUMNS = ("s0", "s1", "s2")
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -85,13 +89,15 @@ def signed(df: DataFrame, k: int) -> DataFrame:
                 for i in (0, 1):
                     np.cumsum(mix(s, 101 + i), out=total[i, 1:])
                 upper, lower = (mix(t[first[1:]] - t[first[:-1]]) for t in total)
-                bands = sketch(s, first).reshape(hi - lo, BINS // ROWS, ROWS)
+                coordinates = sketch(s, first)
+                bits = np.packbits((mix(coordinates[:, :BITS], 11) & np.uint64(1)).astype(bool), axis=1).view(np.int64)
+                bands = coordinates.reshape(hi - lo, BINS // ROWS, ROWS)
                 key = np.broadcast_to(np.arange(BINS // ROWS, dtype=np.uint64), bands.shape[:2]).copy()
                 for i in range(ROWS):
                     key = mix(key * np.uint64(0x9E3779B97F4A7C15) + bands[:, :, i])
                 lists = pa.ListArray.from_arrays(np.arange(hi - lo + 1, dtype=np.int32) * (BINS // ROWS), key.reshape(-1).view(np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(upper.view(np.int64)), pa.array(lower.view(np.int64)), lists],
+                    [batch.column(0).slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(upper.view(np.int64)), pa.array(lower.view(np.int64)), *(pa.array(bits[:, i]) for i in range(3)), lists],
                     names=[x.split()[0] for x in SIGNED.split(", ")],
                 )
 
@@ -125,7 +131,7 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
     return joined.mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rounds: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rounds: int = 2) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of docs.
 
     Words are runs of bytes other than ASCII white space, A-Z lower case; a set holds the distinct shingles of k words,
@@ -134,36 +140,39 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rounds: int
     node. A row without doc_id is linked with nothing: its component_id is null, and it is kept.
 
     Texts with equal sets are one class; its smallest doc_id stands for it. At a similarity of 0.8 a pair shares a bucket
-    but for a chance of 5e-8. In each bucket every class is compared with a hub; then, for `rounds` times, classes of
+    but for a chance of 2e-7. Pairs whose sketches differ in too many bits are left out (see MOST_BITS).
+    In each bucket every class is compared with a hub; then, for `rounds` times, classes of
     buckets with several components with another hub; what is still apart is compared pair by pair across components.
     """
     marks = stored(signed(docs, k), "minhash")
+    bits = list(BIT_COLUMNS)
     real = marks.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = real.groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     classes = stored(classes, "minhash-classes")
     several = sized(stored(classes.filter("copies > 1").select("hi", "lo", "rep"), "minhash-several"))
     member = real.select("doc_id", "hi", "lo").join(several, ["hi", "lo"]).select("doc_id", "rep")
     copies = stored(member.filter("doc_id <> rep").distinct(), "minhash-copies")
-    reps = real.join(sized(copies.select("doc_id")), "doc_id", "left_anti").select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
+    reps = real.join(sized(copies.select("doc_id")), "doc_id", "left_anti").select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), *bits, F.explode("bands").alias("key"))
     shared = reps.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("far")).filter("hub <> far").drop("far")
     shared = stored(shared, "minhash-shared")
-    placed = stored(reps.join(sized(shared), "key").select("key", "rep", "n", "hub"), "minhash-placed")
-    sizes = placed.select(F.col("rep").alias("b"), F.col("n").alias("n_b")).distinct()
-    close = F.expr(f"100 * least(n, n_b) >= {percent} * greatest(n, n_b)")
-    pairs = placed.filter("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b"), "n").distinct()
-    tried = stored(pairs.join(sizes, "b").filter(close).select("a", "b"), "minhash-pairs")
+    placed = stored(reps.join(sized(shared), "key").select("key", "rep", "n", *bits, "hub"), "minhash-placed")
+    hubs = placed.filter("rep = hub").select(F.col("rep").alias("b"), F.col("n").alias("n_b"), *(F.col(c).alias(f"{c}_b") for c in bits)).distinct()
+    differ = " + ".join(f"bit_count({c} ^ {c}_b)" for c in bits)
+    close = F.expr(f"100 * least(n, n_b) >= {percent} * greatest(n, n_b) AND {differ} <= {MOST_BITS}")
+    pairs = placed.filter("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b"), "n", *bits).distinct()
+    tried = stored(pairs.join(hubs, "b").filter(close).select("a", "b"), "minhash-pairs")
     edges = [stored(verified(tried, docs, k, percent), "minhash-edges")]
     for turn in range(rounds + 1):
         labels = components(reduce(DataFrame.union, edges))
-        rows = placed.select("key", "rep", "n").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        rows = placed.select("key", "rep", "n", *bits).join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
         split = rows.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 <> c1").select("key")
         rows = stored(rows.join(split, "key"), "minhash-apart")
         if rows.isEmpty():
             break
-        right = rows.select("key", F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("c_b"))
+        right = rows.select("key", F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("c_b"), *(F.col(c).alias(f"{c}_b") for c in bits))
         if turn < rounds:
-            hubs = rows.groupBy("key").agg(F.min_by(F.struct("rep", "n", "component"), F.xxhash64("rep", F.lit(turn))).alias("h"))
-            right = hubs.select("key", F.col("h.rep").alias("b"), F.col("h.n").alias("n_b"), F.col("h.component").alias("c_b"))
+            hubs = rows.groupBy("key").agg(F.min_by(F.struct("rep", "n", "component", *bits), F.xxhash64("rep", F.lit(turn))).alias("h"))
+            right = hubs.select("key", F.col("h.rep").alias("b"), F.col("h.n").alias("n_b"), F.col("h.component").alias("c_b"), *(F.col(f"h.{c}").alias(f"{c}_b") for c in bits))
             apart = F.col("component") != F.col("c_b")
         else:
             apart = F.col("component") < F.col("c_b")
