@@ -3,7 +3,7 @@
 Every line is its set of words. Words are ordered by rarity over the whole table, so that the first few of a line (its
 prefix) are rare; two lines of Jaccard similarity t share a word of their prefixes, have sizes within t of each other,
 and have enough words left after their first common one. Candidates that pass these filters are compared on all their
-words. Equal sets are one class, which is joined once.
+words, each as a digest of 64 bits. Equal sets are one class, which is joined once.
 """
 
 from __future__ import annotations
@@ -159,7 +159,7 @@ def matches(df: DataFrame, percent: int = 80, least_words: int = 5) -> tuple[Dat
     texts = df.select(F.col("doc_id").cast("long"), "text").join(sized(ends.select("doc_id").distinct()), "doc_id", "left_semi")
     texts = texts.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "body")).join(sized(ends), ["doc_id", "line"])
     lower = F.translate("body", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    sets = texts.select("hi", F.struct("doc_id", "line").alias("place"), F.array_distinct(F.filter(F.split(lower, r"[\x20\x09-\x0D]+"), lambda w: w != "")).alias("words"))
+    sets = texts.select("hi", F.struct("doc_id", "line").alias("place"), F.array_distinct(F.transform(F.filter(F.split(lower, r"[\x20\x09-\x0D]+"), lambda w: w != ""), lambda w: F.xxhash64(w))).alias("words"))
     sets = stored(sets, "line-words")
     joined = pairs.join(sets.select(F.col("hi").alias("x"), F.col("place").alias("a"), F.col("words").alias("words_a")), "x")
     joined = joined.join(sets.select(F.col("hi").alias("y"), F.col("place").alias("b"), F.col("words").alias("words_b")), "y")
