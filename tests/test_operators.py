@@ -161,3 +161,39 @@ def test_entry_and_names(spark):
 
     assert set(e.oracle_sql()) <= set(e.queries())
     assert e.entry(spark).columns[:2] == ["kind", "bin"]
+
+
+def _joined(pairs):
+    """Node -> smallest node of its component, by union-find."""
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    return {v: find(v) for v in list(root)}
+
+
+@pytest.mark.parametrize("least", [0.95, 0.6])
+def test_large_buckets_lose_no_component(spark, least):
+    from math import log1p
+
+    from tessera.operators.dedup import near_duplicate_groups, near_duplicate_rows
+
+    # `flat` is the one banded column, so that all rows share one bucket of over 64; only close pairs of x are similar
+    flat = ("x", "y", "c")[__import__("random").Random(0).choice(range(3))]
+    data = []
+    for i in range(400):
+        spread = 1.3 ** (i // 2) * (1.04 if i % 2 else 1.0)
+        data.append((i, spread if flat != "x" else 5.0, spread if flat == "x" else 5.0 + i % 2 * 0.01, str(i // 4) if flat != "c" else "a"))
+    df = spark.createDataFrame(data, "id long, x double, y double, c string")
+    like = lambda p, q: (abs(log1p(p[1]) - log1p(q[1])) <= 0.05) + (abs(log1p(p[2]) - log1p(q[2])) <= 0.05) + (p[3] == q[3])
+    want = {(p[0], q[0]) for p in data for q in data if p[0] < q[0] and like(p, q) / 3 >= least}
+    how = {"bands": 1, "rows": 1, "least": least}
+    got = {tuple(r) for r in near_duplicate_rows(df, "id", ["x", "y"], ["c"], **how).collect()}
+    assert want and got <= want
+    assert {r.id: r.component for r in near_duplicate_groups(df, "id", ["x", "y"], ["c"], **how).collect()} == _joined(want)
