@@ -74,9 +74,10 @@ def category_codes(df: DataFrame, column: str, least: int, most: int) -> DataFra
     return top.withColumn("code", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("n"), column)))
 
 
-def paths(df: DataFrame, by: list[str], order: list[str], letter: str, most: int) -> DataFrame:
-    """The last `most` states of each group in order, as a string of single letters."""
+def paths(df: DataFrame, by: list[str], order: list[str], letter: str, most: int | None = None) -> DataFrame:
+    """The states of each group in order (the last `most` of them, where given), as a string of single letters."""
     w = Window.partitionBy(*by).orderBy(*(F.desc(c) for c in order))
-    last = df.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") <= most)
+    last = df.withColumn("__r", F.row_number().over(w))
+    last = last if most is None else last.filter(F.col("__r") <= most)
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("__r")).alias("i"), F.col(letter).alias("l")))), lambda s: s["l"]), "")
     return last.groupBy(*by).agg(joined.alias("path"))

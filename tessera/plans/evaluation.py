@@ -169,6 +169,16 @@ COMPONENTS = """WITH RECURSIVE p AS (SELECT DISTINCT l_orderkey AS a, l_partkey
 r(v, c) AS (SELECT v, v FROM w UNION SELECT w.u, r.c FROM r JOIN w ON w.v = r.v) SELECT v, min(c) AS component FROM r GROUP BY v"""
 
 
+def whole_graph_components(spark, sf):
+    """Components of the orders and parts of every line item."""
+    li = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o"), (-1 - F.col("l_partkey")).alias("p"))
+    return graph.components(graph.undirected(graph.edges(li, "o", "p")))
+
+
+WHOLE_COMPONENTS = """WITH RECURSIVE p AS (SELECT DISTINCT l_orderkey AS a, -1 - l_partkey AS b FROM lineitem), w AS (SELECT a AS v, b AS u FROM p UNION ALL SELECT b, a FROM p),
+r(v, c) USING KEY (v) AS (SELECT DISTINCT v, v FROM w UNION SELECT w.u, min(r.c) FROM r JOIN w ON w.v = r.v JOIN recurring.r AS o ON o.v = w.u WHERE r.c < o.c GROUP BY w.u) SELECT v, c AS component FROM r"""
+
+
 def modularity(spark, sf):
     n = table(spark, sf, "nation").select(F.col("n_nationkey").alias("v"), F.col("n_regionkey").alias("community"))
     return _r(graph.modularity(graph.undirected(_nations(spark, sf)), n), [], "q")
@@ -387,13 +397,13 @@ SELECT y, support, round(tp / said, 6) AS precision, round(tp / support, 6) AS r
 
 QUERIES = {f.__name__: f for f in (
     degree_ccdf, triangles_clustering, clustering_summary, triad_census, dyads, assortativity, attribute_assortativity, multiplex_overlap, layer_jaccard, participation, contact_minmax, pagerank_fixed,
-    core_numbers, graph_components, modularity, auroc_midrank, pr_curve, auroc_delong, operating_point_fpr, max_f1_threshold, youden_threshold, conformal_threshold, partial_auroc, binary_rates,
+    core_numbers, graph_components, whole_graph_components, modularity, auroc_midrank, pr_curve, auroc_delong, operating_point_fpr, max_f1_threshold, youden_threshold, conformal_threshold, partial_auroc, binary_rates,
     reliability_table, calibration_error, brier_decomposition, kaplan_meier, harrell_c, life_table, wilcoxon_signed_rank, mcnemar, cliffs_delta, friedman_ranks, bootstrap_mean, stage_confusion,
 )}
 ORACLE = {
     "degree_ccdf": DEGREE_CCDF, "triangles_clustering": TRIANGLES_CLUSTERING, "clustering_summary": CLUSTERING_SUMMARY, "triad_census": TRIAD_CENSUS, "dyads": DYADS, "assortativity": ASSORTATIVITY,
     "attribute_assortativity": ATTRIBUTE, "multiplex_overlap": MULTIPLEX, "layer_jaccard": LAYER_JACCARD, "participation": PARTICIPATION, "contact_minmax": CONTACT, "pagerank_fixed": PAGERANK,
-    "graph_components": COMPONENTS, "modularity": MODULARITY, "auroc_midrank": AUROC, "pr_curve": PR_CURVE, "auroc_delong": DELONG, "operating_point_fpr": OPERATING, "max_f1_threshold": MAX_F1,
+    "graph_components": COMPONENTS, "whole_graph_components": WHOLE_COMPONENTS, "modularity": MODULARITY, "auroc_midrank": AUROC, "pr_curve": PR_CURVE, "auroc_delong": DELONG, "operating_point_fpr": OPERATING, "max_f1_threshold": MAX_F1,
     "youden_threshold": YOUDEN, "conformal_threshold": CONFORMAL, "partial_auroc": PARTIAL, "binary_rates": RATES, "reliability_table": RELIABILITY, "calibration_error": CALIBRATION,
     "brier_decomposition": BRIER, "kaplan_meier": KAPLAN_MEIER, "harrell_c": HARRELL, "life_table": LIFE_TABLE, "wilcoxon_signed_rank": WILCOXON, "mcnemar": MCNEMAR, "cliffs_delta": CLIFF,
     "friedman_ranks": FRIEDMAN, "bootstrap_mean": BOOTSTRAP, "stage_confusion": CONFUSION,

@@ -92,6 +92,17 @@ PATHS = f"""WITH {U}, r AS (SELECT entity, substr(kind, 1, 1) AS l, row_number()
 SELECT a.entity, a.path, levenshtein(a.path, b.path)::BIGINT AS distance FROM p a JOIN p b ON b.entity = a.entity + 1"""
 
 
+def whole_path_distance(spark, sf):
+    """Edit distance between the whole paths of each user and of the next user."""
+    p = en.paths(updates(spark, sf).withColumn("l", F.substring("kind", 1, 1)), ["entity"], ["us", "seq"], "l")
+    q = p.select((F.col("entity") - 1).alias("entity"), F.col("path").alias("other"))
+    return p.join(q, "entity").select("entity", "path", F.levenshtein("path", "other").cast("bigint").alias("distance"))
+
+
+WHOLE_PATHS = f"""WITH {U}, p AS (SELECT entity, string_agg(substr(kind, 1, 1), '' ORDER BY us, seq) AS path FROM u GROUP BY 1)
+SELECT a.entity, a.path, levenshtein(a.path, b.path)::BIGINT AS distance FROM p a JOIN p b ON b.entity = a.entity + 1"""
+
+
 def horizon_scores(spark, sf):
     """Forecasts of an event within 12 steps, from a constant hazard by user; some rows are censored."""
     u = updates(spark, sf)
@@ -166,11 +177,11 @@ def logistic_detector(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    entity_table, relation_table, state_changes, silences, patient_zero, host_windows, log_time_cells, category_codes, path_distance, horizon_scores, weighted_quantile, upper_tail_mean, periodogram,
+    entity_table, relation_table, state_changes, silences, patient_zero, host_windows, log_time_cells, category_codes, path_distance, whole_path_distance, horizon_scores, weighted_quantile, upper_tail_mean, periodogram,
     smoothed_series, standardised, ridge_coefficients, logistic_detector,
 )}
 ORACLE = {
     "entity_table": ENTITY, "relation_table": RELATION, "state_changes": CHANGES, "silences": SILENCES, "patient_zero": PATIENT_ZERO, "host_windows": HOSTS, "log_time_cells": CELLS,
-    "category_codes": CODES, "path_distance": PATHS, "horizon_scores": HORIZON, "weighted_quantile": WEIGHTED, "upper_tail_mean": TAIL_MEAN, "periodogram": PERIODOGRAM, "smoothed_series": SMOOTHED,
+    "category_codes": CODES, "path_distance": PATHS, "whole_path_distance": WHOLE_PATHS, "horizon_scores": HORIZON, "weighted_quantile": WEIGHTED, "upper_tail_mean": TAIL_MEAN, "periodogram": PERIODOGRAM, "smoothed_series": SMOOTHED,
     "standardised": STANDARDISED, "ridge_coefficients": RIDGE,
 }

@@ -197,3 +197,13 @@ def test_large_buckets_lose_no_component(spark, least):
     got = {tuple(r) for r in near_duplicate_rows(df, "id", ["x", "y"], ["c"], **how).collect()}
     assert want and got <= want
     assert {r.id: r.component for r in near_duplicate_groups(df, "id", ["x", "y"], ["c"], **how).collect()} == _joined(want)
+
+
+def test_components_and_paths_take_every_row(spark, data, duck):
+    from tessera.plans import registry
+
+    pairs = duck.execute("SELECT DISTINCT l_orderkey, -1 - l_partkey FROM lineitem").fetchall()
+    assert {r.v: r.component for r in registry.QUERIES["whole_graph_components"](spark, data).collect()} == _joined(pairs)
+    lengths = dict(duck.execute("SELECT user_id, count(*) FROM events GROUP BY 1").fetchall())
+    got = {r.entity: len(r.path) for r in registry.QUERIES["whole_path_distance"](spark, data).collect()}
+    assert got == {k: n for k, n in lengths.items() if k + 1 in lengths} and max(got.values()) > 30
