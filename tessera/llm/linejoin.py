@@ -96,7 +96,7 @@ def line_sets(df: DataFrame, codes: np.ndarray, percent: int, least_words: int)
                 np.bitwise_xor.accumulate(np.uint64(1) << (mix(h, 203) & np.uint64(63)), out=flips[1:])
                 parity = flips[begin + n] ^ flips[begin]
                 size = n - (percent * n + 99) // 100 + 1
-                size[n <= 3] = 0
+                size[100 * n < percent * (n + 1)] = 0  # only equal sets match, and those are classes already
                 seen = np.concatenate([[0], np.cumsum(code == 1)])
                 skip = np.minimum(size, seen[begin + size] - seen[begin])
                 left = size - skip

@@ -6,10 +6,8 @@ from tessera.llm.common import table
 from tessera.llm.linejoin import later_lines
 
 
-def op3_line_dedup(spark, sf_dir):
-    """One row per document: how many of its lines go, which, and the documents whose lines they repeat."""
-    docs = table(spark, sf_dir, "documents")
-    gone = later_lines(docs).groupBy("doc_id").agg(
+def _removed(docs, gone):
+    gone = gone.groupBy("doc_id").agg(
         F.count("*").alias("n_removed"), F.sort_array(F.collect_list(F.col("line").cast("long"))).alias("removed"), F.min("match_doc_id").alias("first_match")
     )
     rows = docs.select("doc_id", F.when(F.length("text") > 0, F.size(F.split("text", "\n"))).otherwise(0).cast("long").alias("n_lines"))
@@ -18,5 +16,17 @@ def op3_line_dedup(spark, sf_dir):
     return rows.select("doc_id", "n_lines", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("removed", empty).alias("removed"), "first_match")
 
 
-QUERIES = {"op3_line_dedup": op3_line_dedup}
+def op3_line_dedup(spark, sf_dir):
+    """One row per document: how many of its lines go, which, and the documents whose lines they repeat."""
+    docs = table(spark, sf_dir, "documents")
+    return _removed(docs, later_lines(docs))
+
+
+def op3_line_dedup_short(spark, sf_dir):
+    """The same, with lines of one word or more."""
+    docs = table(spark, sf_dir, "documents")
+    return _removed(docs, later_lines(docs, least_words=1))
+
+
+QUERIES = {"op3_line_dedup": op3_line_dedup, "op3_line_dedup_short": op3_line_dedup_short}
 ORACLE = {}

@@ -138,6 +138,18 @@ def test_lines_of_awkward_rows(spark):
     assert linejoin.later_lines(spark.createDataFrame([(None, line), (None, line)], "doc_id long, text string")).collect() == []
 
 
+def test_short_lines_equal_all_pairs(spark, data, docs):
+    want = brute_lines(docs, least=1)
+    got = {r.doc_id: list(r.removed) for r in registry.QUERIES["op3_line_dedup_short"](spark, data).collect()}
+    assert got == {i: sorted(want[i]) for i in docs} and got != {i: sorted(x) for i, x in brute_lines(docs).items()}
+    texts = ["one two three\nRead more\nz", "Read more\none two four\nread  MORE\none two", "z\na b c d\n\nthree two one", "a b c"]
+    for percent in (50, 66, 75, 80, 100):
+        got = defaultdict(dict)
+        for r in linejoin.later_lines(frame(spark, texts, "line"), percent, 1).collect():
+            got[r.doc_id][r.line] = (r.match_doc_id, r.match_line)
+        assert got == brute_lines(dict(enumerate(texts)), percent, 1)
+
+
 def test_n_chars_follows_the_text(spark):
     line = "one two three four five six"
     df = spark.createDataFrame([(1, line, 27), (2, line + "\nété", 31)], "doc_id long, text string, n_chars long")
