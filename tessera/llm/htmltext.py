@@ -33,7 +33,9 @@ BLOCK_TAGS = frozenset(
     head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody tfoot thead title tr ul""".split()
 )
 RAW = frozenset("script style noscript template svg math iframe object canvas textarea title xmp noembed noframes".split())
-NEVER = frozenset("nav footer aside form menu dialog button select datalist search".split())
+#: Those that take all that follows, up to the end of the page, if they aren't closed.
+SWALLOWS = frozenset("script style iframe textarea title xmp noembed noframes".split())
+NEVER = frozenset("nav footer aside menu dialog button select datalist search".split())
 HELD = BLOCK_TAGS - frozenset("p hr li dt dd h1 h2 h3 h4 h5 h6 option optgroup legend".split()) | frozenset(["a", "span", "button", "select", "datalist"])
 ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar form".split())
 _KIND = (
@@ -44,6 +46,7 @@ _KIND = (
 )
 _BOILER = re.compile(rf"(?:(?:site|page|main|top|bottom|left|right|global|primary|secondary|user|reader|header|footer|js|block|google|post|entry|article)[-_])*(?:{_KIND})(?:[-_]\w[\w-]*|\d*)?", re.I)
 _ENDS = re.compile(rf"(?!(?:has|with|without|no|not|is)[-_])[\w-]+[-_](?:{_KIND})", re.I)
+_FORM = re.compile(r"(?:(?:main|page|site|aspnet)[-_]?)?form\d*", re.I)
 _TITLE = re.compile(r"(?:[\w-]+[-_])?header(?:[-_][\w-]*)?", re.I)
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]*))?")
@@ -61,13 +64,15 @@ def _boilerplate(tag: str, attributes: str) -> str:
     values = {k.lower(): v.strip("\"'") for k, v in _ATTRIBUTE.findall(attributes)}
     if "hidden" in values or values.get("aria-hidden", "").lower() == "true" or _HIDDEN.search(values.get("style", "")):
         return "all"
-    if values.get("role", "").lower() in ROLES:
+    if values.get("role", "").lower() in (ROLES - {"form"} if tag == "form" else ROLES):
         return "all"
     if tag in ("html", "body", "main"):
         return kind
     for name in f"{values.get('class', '')} {values.get('id', '')}".split():
         if tag == "article" and not re.match(r"comment|repl|respon", name, re.I):
             continue
+        if tag == "form" and _FORM.fullmatch(name):
+            continue
         if _TITLE.fullmatch(name):
             kind = "titles"
         elif _BOILER.fullmatch(name) or _ENDS.fullmatch(name):
@@ -83,10 +88,13 @@ class _Block:
 
 
 def page_blocks(html: str) -> list[_Block]:
-    """The blocks of a page in order: text, characters in links, and where it stands ('in', 'out' or '')."""
+    """The blocks of a page in order: text, characters in links, and where it stands ('in', 'out' or ''). What stands in a
+    form is 'out', unless the form holds an article, a main or a long block of few links."""
     out: list[_Block] = []
     parts: list[tuple[str, bool]] = []
-    stack: list[tuple[str, str, bool]] = []  # tag, boilerplate kind in force, within an article
+    stack: list[tuple[str, str, bool, int]] = []  # tag, boilerplate kind in force, within an article, number of the form
+    holds: list[bool] = []  # by form, whether it holds main text
+    forms: list[int] = []  # by block
     heading, at, n, raw = "", 0, len(html), ""
     lower = None
 
@@ -96,9 +104,12 @@ def page_blocks(html: str) -> list[_Block]:
             text = " ".join("".join(p for p, _ in parts).split())
             if text:
                 linked = len(" ".join("".join(p for p, a in parts if a).split()))
-                _, kind, inside = stack[-1] if stack else ("", "", False)
+                _, kind, inside, form = stack[-1] if stack else ("", "", False, -1)
                 bad = kind == "all" or kind == "titles" and not (inside and heading)
                 out.append(_Block(text, linked, "out" if bad else "in" if inside else "", bool(heading)))
+                forms.append(form)
+                if form >= 0 and not bad and len(text) >= 200 and linked < 0.1 * len(text):
+                    holds[form] = True
             parts = []
 
     links = 0
@@ -137,7 +148,9 @@ def page_blocks(html: str) -> list[_Block]:
             if m[3].endswith("/") and tag in ("svg", "math", "canvas"):
                 continue
             if close < 0:
-                break
+                if tag in SWALLOWS:
+                    break
+                continue
             at = html.find(">", close) + 1 or n
             continue
         if tag == "br":
@@ -157,12 +170,20 @@ def page_blocks(html: str) -> list[_Block]:
         if tag in HELD and not m[3].endswith("/"):
             if tag in ("button", "select", "datalist"):
                 end_block()
-            _, kind, inside = stack[-1] if stack else ("", "", False)
+            _, kind, inside, form = stack[-1] if stack else ("", "", False, -1)
             own = _boilerplate(tag, m[3]) if tag not in ("html", "head") else ""
             if tag in ("article", "main") and own != "all":
                 inside = True
-            stack.append((tag, "all" if "all" in (kind, own) else own or kind, inside))
+                if form >= 0 and kind != "all":
+                    holds[form] = True
+            if tag == "form" and form < 0:
+                form = len(holds)
+                holds.append(False)
+            stack.append((tag, "all" if "all" in (kind, own) else own or kind, inside, form))
     end_block()
+    for b, form in zip(out, forms):
+        if form >= 0 and not holds[form]:
+            b.where = "out"
     return out
 
 

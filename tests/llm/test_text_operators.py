@@ -141,3 +141,20 @@ def test_pages_lose_their_frame(spark, data):
 def test_one_row_for_each_row(spark, data, name):
     table = "pages" if "op9" in name else "documents"
     assert registry.QUERIES[name](spark, data).count() == spark.read.parquet(f"{data}/{table}.parquet").count()
+
+
+def test_unclosed_elements_and_forms_keep_the_page():
+    from tessera.llm.htmltext import main_text
+
+    body = "It is the story of a river and of the people who live by it, as they were told it when they were young. " * 3
+    want = body.strip()
+    for tag in ("svg", "math", "object", "canvas", "noscript", "template"):
+        assert main_text(f"<body><{tag}><p>{body}</p></body>") == want
+    for tag in ("script", "style", "textarea", "iframe"):
+        assert main_text(f"<body><p>{body}</p><{tag}><p>{body}</p></body>") == want
+    menu = "<nav><a href=a>Home</a></nav>"
+    for form in ("<form>", "<form id='form1' method=post>", "<form id=aspnetForm role=form>"):
+        assert main_text(f"<body>{form}{menu}<article><p>Short.</p></article></form></body>") == "Short."
+        assert main_text(f"<body>{form}{menu}<div>{body}</div></form></body>") == want
+        assert main_text(f"<body><article><p>{body}</p>{form}<label>Your name</label><input></form></article></body>") == want
+    assert main_text(f"<body><p>{body}</p><form class=search-form><p>{body}</p></form></body>") == want
