@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import stored
 from tessera.llm.textblocks import LOWER, blocks, digests, mix, runs
 
 #: Items in one index, which is broadcast; a larger benchmark is taken in blocks of so many items, one after another.
@@ -74,8 +75,9 @@ class Index:
     most: list[float] = field(default_factory=list)
 
 
-def build_index(rows: list[tuple[int, str]], k1: float = 1.2, b: float = 0.75, most_slack: float = 0.2) -> Index | None:
-    """None if no item has a term. Items without terms are left out."""
+def build_index(rows: list[tuple[int, str]], k1: float = 1.2, b: float = 0.75, most_slack: float = 0.2, whole: tuple | None = None) -> Index | None:
+    """None if no item has a term. Items without terms are left out. `whole` holds what the weights take from the whole
+    benchmark where rows are a part of it: items, mean and greatest length, sorted terms and the items of each."""
     found = [(i, t, h) for i, t in rows if t is not None and len(h := _terms(t))]
     if not found:
         return None
@@ -85,7 +87,11 @@ def build_index(rows: list[tuple[int, str]], k1: float = 1.2, b: float = 0.75, m
     n, mean = len(found), bounds[-1] / len(found)
     own = [np.unique(coded[bounds[i] : bounds[i + 1]], return_counts=True) for i in range(n)]
     df = np.bincount(np.concatenate([t for t, _ in own]), minlength=len(vocabulary))
-    idf = np.log1p((n - df + 0.5) / (df + 0.5))
+    items, longest = n, int(np.diff(bounds).max())
+    if whole is not None:
+        items, mean, longest, known, counts = whole
+        df = counts[np.searchsorted(known, vocabulary)]
+    idf = np.log1p((items - df + 0.5) / (df + 0.5))
     postings: list[list[int]] = [[] for _ in vocabulary]
     weights: list[list[float]] = [[] for _ in vocabulary]
     block_max: list[dict[int, float]] = [{} for _ in vocabulary]
@@ -116,7 +122,7 @@ def build_index(rows: list[tuple[int, str]], k1: float = 1.2, b: float = 0.75, m
     sizes = [min(GRAM, len(_terms(p[0]))) for p in parts]
     index = Index(
         [i for i, _, _ in found], vocabulary, postings, weights, block_max, rare, slack, np.concatenate([[0], np.cumsum(counts)]), cells, values,
-        list(zip(asked, sizes)), [np.unique(_terms(p[1])) for p in parts], int(np.diff(bounds).max()), [max(w) for w in weights],
+        list(zip(asked, sizes)), [np.unique(_terms(p[1])) for p in parts], longest, [max(w) for w in weights],
     )
     return index
 
@@ -194,20 +200,42 @@ def search_block(data: np.ndarray, offsets: np.ndarray, index: Index, threshold:
         query = np.unique(at[inside][index.vocabulary[at[inside]] == h[inside]]).tolist()
         for item, score in block_max_wand(query, index, threshold):
             wanted, k = index.question[item]
-            asked = float(np.isin(wanted, grams(h[inside], k)).mean())
-            answered = float(np.isin(index.answer[item], h[inside]).mean())
+            # a part without terms asks for nothing
+            asked = float(np.isin(wanted, grams(h[inside], k)).mean()) if len(wanted) else 1.0
+            answered = float(np.isin(index.answer[item], h[inside]).mean()) if len(index.answer[item]) else 1.0
             if asked >= overlap and answered >= overlap:
                 best[r, item] = max(best.get((r, item), (0.0, 0.0, 0.0)), (score, asked, answered))
     return [(r, item, *scores) for (r, item), scores in best.items()]
 
 
 def _indexes(benchmark: DataFrame):
-    """Indexes of blocks of at most about INDEX_ITEMS items; each block is chosen by a hash and collected by itself."""
+    """Indexes of blocks of at most about INDEX_ITEMS items; each block is chosen by a hash and collected by itself.
+    Numbers of items, lengths and document frequencies are those of all items, so that scores don't depend on the blocks."""
     items = benchmark.select(F.col("item_id").cast("long"), "text")
     parts = -(-items.count() // INDEX_ITEMS)
+    if parts > 1:
+
+        def spread(batches):
+            for batch in batches:
+                for part, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    if text is not None and len(h := _terms(text)):
+                        own = np.unique(h)
+                        sizes = np.concatenate([[len(h)], np.zeros(len(own) - 1, np.int64)])
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), part), pa.int32()), pa.array(own.view(np.int64)), pa.array(sizes, pa.int64())], names=["part", "term", "size"])
+
+        block = F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)).cast("int")
+        held = stored(items.select(block.alias("part"), "text").mapInArrow(spread, "part int, term long, size long"), "benchmark-terms")
+        n, total, longest = held.filter("size > 0").agg(F.count("*"), F.sum("size"), F.max("size")).first()
+        frequencies = stored(held.groupBy("term").agg(F.count("*").alias("n"), F.collect_set("part").alias("parts")), "benchmark-frequencies")
     for part in range(parts):
-        rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part) if parts > 1 else items
-        if index := build_index([tuple(r) for r in rows.collect()]):
+        rows, whole = items, None
+        if parts > 1:
+            rows = items.filter(block == part)
+            own = frequencies.filter(F.array_contains("parts", part)).select("term", "n").toArrow()
+            known = own.column("term").to_numpy().view(np.uint64)
+            order = np.argsort(known)
+            whole = (n, total / n if n else 0.0, longest, known[order], own.column("n").to_numpy()[order])
+        if index := build_index([tuple(r) for r in rows.collect()], whole=whole):
             yield index
 
 
@@ -216,7 +244,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.7,
     itself), question_overlap (of its shingles of five words), answer_overlap (of its words).
 
     An item counts if a passage scores threshold or more and both overlaps reach `overlap`. Null and empty texts match
-    nothing, nor do items without words; equal items are each reported; rows of equal doc_id are each searched. Empty
+    nothing, nor do items without words; a question or answer without words counts as fully overlapped; equal items are each reported; rows of equal doc_id are each searched. Empty
     tables give no rows, other columns aren't looked at. There is no shuffle: texts are searched where they are read.
     """
     spark = docs.sparkSession

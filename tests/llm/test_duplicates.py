@@ -263,6 +263,16 @@ def test_benchmark_of_awkward_rows(spark):
     assert decontaminate.contaminated(df, bench.limit(0)).collect() == [] and decontaminate.without_contaminated(df, bench.limit(0)).count() == len(texts)
 
 
+def test_items_with_an_empty_part_and_blocks_of_items(spark, monkeypatch):
+    bench = spark.createDataFrame([(i, f"What is the name of town {i} by river number {i * 7}? It is place {i} of the land.") for i in range(30)] + [(99, "The sum of nine and seventeen and forty. = ?")], "item_id long, text string")
+    texts = [r.text for r in bench.collect()] + ["What is the name of town 3 by river? It is place 3 of the land.", "of the land"]
+    df = frame(spark, texts, "item_id")
+    whole = sorted(tuple(r) for r in decontaminate.contaminated(df, bench).collect())
+    assert (30, 99) in {r[:2] for r in whole} and {(i, i) for i in range(30)} <= {r[:2] for r in whole}
+    monkeypatch.setattr(decontaminate, "INDEX_ITEMS", 8)
+    assert sorted(tuple(r) for r in decontaminate.contaminated(df, bench).collect()) == whole
+
+
 def test_pipeline_equals_its_stages_by_brute_force(spark, data, docs):
     items = [tuple(r) for r in spark.read.parquet(f"{data}/benchmark.parquet").select("item_id", "text").collect()]
     scores = {r.doc_id: r.predicted for r in registry.QUERIES["op4_quality_scores"](spark, data).collect()}
