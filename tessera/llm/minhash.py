@@ -120,9 +120,9 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
             for lo, hi, data, offsets in blocks(batch.column(2)):
                 s, first = shingles(data, offsets, k)
                 for i in range(lo, hi):
-                    if held != right[i]:
+                    if held != (right[i], batch.column(3)[i].as_py()):
                         text = pa.array([batch.column(3)[i].as_py()], pa.string())
-                        held, known = right[i], next(shingles(d, o, k)[0] for _, _, d, o in blocks(text))
+                        held, known = (right[i], text[0].as_py()), next(shingles(d, o, k)[0] for _, _, d, o in blocks(text))
                     own = s[first[i - lo] : first[i - lo + 1]]
                     common = len(np.intersect1d(own, known, assume_unique=True))
                     good[i] = 100 * common >= percent * (len(own) + len(known) - common) > 0
@@ -150,9 +150,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rounds: int
     classes = real.groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     classes = stored(classes, "minhash-classes")
     several = sized(stored(classes.filter("copies > 1").select("hi", "lo", "rep"), "minhash-several"))
-    member = real.select("doc_id", "hi", "lo").join(several, ["hi", "lo"]).select("doc_id", "rep")
+    member = real.select("doc_id", "hi", "lo").join(several, ["hi", "lo"])
     copies = stored(member.filter("doc_id <> rep").distinct(), "minhash-copies")
-    reps = real.join(sized(copies.select("doc_id")), "doc_id", "left_anti").select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), *bits, F.explode("bands").alias("key"))
+    # a doc_id with several texts joins the classes of all of them
+    twice = real.groupBy("doc_id").agg(F.count_distinct("hi", "lo").alias("n")).filter("n > 1").select("doc_id")
+    bridges = stored(copies.join(twice, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")), "minhash-edges")
+    reps = real.join(sized(copies.select("doc_id", "hi", "lo")), ["doc_id", "hi", "lo"], "left_anti").select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), *bits, F.explode("bands").alias("key"))
     shared = reps.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("far")).filter("hub <> far").drop("far")
     shared = stored(shared, "minhash-shared")
     placed = stored(reps.join(sized(shared), "key").select("key", "rep", "n", *bits, "hub"), "minhash-placed")
@@ -161,7 +164,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rounds: int
     close = F.expr(f"100 * least(n, n_b) >= {percent} * greatest(n, n_b) AND {differ} <= {MOST_BITS}")
     pairs = placed.filter("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b"), "n", *bits).distinct()
     tried = stored(pairs.join(hubs, "b").filter(close).select("a", "b"), "minhash-pairs")
-    edges = [stored(verified(tried, docs, k, percent), "minhash-edges")]
+    edges = [bridges, stored(verified(tried, docs, k, percent), "minhash-edges")]
     for turn in range(rounds + 1):
         labels = components(reduce(DataFrame.union, edges))
         rows = placed.select("key", "rep", "n", *bits).join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))

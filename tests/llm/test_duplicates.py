@@ -93,6 +93,15 @@ def test_near_duplicates_of_awkward_rows(spark):
     assert minhash.near_duplicates(df.limit(0), 5).collect() == []
 
 
+def test_texts_of_one_doc_id_are_one_node(spark):
+    a, b = base(), " ".join(f"v{i}" for i in range(60))
+    near = b.replace("v59", "other")
+    for last in (b, near):
+        df = spark.createDataFrame([(1, a), (2, a), (2, b), (3, last), (4, "nothing like the others")], "doc_id long, text string")
+        got = sorted((r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(df, 5).collect())
+        assert got == [(1, 1, True), (2, 1, False), (2, 1, False), (3, 1, False), (4, 4, True)]
+
+
 def test_every_coordinate_is_filled():
     import numpy as np
 
