@@ -3,26 +3,27 @@
 A sketch has one coordinate per bin. In each of the first T rounds every shingle falls into one bin by a fresh hash; in
 round T + i every shingle falls into bin i, so that all bins fill at last. A bin keeps the value of the earliest round
 that reached it, and the least hash of that round. Bands of coordinates give buckets; texts in one bucket are compared
-on their full sets of shingles, each with one hub of the bucket first, and then across components that are left.
+on their full sets of shingles: each with a hub of the bucket first, and then, block by block inside tasks, with
+whatever isn't in its component yet. A task gives a spanning forest of the links that it verifies, never all pairs.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import sized, stored
+from tessera.llm.common import Marked, group_starts, settled, stored, whole_groups
 from tessera.llm.graphs import components
 from tessera.llm.textblocks import LOWER, blocks, digests, mix, words
 
 BINS, ROWS = 200, 5
-#: One bit of each of the first 192 coordinates. At a similarity of 0.8 a bit differs with a chance of 0.1, so that more
-#: than 48 of 192 differ with a chance below 1e-9; at 0.3 one pair in five hundred gets through.
+#: One bit of each of the first 192 coordinates: pairs with a hub that differ in more than 48 aren't worth a look. They
+#: stay apart, and what is apart is compared in full later on, so that no link hangs on these bits.
 BITS, MOST_BITS = 192, 48
+#: Buckets are cut into blocks of about this many shingles; a task holds two blocks.
+BLOCK_SHINGLES = 1 << 19
 SIGNED = "doc_id long, n_shingles long, hi long, lo long, s0 long, s1 long, s2 long, bands array<long>"
 BIT_COLUMNS = ("s0", "s1", "s2")
 
@@ -104,31 +105,102 @@ def signed(df: DataFrame, k: int) -> DataFrame:
     return df.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SIGNED)
 
 
-def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of doc_ids whose full shingle sets have 100 * common >= percent * all. Texts of only the
-    documents in pairs are joined; pairs of one b come one after another, and its set is kept meanwhile."""
-    ids = stored(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "pair-ids")
-    texts = docs.select(F.col("doc_id").cast("long"), "text").join(sized(ids), "doc_id", "left_semi")
-    joined = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    joined = joined.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
+def shingle_sets(df: DataFrame, k: int, wanted: Marked) -> DataFrame:
+    """(rep, shingles): the full sets of the texts whose doc_id is wanted."""
 
     def run(batches):
-        held, known = None, None
         for batch in batches:
-            good = np.zeros(len(batch), bool)
-            right = batch.column(1).to_numpy()
-            for lo, hi, data, offsets in blocks(batch.column(2)):
+            batch = batch.filter(pa.array(wanted.holds(batch.column(0).to_numpy())))
+            for lo, hi, data, offsets in blocks(batch.column(1)):
                 s, first = shingles(data, offsets, k)
-                for i in range(lo, hi):
-                    if held != (right[i], batch.column(3)[i].as_py()):
-                        text = pa.array([batch.column(3)[i].as_py()], pa.string())
-                        held, known = (right[i], text[0].as_py()), next(shingles(d, o, k)[0] for _, _, d, o in blocks(text))
-                    own = s[first[i - lo] : first[i - lo + 1]]
-                    common = len(np.intersect1d(own, known, assume_unique=True))
-                    good[i] = 100 * common >= percent * (len(own) + len(known) - common) > 0
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(good)) for c in batch.columns[:2]], names=["a", "b"])
+                sets = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(s.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), sets], names=["rep", "shingles"])
+
+    sets = df.select(F.col("doc_id").cast("long").alias("rep"), "text").filter("rep IS NOT NULL").mapInArrow(run, "rep long, shingles array<long>")
+    return sets.groupBy("rep", F.xxhash64("shingles").alias("d")).agg(F.first("shingles").alias("shingles")).drop("d")  # repeated rows are one
 
-    return joined.mapInArrow(run, "a long, b long")
+
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full shingle sets have 100 * common >= percent * all."""
+    both = pairs.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("y")), "b")
+    common = F.size(F.array_intersect("x", "y"))
+    return both.filter(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b")
+
+
+def forest(sets: list[np.ndarray], component: np.ndarray, second: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links (i, j) between rows of different components whose sets are similar: enough of them to connect whatever all
+    of them connect. Where some rows are of a second block, links inside a block are left to other groups."""
+    n, size = len(sets), np.array([len(s) for s in sets])
+    cross = bool(second.any() and not second.all())
+    left, right = (np.flatnonzero(~second), np.flatnonzero(second)) if cross else (np.arange(n), np.arange(n))
+    kind, members = np.unique(component, return_inverse=True)
+    if len(kind) < 2:
+        return []
+    if not cross:  # a pair across components has an end outside the largest one
+        left = np.flatnonzero(members != np.bincount(members).argmax())
+    row = np.repeat(np.arange(n), size)
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    often = times[column] > 1
+    row, column = row[often], (np.cumsum(times > 1) - 1)[column[often]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    common = np.zeros((len(left), len(right)), np.float32)
+    at = np.full((2, n), -1)
+    at[0, left], at[1, right] = np.arange(len(left)), np.arange(len(right))
+    width, last = 4096, int(column[-1]) + 1 if len(column) else 0
+    for lo in range(0, last, width):
+        part = slice(*np.searchsorted(column, (lo, lo + width)))
+        r, c = row[part], column[part] - lo
+        one, two = np.zeros((len(left), min(width, last - lo)), np.float32), np.zeros((len(right), min(width, last - lo)), np.float32)
+        one[at[0, r[at[0, r] >= 0]], c[at[0, r] >= 0]] = 1
+        two[at[1, r[at[1, r] >= 0]], c[at[1, r] >= 0]] = 1
+        common += one @ two.T
+    good = np.zeros((n, n), bool)
+    good[np.ix_(left, right)] = (common > 0) & (100 * common.astype(np.int64) >= percent * (size[left][:, None] + size[right][None, :] - common.astype(np.int64)))
+    good |= good.T
+    good &= members[:, None] != members[None, :]
+    links, fresh = [], np.ones(n, bool)
+    for start in range(n):
+        if not fresh[start]:
+            continue
+        fresh[start] = False
+        todo = [start]
+        while todo:
+            i = todo.pop()
+            for j in np.flatnonzero(good[i] & fresh):
+                fresh[j] = False
+                todo.append(int(j))
+                links.append((i, int(j)))
+    return links
+
+
+def links_across(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that connect whatever similar texts of one bucket and different components connect. rows: key, rep,
+    n, component. Buckets of the same texts count once; large ones are dealt into blocks, and each pair of blocks is one
+    group of bounded size."""
+    keys = rows.groupBy("key").agg(F.sum("n").alias("total"), F.count("*").alias("members"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.sum(F.xxhash64("rep", F.lit(1)).cast("decimal(20,0)")).alias("y"))
+    keys = keys.groupBy("total", "members", "x", "y").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("total") / BLOCK_SHINGLES).cast("int").alias("blocks"))
+    dealt = rows.join(keys, "key").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    dealt = dealt.select("key", "rep", "component", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep", "component", (F.col("own") > F.col("other")).alias("second"))
+    dealt = dealt.join(sets, "rep").select("key", "i", "j", "rep", "component", "second", "shingles")
+
+    def run(batches):
+        for t in whole_groups(batches, ["key", "i", "j"], 2048):
+            key, i, j, rep, component = (t.column(c).to_numpy() for c in ("key", "i", "j", "rep", "component"))
+            second, lists = t.column("second").to_numpy(), t.column("shingles").combine_chunks()
+            ends, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+            found = []
+            starts = group_starts(key, i, j)
+            for lo, hi in zip(starts[:-1], starts[1:]):
+                if hi - lo > 1:
+                    own = [values[ends[x] : ends[x + 1]] for x in range(lo, hi)]
+                    found += [(lo + a, lo + b) for a, b in forest(own, component[lo:hi], second[lo:hi], percent)]
+            if found:
+                a, b = np.array(found).T
+                yield pa.RecordBatch.from_arrays([pa.array(rep[a]), pa.array(rep[b])], names=["a", "b"])
+
+    return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rounds: int = 2) -> DataFrame:
@@ -140,56 +212,51 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rounds: int
     node. A row without doc_id is linked with nothing: its component_id is null, and it is kept.
 
     Texts with equal sets are one class; its smallest doc_id stands for it. At a similarity of 0.8 a pair shares a bucket
-    but for a chance of 2e-7. Pairs whose sketches differ in too many bits are left out (see MOST_BITS).
-    In each bucket every class is compared with a hub; then, for `rounds` times, classes of
-    buckets with several components with another hub; what is still apart is compared pair by pair across components.
+    but for a chance of 2e-7. In each bucket every class is compared with a hub, `rounds` times with another one where
+    there are several components still; what is then apart is compared in full (links_across).
     """
+    return settled(docs.sparkSession, "minhash-groups", lambda: _near_duplicates(docs, k, percent, rounds))
+
+
+def _near_duplicates(docs: DataFrame, k: int, percent: int, rounds: int) -> DataFrame:
     marks = stored(signed(docs, k), "minhash")
     bits = list(BIT_COLUMNS)
     real = marks.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = real.groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    classes = stored(classes, "minhash-classes")
-    several = sized(stored(classes.filter("copies > 1").select("hi", "lo", "rep"), "minhash-several"))
-    member = real.select("doc_id", "hi", "lo").join(several, ["hi", "lo"])
-    copies = stored(member.filter("doc_id <> rep").distinct(), "minhash-copies")
+    reps = real.groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n_shingles").alias("n"), *(F.first(c).alias(c) for c in (*bits, "bands")))
+    reps = stored(reps, "minhash-reps")
+    several = reps.filter("copies > 1").select("hi", "lo", "rep")
+    copies = stored(real.select("doc_id", "hi", "lo").join(several, ["hi", "lo"]).filter("doc_id <> rep").distinct(), "minhash-copies")
     # a doc_id with several texts joins the classes of all of them
     twice = real.groupBy("doc_id").agg(F.count_distinct("hi", "lo").alias("n")).filter("n > 1").select("doc_id")
-    bridges = stored(copies.join(twice, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")), "minhash-edges")
-    reps = real.join(sized(copies.select("doc_id", "hi", "lo")), ["doc_id", "hi", "lo"], "left_anti").select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), *bits, F.explode("bands").alias("key"))
-    shared = reps.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("far")).filter("hub <> far").drop("far")
-    shared = stored(shared, "minhash-shared")
-    placed = stored(reps.join(sized(shared), "key").select("key", "rep", "n", *bits, "hub"), "minhash-placed")
-    hubs = placed.filter("rep = hub").select(F.col("rep").alias("b"), F.col("n").alias("n_b"), *(F.col(c).alias(f"{c}_b") for c in bits)).distinct()
+    edges = stored(copies.join(twice, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")), "minhash-edges")
+    narrow = reps.select("rep", "n", *bits)
+    placed = reps.select("rep", F.explode("bands").alias("key"))
+    shared = placed.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("far")).filter("hub <> far").drop("far")
+    placed = stored(placed.join(shared, "key").select("key", "rep", "hub"), "minhash-placed")
+    sets = stored(shingle_sets(docs, k, Marked(placed.select("rep").distinct(), "rep")), "minhash-sets")
     differ = " + ".join(f"bit_count({c} ^ {c}_b)" for c in bits)
     close = F.expr(f"100 * least(n, n_b) >= {percent} * greatest(n, n_b) AND {differ} <= {MOST_BITS}")
-    pairs = placed.filter("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b"), "n", *bits).distinct()
-    tried = stored(pairs.join(hubs, "b").filter(close).select("a", "b"), "minhash-pairs")
-    edges = [bridges, stored(verified(tried, docs, k, percent), "minhash-edges")]
-    for turn in range(rounds + 1):
-        labels = components(reduce(DataFrame.union, edges))
-        rows = placed.select("key", "rep", "n", *bits).join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        split = rows.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 <> c1").select("key")
-        rows = stored(rows.join(split, "key"), "minhash-apart")
+    other = narrow.select(F.col("rep").alias("hub"), F.col("n").alias("n_b"), *(F.col(c).alias(f"{c}_b") for c in bits))
+
+    def with_hub(pairs: DataFrame) -> DataFrame:
+        near = pairs.distinct().join(narrow, "rep").join(other, "hub").filter(close)
+        return stored(verified(near.select(F.col("rep").alias("a"), F.col("hub").alias("b")), sets, percent), "minhash-edges")
+
+    edges = edges.union(with_hub(placed.filter("rep <> hub").select("rep", "hub")))
+    for turn in range(rounds):
+        labels = components(edges)
+        rows = placed.select("key", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        split = rows.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.min_by(F.struct("rep", "component"), F.xxhash64("rep", F.lit(turn))).alias("h")).filter("c0 <> c1").select("key", "h")
+        rows = stored(rows.join(split, "key").select("key", "rep", "component", F.col("h.rep").alias("hub"), F.col("h.component").alias("of_hub")), "minhash-apart")
         if rows.isEmpty():
             break
-        right = rows.select("key", F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("c_b"), *(F.col(c).alias(f"{c}_b") for c in bits))
-        if turn < rounds:
-            hubs = rows.groupBy("key").agg(F.min_by(F.struct("rep", "n", "component", *bits), F.xxhash64("rep", F.lit(turn))).alias("h"))
-            right = hubs.select("key", F.col("h.rep").alias("b"), F.col("h.n").alias("n_b"), F.col("h.component").alias("c_b"), *(F.col(f"h.{c}").alias(f"{c}_b") for c in bits))
-            apart = F.col("component") != F.col("c_b")
+        if turn < rounds - 1:
+            edges = edges.union(with_hub(rows.filter("component <> of_hub").select("rep", "hub")))
         else:
-            apart = F.col("component") < F.col("c_b")
-        new = rows.join(right, "key").filter(apart & close).select(F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b")).distinct()
-        done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        new = stored(new.join(done, ["a", "b"], "left_anti"), "minhash-pairs")
-        if new.isEmpty() and turn < rounds:
-            continue
-        edges.append(stored(verified(new, docs, k, percent), "minhash-edges"))
-        tried = tried.union(new)
-    else:
-        labels = components(reduce(DataFrame.union, edges))
+            rows = rows.join(narrow.select("rep", "n"), "rep")
+            edges = edges.union(stored(links_across(rows, sets, percent), "minhash-edges"))
+            labels = components(edges)
     of_copies = copies.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component"))
-    known = stored(labels.select(F.col("node").alias("doc_id"), "component").union(of_copies), "minhash-components")
-    known = known.groupBy("doc_id").agg(F.min("component").alias("component"))
+    known = labels.select(F.col("node").alias("doc_id"), "component").union(of_copies).groupBy("doc_id").agg(F.min("component").alias("component"))
     found = marks.select("doc_id", "n_shingles").join(known, "doc_id", "left").withColumn("component_id", F.coalesce("component", "doc_id"))
     return found.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
