@@ -1,14 +1,15 @@
 """Main text of web pages by two passes of block rules.
 
-A page is cut into blocks at block-level tags. The first pass decides blocks by where they stand (inside an article, or
-inside menus, headers, footers, sidebars, notices, adverts, forms, comments) and, elsewhere, by length, link density and
-the density of stop words; short or unclear blocks stay open. In the second pass an open block inherits the label of its
-nearest decided neighbours.
+A page is cut into blocks at block-level tags. The first pass decides blocks by link density, by length and by the
+density of stop words; short and unclear blocks stay open. In the second pass an open block inherits the label of its
+nearest decided neighbours. Where a block stands is a hint: an element for menus, headers, footers, sidebars, notices,
+adverts, forms or comments makes its blocks boilerplate, and inside an article open blocks ask its own blocks alone.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html import unescape
 
 import pyarrow as pa
@@ -44,40 +45,79 @@ _KIND = (
     "|notice|notices|notification|notifications|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|search|searchbox"
     "|comment|comments|commentlist|respond|responses|reply|replies|disqus|share|sharing|social|related|recommended|recommendations|pagination|pager|toolbar|skip|form"
 )
-_BOILER = re.compile(rf"(?:(?:site|page|main|top|bottom|left|right|global|primary|secondary|user|reader|header|footer|js|block|google|post|entry|article)[-_])*(?:{_KIND})(?:[-_]\w[\w-]*|\d*)?", re.I)
-_ENDS = re.compile(rf"(?!(?:has|with|without|no|not|is)[-_])[\w-]+[-_](?:{_KIND})", re.I)
+#: The last word of a name says what it is, but for words that say only that it is a box: cookie-notice and comment-list
+#: are hints, sidebar-layout and promotion-history aren't.
+_BOXES = "list|box|bar|area|section|wrapper|wrap|container|inner|outer|block|item|items|panel|links|link|body|text|title|top|bottom|left|right|unit|slot|holder|content|main"
+_BOILER = re.compile(rf"(?:[a-z0-9]+[-_]+)*?(?:{_KIND})\d*(?:[-_]+(?:{_BOXES}|\d+x?\d*))*", re.I)
+_NOT = re.compile(r"(?:has|with|without|no|not|is)[-_]", re.I)
+_READERS = re.compile(r"comment|respon|repl|disqus", re.I)
 _FORM = re.compile(r"(?:(?:main|page|site|aspnet)[-_]?)?form\d*", re.I)
 _TITLE = re.compile(r"(?:[\w-]+[-_])?header(?:[-_][\w-]*)?", re.I)
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+_REST = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>")
+_PLAIN = re.compile(r"[^>]*+>")
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]*))?")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-def _boilerplate(tag: str, attributes: str) -> str:
-    """'' for content; 'all' where nothing inside counts; 'titles' where only headings do, if it is within an article."""
+def _boilerplate(tag: str, attributes: str) -> tuple[str, str]:
+    """What an element says of its blocks, and what says it: '' for nothing; 'all' for boilerplate; 'titles' where
+    headings aren't, if they are within an article. It is said by the 'tag' (or a role), or by a 'name' in class or id."""
     if tag in NEVER:
-        return "all"
+        return "all", "tag"
     kind = "titles" if tag == "header" else ""
     if not attributes.strip():
-        return kind
+        return kind, "tag"
     values = {k.lower(): v.strip("\"'") for k, v in _ATTRIBUTE.findall(attributes)}
     if "hidden" in values or values.get("aria-hidden", "").lower() == "true" or _HIDDEN.search(values.get("style", "")):
-        return "all"
+        return "all", "tag"
     if values.get("role", "").lower() in (ROLES - {"form"} if tag == "form" else ROLES):
-        return "all"
+        return "all", "tag"
     if tag in ("html", "body", "main"):
-        return kind
+        return kind, "tag"
     for name in f"{values.get('class', '')} {values.get('id', '')}".split():
-        if tag == "article" and not re.match(r"comment|repl|respon", name, re.I):
+        if len(name) > 80 or tag == "article" and not re.match(r"comment|repl|respon", name, re.I):
             continue
         if tag == "form" and _FORM.fullmatch(name):
             continue
         if _TITLE.fullmatch(name):
             kind = "titles"
-        elif _BOILER.fullmatch(name) or _ENDS.fullmatch(name):
-            return "all"
-    return kind
+        elif _BOILER.fullmatch(name) and not _NOT.match(name):
+            return "all", "tag" if _READERS.search(name) else "name"
+    return kind, "tag"
+
+
+def pieces(html: str):
+    """(text before a tag, closing slash, tag, attributes, place after it), tag by tag; comments and declarations are
+    tags ''. Scans on and never back: where no > follows, the rest is text, with tag None. Send a place to go on there."""
+    at, n, begin = 0, len(html), 0
+    while at < n:
+        begin = html.find("<", begin)
+        if begin < 0:
+            yield html[at:], "", None, "", n
+            return
+        name = None
+        if html.startswith(("<!--", "<![CDATA["), begin):
+            close = "-->" if html[begin + 2] == "-" else "]]>"
+            end = html.find(close, begin + 4)
+            end = n if end < 0 else end + 3
+        elif html[begin + 1 : begin + 2] in ("!", "?") or (name := _NAME.match(html, begin + 1)):
+            m = (name and _REST.match(html, name.end())) or _PLAIN.match(html, begin)
+            if not m:
+                yield html[at:], "", None, "", n
+                return
+            end = m.end()
+        else:
+            begin += 1
+            continue
+        if name:
+            jump = yield html[at:begin], name[1], name[2].lower(), html[name.end() : end - 1], end
+        else:
+            jump = yield html[at:begin], "", "", "", end
+        if jump is not None:
+            yield  # the answer to send()
+        at = begin = end if jump is None else jump
 
 
 class _Block:
@@ -86,17 +126,23 @@ class _Block:
     def __init__(self, text: str, linked: int, where: str, heading: bool):
         self.text, self.linked, self.where, self.heading = text, linked, where, heading
 
+    def prose(self) -> bool:
+        return len(self.text) >= 200 and self.linked < 0.1 * len(self.text)
+
 
 def page_blocks(html: str) -> list[_Block]:
     """The blocks of a page in order: text, characters in links, and where it stands ('in', 'out' or ''). What stands in a
-    form is 'out', unless the form holds an article, a main or a long block of few links."""
+    form is 'out', unless the form holds an article, a main or a long block of few links. What stands under a name of
+    boilerplate is 'out', unless that element holds an article, a main or all such blocks of the page."""
     out: list[_Block] = []
     parts: list[tuple[str, bool]] = []
-    stack: list[tuple[str, str, bool, int]] = []  # tag, boilerplate kind in force, within an article, number of the form
+    stack: list[tuple[str, str, bool, int, int]] = []  # tag, boilerplate kind in force, within an article, numbers of the form and of the named element
+    opened: Counter = Counter()
     holds: list[bool] = []  # by form, whether it holds main text
-    forms: list[int] = []  # by block
-    heading, at, n, raw = "", 0, len(html), ""
-    lower = None
+    named: list[bool] = []  # by element that is boilerplate by its name, whether it holds main text
+    origin: list[tuple[int, int]] = []  # by block: form, named element
+    absent: set[str] = set()  # elements of RAW that aren't closed any more
+    heading, links, breaks = "", 0, 0
 
     def end_block():
         nonlocal parts
@@ -104,54 +150,48 @@ def page_blocks(html: str) -> list[_Block]:
             text = " ".join("".join(p for p, _ in parts).split())
             if text:
                 linked = len(" ".join("".join(p for p, a in parts if a).split()))
-                _, kind, inside, form = stack[-1] if stack else ("", "", False, -1)
+                _, kind, inside, form, name = stack[-1] if stack else ("", "", False, -1, -1)
                 bad = kind == "all" or kind == "titles" and not (inside and heading)
                 out.append(_Block(text, linked, "out" if bad else "in" if inside else "", bool(heading)))
-                forms.append(form)
-                if form >= 0 and not bad and len(text) >= 200 and linked < 0.1 * len(text):
+                origin.append((form, name))
+                if form >= 0 and not bad and out[-1].prose():
                     holds[form] = True
             parts = []
 
-    links = 0
-    breaks = 0
-    while at < n:
-        m = _TAG.search(html, at)
-        text = html[at : m.start() if m else n]
+    scan = pieces(html)
+    for text, closing, tag, attributes, at in scan:
         if text:
             parts.append((unescape(text), links > 0))
             if not text.isspace():
                 breaks = 0
-        if not m:
-            break
-        at = m.end()
-        tag = m[2]
-        if tag is None:
+        if not tag:
             continue
-        tag = tag.lower()
-        if m[1]:
+        if closing:
             if tag in BLOCK_TAGS:
                 end_block()
                 if heading and tag == heading:
                     heading = ""
             if tag == "a":
                 links = max(0, links - 1)
-            if tag in HELD and any(t[0] == tag for t in stack):
-                if tag not in ("a", "span") or stack[-1][0] == tag:
-                    if stack[-1][0] in ("a", "span") and tag not in ("a", "span"):
-                        links = 0
-                    while stack.pop()[0] != tag:
-                        pass
+            if opened[tag] and (tag not in ("a", "span") or stack[-1][0] == tag):
+                if stack[-1][0] in ("a", "span") and tag not in ("a", "span"):
+                    links = 0
+                while True:
+                    top = stack.pop()[0]
+                    opened[top] -= 1
+                    if top == tag:
+                        break
             continue
         if tag in RAW:
-            lower = lower or html.lower()
-            close = lower.find(f"</{tag}", at)
-            if m[3].endswith("/") and tag in ("svg", "math", "canvas"):
+            if attributes.endswith("/") and tag in ("svg", "math", "canvas"):
                 continue
-            if close < 0:
+            close = None if tag in absent else re.compile(rf"</{tag}", re.I | re.A).search(html, at)
+            if close is None:
+                absent.add(tag)
                 if tag in SWALLOWS:
                     break
                 continue
-            at = html.find(">", close) + 1 or n
+            scan.send(html.find(">", close.end()) + 1 or len(html))
             continue
         if tag == "br":
             breaks += 1
@@ -167,70 +207,84 @@ def page_blocks(html: str) -> list[_Block]:
             heading = tag if re.fullmatch("h[1-6]", tag) else heading if tag not in ("p", "div", "ul", "section", "article") else ""
         if tag == "a":
             links += 1
-        if tag in HELD and not m[3].endswith("/"):
+        if tag in HELD and not attributes.endswith("/"):
             if tag in ("button", "select", "datalist"):
                 end_block()
-            _, kind, inside, form = stack[-1] if stack else ("", "", False, -1)
-            own = _boilerplate(tag, m[3]) if tag not in ("html", "head") else ""
+            _, kind, inside, form, name = stack[-1] if stack else ("", "", False, -1, -1)
+            own, by = _boilerplate(tag, attributes) if tag not in ("html", "head") else ("", "")
+            if own == "all" and by == "name":
+                own = ""
+                if name < 0:
+                    name = len(named)
+                    named.append(inside and tag == "a")
             if tag in ("article", "main") and own != "all":
                 inside = True
-                if form >= 0 and kind != "all":
-                    holds[form] = True
+                if kind != "all":
+                    holds[form:] = [True] * len(holds[form:]) if form >= 0 else holds[form:]
+                    if name >= 0:
+                        named[name] = True
             if tag == "form" and form < 0:
                 form = len(holds)
                 holds.append(False)
-            stack.append((tag, "all" if "all" in (kind, own) else own or kind, inside, form))
+            stack.append((tag, "all" if "all" in (kind, own) else own or kind, inside, form, name))
+            opened[tag] += 1
     end_block()
-    for b, form in zip(out, forms):
-        if form >= 0 and not holds[form]:
+    prose = Counter(name for b, (_, name) in zip(out, origin) if b.where != "out" and b.prose())
+    for b, (form, name) in zip(out, origin):
+        if form >= 0 and not holds[form] or name >= 0 and not named[name] and (b.where == "in" or not prose[name] or prose[name] < prose.total()):
             b.where = "out"
     return out
 
 
-def labelled(found: list[_Block], long: int = 200, short: int = 70, most_links: float = 0.33, least_stops: float = 0.25) -> list[bool]:
-    """Whether each block is main text, after both passes."""
-    labels: list[bool | None] = []
+def decided(found: list[_Block], long: int = 200, short: int = 70, most_links: float = 0.33, least_stops: float = 0.25) -> list[tuple[bool, str]]:
+    """For each block whether it is main text, and the rule that says so: 'links', 'stops' and 'length' of the first pass,
+    'place', or 'neighbours' of the second."""
+    labels: list[tuple[bool, str] | None] = []
     for b in found:
         links = b.linked / len(b.text)
-        if b.where == "out" or links > most_links and (b.where != "in" or links > 0.66 and len(b.text) < short):
-            labels.append(False)
-        elif b.where == "in":
-            labels.append(True)
-        elif len(b.text) < short or b.heading:
+        if b.where == "out":
+            labels.append((False, "place"))
+        elif links > most_links and (b.where != "in" or links > 0.66 and len(b.text) < short):
+            labels.append((False, "links"))
+        elif len(b.text) < short or b.heading or links > most_links:
             labels.append(None)
         else:
             words = _WORD.findall(b.text.lower())
             stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
-            labels.append(True if stops >= least_stops or len(b.text) >= long and links < 0.1 else None)
-    before: list[tuple[int, bool] | None] = []
-    last = None
-    for i, x in enumerate(labels):
-        last = (i, x) if x is not None else last
-        before.append(last)
-    after: list[tuple[int, bool] | None] = [None] * len(labels)
-    last = None
-    for i in range(len(labels) - 1, -1, -1):
-        last = (i, labels[i]) if labels[i] is not None else last
-        after[i] = last
+            labels.append((True, "stops") if stops >= least_stops else (True, "length") if len(b.text) >= long and links < 0.1 else None)
+
+    def nearest(order, inside: bool) -> list:
+        """For each block the last decided one before it in this order, among those of an article or among all."""
+        last, out = None, [None] * len(found)
+        for i in order:
+            out[i] = last
+            if labels[i] is not None and (not inside or found[i].where == "in"):
+                last = (i, labels[i][0])
+        return out
+
+    sides = {inside: (nearest(range(len(found)), inside), nearest(range(len(found) - 1, -1, -1), inside)) for inside in (False, True)}
     out = []
     for i, (b, x) in enumerate(zip(found, labels)):
         if x is None:
-            left, right = before[i], after[i]
-            if left is None or right is None:
-                x = (left or right or (0, True))[1]
+            left, right = (s[i] for s in sides[b.where == "in"])
+            if b.where == "in":  # what is around an article doesn't count, and its edges are text
+                keep = right is None or right[1] if b.heading else left is None or right is None or left[1] or right[1]
+            elif left is None or right is None:
+                keep = (left or right or (0, True))[1]
             elif left[1] == right[1]:
-                x = left[1]
+                keep = left[1]
             elif b.heading:
-                x = right[1]
+                keep = right[1]
             else:
-                x = left[1] if i - left[0] < right[0] - i else right[1] if right[0] - i < i - left[0] else True
+                keep = left[1] if i - left[0] < right[0] - i else right[1] if right[0] - i < i - left[0] else True
+            x = (keep, "neighbours")
         out.append(x)
     return out
 
 
 def main_text(html: str) -> str:
     found = page_blocks(html)
-    return "\n".join(b.text for b, x in zip(found, labelled(found)) if x)
+    return "\n".join(b.text for b, (x, _) in zip(found, decided(found)) if x)
 
 
 def extracted(pages: DataFrame) -> DataFrame:
