@@ -9,7 +9,7 @@ from __future__ import annotations
 import public_tokenizers
 
 from tessera.llm.bpe import encode_column
-from tessera.llm.common import sized, stored, table
+from tessera.llm.common import settled, stored, table
 from tessera.llm.decontaminate import without_contaminated
 from tessera.llm.linejoin import without_later_lines
 from tessera.llm.minhash import near_duplicates
@@ -28,9 +28,8 @@ def line_dedup(spark, docs, sf_dir):
 
 def near_dedup(spark, docs, sf_dir):
     """One document of each group of near duplicates stays: the one with the smallest doc_id."""
-    groups = near_duplicates(docs, k=5, percent=80)
-    gone = stored(groups.filter("NOT kept").select("doc_id").distinct(), "near-gone")
-    return docs.join(sized(gone), "doc_id", "left_anti").select(docs.columns)
+    gone = settled(spark, "near-gone", lambda: near_duplicates(docs, k=5, percent=80).filter("NOT kept").select("doc_id").distinct())
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 
 def decontamination(spark, docs, sf_dir):
