@@ -50,8 +50,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def settled(spark: SparkSession, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """What build() returns, as a stored table. The tables that build() stored on its way are deleted after that."""
+def settled(spark: SparkSession, name: str, build: Callable[[], DataFrame | tuple[DataFrame, ...]]):
+    """What build() returns, as a stored table (or tables). Those that build() stored on its way are deleted after that."""
     if not hasattr(_scopes, "open"):
         _scopes.open = []
     own: list[str] = []
@@ -59,7 +59,7 @@ def settled(spark: SparkSession, name: str, build: Callable[[], DataFrame]) -> D
     try:
         out = build()
         _scopes.open.pop()
-        return stored(out, name)
+        return tuple(stored(df, name) for df in out) if isinstance(out, tuple) else stored(out, name)
     finally:
         if own in _scopes.open:
             _scopes.open.remove(own)
@@ -80,7 +80,7 @@ class Marked:
 
     def __init__(self, keys: DataFrame, column: str, most: int = 28):
         n, spark = keys.count(), keys.sparkSession
-        self.mask = (1 << min(most, max(15, (16 * n).bit_length()))) - 1
+        self.mask = (1 << min(most, max(15, (64 * n).bit_length()))) - 1
         slot = F.col(column).bitwiseAND(F.lit(self.mask))
         parts = keys.groupBy(F.shiftrightunsigned(slot, 15).alias("part")).agg(F.bitmap_construct_agg(slot.bitwiseAND(F.lit(32767))).alias("bits"))
         bits = np.zeros((self.mask + 1 >> 15, 4096), np.uint8)

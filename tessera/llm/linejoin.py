@@ -4,19 +4,31 @@ Every line is its set of words. Words are ordered by rarity over the whole table
 prefix) are rare; two lines of Jaccard similarity t share a word of their prefixes, have sizes within t of each other,
 and have enough words left after their first common one. Candidates that pass these filters are compared on all their
 words, each as a digest of 64 bits. Equal sets are one class, which is joined once.
+
+What is wanted is the earliest match of each line, not all pairs of a large group of near copies. So a semi-join tells
+first which words hold candidates at all. The lines with such words are compared with the earliest line of the word
+alone; those that may still have an earlier match are compared with the rest block by block inside tasks, which give one
+row for each line at most.
 """
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import sized, stored
+from tessera.llm.common import Marked, group_starts, settled, stored, whole_groups
 from tessera.llm.textblocks import LOWER, blocks, digests, mix, runs, words
 
-LINES = "doc_id long, line int, n int, hi long, lo long, inner int, skip int, parity long, prefix array<long>"
+LINES = "doc_id long, text_id long, line int, n int, hi long, lo long, skip int, parity long, prefix array<long>"
+PLACE = ["doc_id", "text_id", "line"]
+#: Lines of a bucket that one group holds of either side.
+BLOCK_LINES = 2048
+#: Parts of all words that are joined one after another, so that a part of them is on disk at a time.
+SLICES = 2
 #: Words are counted in 2**SLOT_BITS slots by digest; any order of words is exact, and slots only make it near to rarity.
 SLOT_BITS, PARTS = 24, 64
 
@@ -54,17 +66,16 @@ def rarity(df: DataFrame, slot_bits: int = SLOT_BITS) -> np.ndarray:
 
 
 def line_sets(df: DataFrame, codes: np.ndarray, percent: int, least_words: int) -> DataFrame:
-    """For every line of least_words distinct words or more: set size, a digest of 128 bits, the first line of the same
-    text with the same set (inner, else null), and the digests of the prefix without its first `skip` words, which
-    occur once in the whole table and so match nothing. Each word flips one of 64 bits of `parity`: lines that differ
-    in d words differ in d bits at most."""
+    """For every line of least_words distinct words or more: set size, a digest of 128 bits, and the digests of the prefix
+    without its first `skip` words, which occur once in the whole table and so match nothing. Each word flips one of 64
+    bits of `parity`: lines that differ in d words differ in d bits at most. text_id tells texts of one doc_id apart."""
     shared = df.sparkSession.sparkContext.broadcast(codes)
     bits = int(np.log2(len(codes)))
 
     def run(batches):
         rare = shared.value
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            ids, texts = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 2))
             for lo, hi, data, offsets in blocks(batch.column(1)):
                 start, end, _ = words(data, offsets)
                 if not len(start):
@@ -102,21 +113,14 @@ def line_sets(df: DataFrame, codes: np.ndarray, percent: int, least_words: int)
                 left = size - skip
                 at = np.repeat(begin + skip - np.concatenate([[0], np.cumsum(left)[:-1]]), left) + np.arange(left.sum())
                 lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(left)]).astype(np.int32), h[at].view(np.int64))
-                order = np.lexsort((number, lower, upper, row))
-                same = np.zeros(len(n), bool)
-                a, b = order[1:], order[:-1]
-                same[1:] = (row[a] == row[b]) & (upper[a] == upper[b]) & (lower[a] == lower[b])
-                head = np.maximum.accumulate(np.where(same, 0, np.arange(len(n))))
-                inner = np.empty(len(n), np.int64)
-                inner[order] = np.where(same, number[order[head]], -1)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(ids[lo:hi][row], pa.int64(), from_pandas=True),
+                        pa.array(ids[lo:hi][row], pa.int64()),
+                        pa.array(texts[lo:hi][row], pa.int64()),
                         pa.array(number, pa.int32()),
                         pa.array(n, pa.int32()),
                         pa.array(upper.view(np.int64)),
                         pa.array(lower.view(np.int64)),
-                        pa.array(inner, pa.int32(), mask=inner < 0),
                         pa.array(skip, pa.int32()),
                         pa.array(parity.view(np.int64)),
                         lists,
@@ -124,80 +128,215 @@ def line_sets(df: DataFrame, codes: np.ndarray, percent: int, least_words: int)
                     names=[x.split()[0] for x in LINES.split(", ")],
                 )
 
-    return df.select(F.col("doc_id").cast("long"), "text").filter(F.col("doc_id").isNotNull()).mapInArrow(run, LINES)
+    return df.select(F.col("doc_id").cast("long"), "text", text_id()).filter(F.col("doc_id").isNotNull()).mapInArrow(run, LINES)
+
+
+def text_id() -> Column:
+    return F.xxhash64("text").alias("text_id")
+
+
+def line_words(df: DataFrame, wanted: Marked) -> DataFrame:
+    """(place, words): the distinct words of the lines whose place_key is wanted, as digests."""
+
+    def run(batches):
+        for batch in batches:
+            ids, texts = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 2))
+            for lo, hi, data, offsets in blocks(batch.column(1)):
+                start, end, _ = words(data, offsets)
+                l0, _ = runs(data != 10, offsets)
+                row = np.searchsorted(offsets, l0, "right") - 1
+                breaks = np.concatenate([[0], np.cumsum(data == 10)])
+                number = breaks[l0] - breaks[offsets[row]]
+                doc, text = ids[lo:hi][row], texts[lo:hi][row]
+                use = wanted.holds(text ^ (doc << 3) ^ (number.astype(np.int64) << 17))
+                line = np.searchsorted(l0, start, "right") - 1
+                inside = use[line]
+                start, end, line = start[inside], end[inside], line[inside]
+                if not len(start):
+                    continue
+                h = digests(LOWER[data], start, end)
+                order = np.lexsort((h, line))
+                h, line = h[order], line[order]
+                new = np.ones(len(h), bool)
+                new[1:] = (h[1:] != h[:-1]) | (line[1:] != line[:-1])
+                h, line = h[new], line[new]
+                first = group_starts(line)
+                at = line[first[:-1]]
+                lists = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(h.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(doc[at]), pa.array(text[at]), pa.array(number[at], pa.int32()), lists], names=[*PLACE, "words"])
+
+    rows = df.select(F.col("doc_id").cast("long"), "text", text_id()).filter(F.col("doc_id").isNotNull()).mapInArrow(run, "doc_id long, text_id long, line int, words array<long>")
+    return rows.select(F.struct(*PLACE).alias("place"), "words").dropDuplicates(["place"])
+
+
+def place_key(place: str) -> Column:
+    return F.expr(f"{place}.text_id ^ shiftleft({place}.doc_id, 3) ^ shiftleft(cast({place}.line as long), 17)")
+
+
+def words_of(df: DataFrame, places: DataFrame) -> DataFrame:
+    """The words of these places (column p), stored."""
+    keys = stored(places.select(place_key("p").alias("key")).distinct(), "line-keys")
+    return stored(line_words(df, Marked(keys, "key")), "line-words")
 
 
-def candidates(reps: DataFrame, percent: int) -> DataFrame:
-    """Pairs (x, y) of class digests that pass the prefix, size and positional filters and can't differ in too many
-    words by their parity bits. x has no more words than y. With p percent the first common word of x is among its
-    first 1 - 2p / (100 + p) part, that of y among its first 1 - p / 100 part."""
-    tokens = reps.select("hi", "n", "skip", "parity", F.posexplode("prefix").alias("at", "token"))
-    tokens = tokens.select("token", "hi", "parity", F.col("n").cast("long").alias("n"), (F.col("at") + F.col("skip")).cast("long").alias("at"))
-    small = tokens.filter(f"(n - at) * {100 + percent} >= 2 * {percent} * n")
-    packed = ["token", "hi", "parity", (F.shiftleft("n", 32) + F.col("at")).alias("n_at")]
-    x, y = small.select(packed).alias("x"), tokens.select(packed).alias("y")
+def similar(a: str, b: str, percent: int) -> str:
+    """SQL: lines that share a token may have the similarity, by their sizes, by what is left after the token, and by
+    the parity bits. True at the first common token of all lines that have it."""
+    return (
+        f"100 * least({a}.n, {b}.n) >= {percent} * greatest({a}.n, {b}.n)"
+        f" AND least({a}.n - {a}.at, {b}.n - {b}.at) * {100 + percent} >= {percent} * ({a}.n + {b}.n)"
+        f" AND bit_count({a}.parity ^ {b}.parity) * {100 + percent} <= {100 - percent} * ({a}.n + {b}.n)"
+    )
+
+
+def verified(pairs: DataFrame, words: DataFrame, percent: int) -> DataFrame:
+    """The pairs of places (y, x) whose full sets of words have 100 * common >= percent * all."""
+    both = pairs.join(words.select(F.col("place").alias("y"), F.col("words").alias("b")), "y").join(words.select(F.col("place").alias("x"), F.col("words").alias("a")), "x")
+    common = F.size(F.array_intersect("a", "b"))
+    return both.filter(100 * common >= percent * (F.size("a") + F.size("b") - common)).select("y", "x")
+
+
+def _first_similar(mine: np.ndarray, n: np.ndarray, sets: np.ndarray, ends: np.ndarray, order: np.ndarray, percent: int) -> int:
+    """The first of the sets in `order` that is similar to `mine`, or -1."""
+    mine, at, step = np.sort(mine), 0, 16
+    while at < len(order):
+        some = order[at : at + step]
+        size = n[some]
+        begin = np.concatenate([[0], np.cumsum(size)[:-1]])
+        tokens = sets[np.repeat(ends[some] - begin, size) + np.arange(size.sum())]
+        place = np.minimum(np.searchsorted(mine, tokens), len(mine) - 1)
+        common = np.add.reduceat((mine[place] == tokens).astype(np.int64), begin)
+        good = np.flatnonzero(100 * common >= percent * (size + len(mine) - common))
+        if len(good):
+            return int(some[good[0]])
+        at, step = at + step, step * 4
+    return -1
+
+
+def earliest_in_blocks(live: DataFrame, tokens: DataFrame, words: DataFrame, percent: int) -> DataFrame:
+    """(y, x): for each live line the earliest match x before its bound, from each pair of blocks of its buckets.
+
+    live: token, place, n, at, parity, bound. Buckets of the same lines count once. The lines of a bucket and its live
+    lines are dealt into blocks, so that a group is of bounded size however large the bucket is."""
+    same = tokens.join(live.select("token").distinct(), "token").groupBy("token").agg(
+        F.count("*").alias("n"), F.bit_xor(F.xxhash64("place")).alias("h0"), F.bit_xor(F.xxhash64("place", F.lit(1))).alias("h1"), F.sum(F.xxhash64("place", F.lit(2)).cast("decimal(20,0)")).alias("h2")
+    )
+    first = same.groupBy("n", "h0", "h1", "h2").agg(F.min("token").alias("first"))
+    same = stored(same.join(first, ["n", "h0", "h1", "h2"]).select("token", "first", "n"), "line-buckets")
+    live = live.join(same, "token").groupBy(F.col("first").alias("token"), "place", "bound", "parity").agg(F.lit(0).alias("one")).drop("one")
+    sizes = live.groupBy("token").agg(F.ceil(F.count("*") / BLOCK_LINES).cast("int").alias("ys")).join(same.filter("token = first"), "token")
+    sizes = stored(sizes.select("token", "ys", F.ceil(F.col("n") / BLOCK_LINES).cast("int").alias("xs")), "line-blocks")
+
+    def dealt(rows: DataFrame, own: str, other: str, asks: bool, bound: str) -> DataFrame:
+        rows = rows.join(sizes, "token").withColumns({own: F.pmod(F.xxhash64("place"), F.col(own + "s")).cast("int"), other: F.explode(F.sequence(F.lit(0), F.col(other + "s") - 1))})
+        return rows.select("token", "x", "y", F.lit(asks).alias("asks"), "place", F.col(bound).alias("bound"), "parity")
+
+    rows = dealt(tokens, "x", "y", False, "place").union(dealt(live, "y", "x", True, "bound")).join(words, "place")
+    flat = rows.select("token", "x", "y", "asks", "parity", *(F.col(f"place.{c}").alias(c) for c in PLACE), *(F.col(f"bound.{c}").alias(f"b_{c}") for c in PLACE), "words")
+    out = ", ".join(f"{side}_{c} {'int' if c == 'line' else 'long'}" for side in "yx" for c in PLACE)
+
+    def run(batches):
+        for t in whole_groups(batches, ["token", "x", "y"]):
+            c = {name: t.column(name).to_numpy() for name in t.column_names if name != "words"}
+            lists = t.column("words").combine_chunks()
+            ends, sets = lists.offsets.to_numpy(), lists.values.to_numpy()
+            n, starts, found = np.diff(ends), group_starts(c["token"], c["x"], c["y"]), []
+            parity = c["parity"].view(np.uint64)
+            for lo, hi in zip(starts[:-1], starts[1:]):
+                asks = c["asks"][lo:hi]
+                mine, old = lo + np.flatnonzero(asks), lo + np.flatnonzero(~asks)
+                if not len(mine) or not len(old):
+                    continue
+                old = old[np.lexsort(tuple(c[k][old] for k in reversed(PLACE)))]
+                rank = np.lexsort((np.repeat([1, 0], [len(old), len(mine)]), *(np.concatenate([c[k][old], c["b_" + k][mine]]) for k in reversed(PLACE))))
+                before = np.empty(len(rank), np.int64)  # lines of `old` before each bound
+                before[rank] = np.cumsum(rank < len(old)) - (rank < len(old))
+                for i, limit in zip(mine, before[len(old) :]):
+                    x = old[:limit]
+                    ok = 100 * np.minimum(n[x], n[i]) >= percent * np.maximum(n[x], n[i])
+                    ok &= np.bitwise_count(parity[x] ^ parity[i]) * np.int64(100 + percent) <= (100 - percent) * (n[x] + n[i])
+                    j = _first_similar(sets[ends[i] : ends[i + 1]], n, sets, ends, x[ok], percent)
+                    if j >= 0:
+                        found.append((i, j))
+            if found:
+                pair = np.array(found).T
+                yield pa.RecordBatch.from_arrays([pa.array(c[k][side]) for side in pair for k in PLACE], names=[x.split()[0] for x in out.split(", ")])
+
+    pairs = flat.repartition("token", "x", "y").sortWithinPartitions("token", "x", "y").mapInArrow(run, out)
+    return pairs.select(*(F.struct(*(F.col(f"{side}_{c}").alias(c) for c in PLACE)).alias(side) for side in "yx"))
+
+
+def live_tokens(reps: DataFrame, percent: int) -> DataFrame:
+    """A row for each word in the prefix of a class that shares it with another class, such that the two pass all filters:
+    token, place, n, at, parity. Both sides of the semi-join are the same shuffle, read twice."""
+    tokens = reps.select("hi", "parity", F.col("n").cast("long").alias("n"), "skip", F.posexplode("prefix").alias("i", "token"))
+    tokens = tokens.select("token", "hi", "parity", (F.shiftleft("n", 32) + F.col("i") + F.col("skip")).alias("n_at"))
     nx, ny, ax, ay = "shiftright(x.n_at, 32)", "shiftright(y.n_at, 32)", "(x.n_at & 4294967295)", "(y.n_at & 4294967295)"
     both = F.expr(
-        f"x.token = y.token AND ({nx} < {ny} OR ({nx} = {ny} AND x.hi < y.hi)) AND 100 * {nx} >= {percent} * {ny}"
+        f"x.token = y.token AND NOT (x.hi = y.hi AND x.parity = y.parity) AND 100 * least({nx}, {ny}) >= {percent} * greatest({nx}, {ny})"
         f" AND least({nx} - {ax}, {ny} - {ay}) * {100 + percent} >= {percent} * ({nx} + {ny})"
         f" AND bit_count(x.parity ^ y.parity) * {100 + percent} <= {100 - percent} * ({nx} + {ny})"
     )
-    return x.join(y, both).select(F.col("x.hi").alias("x"), F.col("y.hi").alias("y")).distinct()
-
-
-def matches(df: DataFrame, percent: int = 80, least_words: int = 5) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(lines, classes, links): all lines with sets; classes of equal sets with several lines (their earliest line);
-    and verified links between the earliest lines of different classes, the earlier one first."""
-    lines = stored(line_sets(df, rarity(df), percent, least_words), "lines")
-    classes = lines.filter("inner IS NULL").groupBy("hi", "lo").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_doc"), F.min_by("line", "doc_id").alias("first_line"))
-    classes = stored(classes.filter("copies > 1"), "line-classes")
-    known = lines.filter("inner IS NULL").join(sized(classes.select("hi", "lo", "first_doc")), ["hi", "lo"], "left")
-    reps = known.filter("first_doc IS NULL OR first_doc = doc_id")
-    pairs = stored(candidates(reps.filter("size(prefix) > 0").select("hi", "n", "skip", "parity", "prefix"), percent), "line-pairs")
-    ends = stored(pairs.select(F.col("x").alias("hi")).union(pairs.select("y")).distinct(), "line-ends")
-    ends = stored(reps.select("hi", "doc_id", "line").join(sized(ends), "hi", "left_semi"), "line-places")
-    texts = df.select(F.col("doc_id").cast("long"), "text").join(sized(ends.select("doc_id").distinct()), "doc_id", "left_semi")
-    texts = texts.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "body")).join(sized(ends), ["doc_id", "line"])
-    lower = F.translate("body", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    sets = texts.select("hi", F.struct("doc_id", "line").alias("place"), F.array_distinct(F.transform(F.filter(F.split(lower, r"[\x20\x09-\x0D]+"), lambda w: w != ""), lambda w: F.xxhash64(w))).alias("words"))
-    sets = stored(sets, "line-words")
-    joined = pairs.join(sets.select(F.col("hi").alias("x"), F.col("place").alias("a"), F.col("words").alias("words_a")), "x")
-    joined = joined.join(sets.select(F.col("hi").alias("y"), F.col("place").alias("b"), F.col("words").alias("words_b")), "y")
-    common = F.size(F.array_intersect("words_a", "words_b"))
-    good = joined.filter(100 * common >= percent * (F.size("words_a") + F.size("words_b") - common)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = stored(good.select("a.doc_id", "a.line", F.col("b.doc_id").alias("doc_id_y"), F.col("b.line").alias("line_y")), "line-links")
-    return lines, classes, links
+    parts = []
+    for part in range(SLICES):
+        own = tokens.filter(F.pmod("token", F.lit(SLICES)) == part)
+        parts.append(stored(own.alias("x").join(own.alias("y"), both, "left_semi"), "line-tokens"))
+    rows = functools.reduce(DataFrame.union, parts).join(reps.select("hi", "parity", "place"), ["hi", "parity"])
+    return rows.select("token", "place", F.shiftright("n_at", 32).alias("n"), F.col("n_at").bitwiseAND(F.lit(4294967295)).alias("at"), "parity")
+
+
+def earliest_links(df: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
+    """(y, x): the earliest match x of each class y that has one, as places of their first lines."""
+    hubs = tokens.groupBy("token").agg(F.min(F.struct("place", "n", "at", "parity")).alias("h")).select("token", "h.*")
+    tried = tokens.alias("b").join(hubs.alias("a"), F.expr(f"a.token = b.token AND a.place < b.place AND {similar('a', 'b', percent)}"))
+    tried = stored(tried.groupBy(F.col("b.place").alias("y")).agg(F.min("a.place").alias("x")), "line-tried")
+    words = words_of(df, tokens.select(F.col("place").alias("p")))
+    known = stored(verified(tried, words, percent), "line-known")
+    state = tried.join(known.select("y", F.col("x").alias("match")), "y", "left").select(F.col("y").alias("place"), F.col("x").alias("tried"), F.coalesce("match", "y").alias("bound"))
+    asked = tokens.join(state, "place", "left").withColumn("bound", F.coalesce("bound", "place"))
+    live = asked.alias("b").join(tokens.alias("a"), F.expr(f"a.token = b.token AND a.place < b.bound AND NOT (a.place <=> b.tried) AND {similar('a', 'b', percent)}"), "left_semi")
+    live = stored(live.drop("tried"), "line-live")
+    more = stored(earliest_in_blocks(live, tokens, words, percent), "line-more")
+    return known.select("y", "x").union(more).groupBy("y").agg(F.min("x").alias("x"))
 
 
 def later_lines(df: DataFrame, percent: int = 80, least_words: int = 5) -> DataFrame:
-    """One row per line to remove: doc_id, line (counted from 0), and the earlier line that it matches.
+    """One row per line to remove: doc_id, text_id, line (counted from 0), and the earlier line that it matches
+    (match_doc_id, match_line).
 
-    A line goes if an earlier line (by doc_id, then place; kept or not) has 100 * common >= percent * all of the
+    A line goes if an earlier line (by doc_id, text_id, then place; kept or not) has 100 * common >= percent * all of the
     distinct words of both. Words are runs other than ASCII white space, A-Z lower case. Lines of fewer than
-    least_words distinct words stay, as their equality says little. Rows without doc_id or text have no lines; rows
-    that share a doc_id count as one text. The match named is the first line with the same set, or else the earliest
-    linked one.
+    least_words distinct words stay, as their equality says little. Rows without doc_id or text have no lines. text_id is
+    a digest of the text: rows that share a doc_id are told apart by it, and rows equal in both are one text. The match
+    named is the first line with the same set, or else the earliest similar one.
     """
-    lines, classes, links = matches(df, percent, least_words)
-    linked = links.groupBy("doc_id_y", "line_y").agg(F.min("doc_id").alias("m_doc"), F.min_by("line", "doc_id").alias("m_line"))
-    linked = stored(linked.select(F.col("doc_id_y").alias("r_doc"), F.col("line_y").alias("r_line"), "m_doc", "m_line"), "line-linked")
-    all_lines = lines.select("doc_id", "line", "hi", "lo", "inner").join(sized(classes.select("hi", "lo", "first_doc", "first_line")), ["hi", "lo"], "left")
-    earlier = F.when(F.col("first_doc") < F.col("doc_id"), F.struct(F.col("first_doc").alias("match_doc_id"), F.col("first_line").alias("match_line"))).when(
-        F.col("inner").isNotNull(), F.struct(F.col("doc_id").alias("match_doc_id"), F.col("inner").alias("match_line"))
-    )
-    equal = all_lines.withColumn("m", earlier)
-    first = equal.filter("m IS NULL").join(sized(linked), [F.col("doc_id") == F.col("r_doc"), F.col("line") == F.col("r_line")])
-    return equal.filter("m IS NOT NULL").select("doc_id", "line", "m.match_doc_id", "m.match_line").union(
-        first.select("doc_id", "line", F.col("m_doc").alias("match_doc_id"), F.col("m_line").alias("match_line"))
-    )
+
+    place = F.struct(*PLACE)
+
+    def tables():
+        lines = stored(line_sets(df, rarity(df), percent, least_words), "lines")
+        reps = lines.groupBy("hi", "lo").agg(F.min(place).alias("place"), F.count("*").alias("copies"), *(F.first(c).alias(c) for c in ("n", "skip", "parity", "prefix")))
+        reps = stored(reps, "line-classes")
+        tokens = live_tokens(reps.filter("size(prefix) > 0"), percent)
+        return lines.select(*PLACE, "hi", "lo"), reps.select("hi", "lo", "place", "copies"), tokens
+
+    def build() -> DataFrame:
+        lines, classes, tokens = settled(df.sparkSession, "lines", tables)
+        links = earliest_links(df, tokens, percent)
+        classes = classes.join(links.withColumnRenamed("y", "place"), "place", "left").filter("copies > 1 OR x IS NOT NULL")
+        found = lines.join(classes.select("hi", "lo", "place", "x"), ["hi", "lo"]).withColumn("m", F.when(place != F.col("place"), F.col("place")).otherwise(F.col("x")))
+        return found.filter("m IS NOT NULL").select(*PLACE, F.col("m.doc_id").alias("match_doc_id"), F.col("m.line").alias("match_line"))
+
+    return settled(df.sparkSession, "lines-later", build)
 
 
 def without_later_lines(df: DataFrame, percent: int = 80, least_words: int = 5) -> DataFrame:
-    """df with those lines cut out of its texts. A document that loses a line and has no word left goes as a whole;
-    documents that lose nothing stay as they are, empty ones too. n_chars, where there is one, counts what is left."""
-    gone = stored(later_lines(df, percent, least_words).groupBy("doc_id").agg(F.collect_set("line").alias("__gone")), "lines-gone")
+    """df with those lines cut out of its texts, row by row. A document that loses a line and has no word left goes as a
+    whole; documents that lose nothing stay as they are, empty ones too. n_chars, where there is one, counts what is left."""
+    by = [F.col("doc_id").alias("__doc"), F.col("text_id").alias("__id")]
+    gone = settled(df.sparkSession, "lines-gone", lambda: later_lines(df, percent, least_words).groupBy(by).agg(F.collect_set("line").alias("__gone")))
     kept = F.filter(F.split("text", "\n"), lambda body, i: ~F.array_contains("__gone", i))
-    rows = df.join(gone, "doc_id", "left").withColumn("__text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
+    rows = df.join(gone, (df["doc_id"].cast("long") == F.col("__doc")) & (F.xxhash64(df["text"]) == F.col("__id")), "left").withColumn("__text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
     rows = rows.filter(F.col("__gone").isNull() | F.col("__text").rlike(r"[^\x20\x09-\x0D]"))
     out = rows.select(*(F.col("__text").alias(c) if c == "text" else F.when(F.col("__gone").isNull(), F.col(c)).otherwise(F.length("__text").cast(t)).alias(c) if c == "n_chars" else F.col(c) for c, t in df.dtypes))
     return out

@@ -3,17 +3,14 @@
 from pyspark.sql import functions as F
 
 from tessera.llm.common import table
-from tessera.llm.linejoin import later_lines
+from tessera.llm.linejoin import later_lines, text_id
 
 
 def _removed(docs, gone):
-    gone = gone.groupBy("doc_id").agg(
-        F.count("*").alias("n_removed"), F.sort_array(F.collect_list(F.col("line").cast("long"))).alias("removed"), F.min("match_doc_id").alias("first_match")
-    )
-    rows = docs.select("doc_id", F.when(F.length("text") > 0, F.size(F.split("text", "\n"))).otherwise(0).cast("long").alias("n_lines"))
-    rows = rows.join(gone, "doc_id", "left")
-    empty = F.array().cast("array<bigint>")
-    return rows.select("doc_id", "n_lines", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("removed", empty).alias("removed"), "first_match")
+    gone = gone.groupBy("doc_id", "text_id").agg(F.sort_array(F.collect_set(F.col("line").cast("long"))).alias("removed"), F.min("match_doc_id").alias("first_match"))
+    rows = docs.select(F.col("doc_id").cast("long"), text_id(), F.when(F.length("text") > 0, F.size(F.split("text", "\n"))).otherwise(0).cast("long").alias("n_lines"))
+    rows = rows.join(gone, ["doc_id", "text_id"], "left").withColumn("removed", F.coalesce("removed", F.array().cast("array<bigint>")))
+    return rows.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), "removed", "first_match")
 
 
 def op3_line_dedup(spark, sf_dir):
