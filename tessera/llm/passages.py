@@ -3,7 +3,8 @@
 Lines are units. As many repeated passages begin in the middle of a line, where no line is equal, a text is also cut
 into short paragraphs at places that only the words around them decide: before a pair of words whose hash is the least
 among its neighbours. So a passage is cut alike wherever it stands. Units are normalised (A-Z lower case, white space
-one space), their digests are grouped over all texts, and adjacent repeated units become one removed span.
+one space), their digests are grouped over all texts, and adjacent repeated units become one removed span. A first pass
+counts 64-bit keys alone; a second one takes out of the texts only the units whose keys occur again.
 """
 
 from __future__ import annotations
@@ -13,10 +14,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import sized, stored
-from tessera.llm.textblocks import LOWER, blocks, digests, mix, runs, words
+from tessera.llm.common import Marked, settled, stored
+from tessera.llm.textblocks import LOWER, SPACE, blocks, digests, mix, runs, words
 
-REACH = 4
+#: Words on either side that decide a cut; paragraphs of more than LONGEST words are cut again.
+REACH, LONGEST = 4, 24
 UNITS = "doc_id long, line boolean, w0 int, w1 int, start int, end int, hi long, lo long, inner int"
 
 
@@ -48,30 +50,58 @@ def _cuts(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     for k in range(1, REACH + 1):
         least &= (pair < padded[at - k]) & (pair <= padded[at + k])
     least[first[:-1][np.diff(first) > 0]] = True
+    # equal pairs have no least one (runs of a few words): a long paragraph is cut again at even distances from its start
+    at = np.flatnonzero(least)
+    long = np.diff(np.append(at, n)) > LONGEST
+    for a, b in zip(at[long], np.append(at[1:], n)[long]):
+        least[a : b - LONGEST // 2 : LONGEST // 2] = True
     return least
 
 
-def units(df: DataFrame, least_words: int) -> DataFrame:
-    """All units of all texts: places in words and characters, and a digest of 128 bits. `inner` is the character at
-    which the same unit first stands in the same text, if that is earlier. Lines of fewer words are no units."""
+def _units(data: np.ndarray, offsets: np.ndarray, least_words: int):
+    """Places of all words and units of the texts of a block, and the two digests of each unit."""
+    start, end, first = words(data, offsets)
+    h = digests(LOWER[data], start, end)
+    cut = np.flatnonzero(_cuts(h, first))
+    l0, l1 = runs(data != 10, offsets)
+    lw0, lw1 = np.searchsorted(start, l0), np.searchsorted(start, l1)
+    keep = lw1 - lw0 >= least_words
+    w0, w1 = np.concatenate([cut, lw0[keep]]), np.concatenate([cut[1:], [len(h)], lw1[keep]])
+    line = np.arange(len(w0)) >= len(cut)
+    return start, end, first, w0, w1, line, _sequence_digest(h, w0, w1, 1) + line, _sequence_digest(h, w0, w1, 2)
+
+
+def repeated_units(df: DataFrame, least_words: int) -> DataFrame:
+    """The 64-bit keys of units that occur twice or more: all that is shuffled of most units."""
+
+    def run(batches):
+        for batch in batches:
+            for _, _, data, offsets in blocks(batch.column(0)):
+                if SPACE[data].all():
+                    continue
+                key, n = np.unique(_units(data, offsets, least_words)[6], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n.astype(np.int64))], names=["key", "n"])
+
+    counted = df.filter(F.col("doc_id").isNotNull()).select("text").mapInArrow(run, "key long, n long")
+    return counted.groupBy("key").agg(F.sum("n").alias("n")).filter("n > 1").select("key")
+
+
+def units(df: DataFrame, least_words: int, wanted: Marked) -> DataFrame:
+    """The wanted units of all texts: places in words and characters, and a digest of 128 bits. `inner` is the character
+    at which the same unit first stands in the same text, if that is earlier. Lines of fewer words are no units."""
 
     def run(batches):
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for lo, hi, data, offsets in blocks(batch.column(1)):
-                start, end, first = words(data, offsets)
-                if not len(start):
+                if SPACE[data].all():
+                    continue
+                start, end, first, w0, w1, line, upper, lower = _units(data, offsets, least_words)
+                use = wanted.holds(upper.view(np.int64))
+                w0, w1, line, upper, lower = w0[use], w1[use], line[use], upper[use], lower[use]
+                if not len(w0):
                     continue
-                h = digests(LOWER[data], start, end)
                 row = np.repeat(np.arange(hi - lo), np.diff(first))
-                cut = np.flatnonzero(_cuts(h, first))
-                l0, l1 = runs(data != 10, offsets)
-                lw0, lw1 = np.searchsorted(start, l0), np.searchsorted(start, l1)
-                keep = lw1 - lw0 >= least_words
-                lw0, lw1 = lw0[keep], lw1[keep]
-                w0, w1 = np.concatenate([cut, lw0]), np.concatenate([cut[1:], [len(h)], lw1])
-                line = np.arange(len(w0)) >= len(cut)
-                upper, lower = _sequence_digest(h, w0, w1, 1), _sequence_digest(h, w0, w1, 2)
                 chars = np.zeros(len(data) + 1, np.int64)
                 np.cumsum((data & 0xC0) != 0x80, out=chars[1:])
                 r = row[w0]
@@ -112,14 +142,19 @@ def repeated_spans(df: DataFrame, least_words: int = 16, least_line_words: int =
     but for freak hashes. Rows without doc_id or text have no units; rows that share a doc_id count as one document.
     Empty tables give no rows, other columns aren't looked at.
     """
-    u = stored(units(df, least_line_words), "passage-units")
+    return settled(df.sparkSession, "passage-spans", lambda: _repeated_spans(df, least_words, least_line_words))
+
+
+def _repeated_spans(df: DataFrame, least_words: int, least_line_words: int) -> DataFrame:
+    keys = stored(repeated_units(df, least_line_words), "passage-keys")
+    u = stored(units(df, least_line_words, Marked(keys, "key")), "passage-units")
     groups = u.filter(F.col("inner").isNull()).groupBy("hi", "lo", "line").agg(
         F.count("*").alias("copies"), F.min("doc_id").alias("first_doc_id"), F.min_by("start", "doc_id").alias("first_start")
     )
     groups = groups.filter("copies > 1").drop("copies")
     groups = stored(groups, "passage-groups")
-    found = u.join(sized(groups), ["hi", "lo", "line"]).filter(F.col("doc_id") != F.col("first_doc_id"))
-    again = u.filter(F.col("inner").isNotNull()).join(sized(groups), ["hi", "lo", "line"], "left").filter(F.coalesce(F.col("first_doc_id") == F.col("doc_id"), F.lit(True)))
+    found = u.join(groups, ["hi", "lo", "line"]).filter(F.col("doc_id") != F.col("first_doc_id"))
+    again = u.filter(F.col("inner").isNotNull()).join(groups, ["hi", "lo", "line"], "left").filter(F.coalesce(F.col("first_doc_id") == F.col("doc_id"), F.lit(True)))
     again = again.withColumns({"first_doc_id": F.col("doc_id"), "first_start": F.col("inner")})
     columns = ["doc_id", "line", "w0", "w1", "start", "end", "first_doc_id", "first_start"]
     rows = found.select(columns).union(again.select(columns))
