@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.ranks import running_totals
+from tessera.functions.scalars import micros
+from tessera.operators.ranks import PART, ranged, running_totals
 
 
 def hash_order(key: Column, seed: int = 0) -> Column:
@@ -15,10 +16,35 @@ def hash_order(key: Column, seed: int = 0) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")).cast("binary"))
 
 
-def numbered(df: DataFrame, strata: list[str], order: list[str]) -> DataFrame:
-    """Adds i (from 0) and n in each stratum."""
-    w = Window.partitionBy(*strata)
-    return df.withColumns({"i": F.row_number().over(w.orderBy(*order)) - 1, "n": F.count("*").over(w)})
+def _position(df: DataFrame, column: str) -> Column:
+    """A number that grows with the column, if perhaps not strictly; equal for all rows where there is no such number."""
+    kind = dict(df.dtypes)[column]
+    if kind in ("tinyint", "smallint", "int", "bigint", "float", "double") or kind.startswith("decimal"):
+        return F.col(column).cast("double")
+    if kind == "date" or kind.startswith("timestamp"):
+        return micros(column).cast("double")
+    return F.lit(0.0)
+
+
+def numbered(df: DataFrame, strata: list[str], order: list, value: Column | None = None) -> DataFrame:
+    """Adds i (from 0) and n in each stratum, by `order`. Rows are cut into ranges of `value`, a number that grows with
+    the order (by default the first column of it); each range of a stratum is sorted by itself, and the counts of the
+    ranges before it are added, so that one stratum may hold all rows."""
+    value = _position(df, order[0]) if value is None else value
+    rows = ranged(df.withColumn("__value", F.coalesce(value, F.lit(-1e308))), "__value").drop("__value")
+    counts = rows.groupBy(*strata, PART).agg(F.count("*").alias("__c"))
+    whole = Window.partitionBy(*strata)
+    before = whole.orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*(F.col(c).alias(f"__o_{c}") for c in (*strata, PART)), F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__before"), F.sum("__c").over(whole).alias("n"))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__o_{c}")) for c in (*strata, PART)])
+    rows = rows.withColumn("__row", F.row_number().over(Window.partitionBy(*strata, PART).orderBy(*order)) - 1).join(offsets, same)
+    return rows.select(*df.columns, (F.col("__row") + F.col("__before")).cast("int").alias("i"), "n")
+
+
+def dealt_order(df: DataFrame, strata: list[str], key: str, seed: int) -> DataFrame:
+    """numbered() in the order of hashed keys."""
+    hashed = hash_order(F.col(key), seed)
+    return numbered(df, strata, [hashed, F.col(key)], F.conv(F.substring(hashed, 1, 12), 16, 10).cast("double"))
 
 
 def _cuts(n: Column, ratios: list[float]) -> list[Column]:
@@ -68,13 +94,12 @@ def class_weights(df: DataFrame, label: str, power: float = 1.0) -> DataFrame:
 
 def folds(df: DataFrame, key: str, stratum: str, k: int, seed: int = 0) -> DataFrame:
     """Adds `fold`: rows of each stratum are dealt in turn, in the order of hashed keys."""
-    w = Window.partitionBy(stratum).orderBy(hash_order(F.col(key), seed), key)
-    return df.withColumn("fold", (F.row_number().over(w) - 1) % k)
+    return dealt_order(df, [stratum], key, seed).withColumn("fold", F.col("i") % k).drop("i", "n")
 
 
 def holdout(df: DataFrame, key: str, stratum: str, fraction: float, seed: int = 0) -> DataFrame:
     """Adds `test`: the first round(fraction * n) rows of each stratum in the order of hashed keys."""
-    rows = numbered(df, [stratum], [hash_order(F.col(key), seed), F.col(key)])
+    rows = dealt_order(df, [stratum], key, seed)
     return rows.withColumn("test", F.col("i") < F.floor(F.col("n") * fraction + 0.5)).drop("i", "n")
 
 
@@ -120,7 +145,7 @@ def forward_folds(df: DataFrame, time: str, label_end: str, blocks: int, embargo
 
 def stratified_sample(df: DataFrame, key: str, stratum: str, share: float, seed: int = 0) -> DataFrame:
     """The first ceil(share * n) rows of each stratum in the order of hashed keys."""
-    rows = numbered(df, [stratum], [hash_order(F.col(key), seed), F.col(key)])
+    rows = dealt_order(df, [stratum], key, seed)
     return rows.filter(F.col("i") < F.ceil(F.col("n") * share)).drop("i", "n")
 
 

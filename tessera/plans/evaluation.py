@@ -160,13 +160,8 @@ def core_numbers(spark, sf):
 
 
 def graph_components(spark, sf):
-    """Customers that share a supplier's item of the largest quantity and price class."""
-    li = table(spark, sf, "lineitem").filter("l_quantity = 50 AND l_linenumber = 7").select(F.col("l_orderkey").alias("o"), (F.col("l_partkey") + 10_000_000).alias("p"))
-    return graph.components(graph.undirected(graph.edges(li, "o", "p")))
-
-
-COMPONENTS = """WITH RECURSIVE p AS (SELECT DISTINCT l_orderkey AS a, l_partkey + 10000000 AS b FROM lineitem WHERE l_quantity = 50 AND l_linenumber = 7), w AS (SELECT a AS v, b AS u FROM p UNION ALL SELECT b, a FROM p),
-r(v, c) AS (SELECT v, v FROM w UNION SELECT w.u, r.c FROM r JOIN w ON w.v = r.v) SELECT v, min(c) AS component FROM r GROUP BY v"""
+    """Components of the orders and parts of every line item."""
+    return whole_graph_components(spark, sf)
 
 
 def whole_graph_components(spark, sf):
@@ -403,7 +398,7 @@ QUERIES = {f.__name__: f for f in (
 ORACLE = {
     "degree_ccdf": DEGREE_CCDF, "triangles_clustering": TRIANGLES_CLUSTERING, "clustering_summary": CLUSTERING_SUMMARY, "triad_census": TRIAD_CENSUS, "dyads": DYADS, "assortativity": ASSORTATIVITY,
     "attribute_assortativity": ATTRIBUTE, "multiplex_overlap": MULTIPLEX, "layer_jaccard": LAYER_JACCARD, "participation": PARTICIPATION, "contact_minmax": CONTACT, "pagerank_fixed": PAGERANK,
-    "graph_components": COMPONENTS, "whole_graph_components": WHOLE_COMPONENTS, "modularity": MODULARITY, "auroc_midrank": AUROC, "pr_curve": PR_CURVE, "auroc_delong": DELONG, "operating_point_fpr": OPERATING, "max_f1_threshold": MAX_F1,
+    "graph_components": WHOLE_COMPONENTS, "whole_graph_components": WHOLE_COMPONENTS, "modularity": MODULARITY, "auroc_midrank": AUROC, "pr_curve": PR_CURVE, "auroc_delong": DELONG, "operating_point_fpr": OPERATING, "max_f1_threshold": MAX_F1,
     "youden_threshold": YOUDEN, "conformal_threshold": CONFORMAL, "partial_auroc": PARTIAL, "binary_rates": RATES, "reliability_table": RELIABILITY, "calibration_error": CALIBRATION,
     "brier_decomposition": BRIER, "kaplan_meier": KAPLAN_MEIER, "harrell_c": HARRELL, "life_table": LIFE_TABLE, "wilcoxon_signed_rank": WILCOXON, "mcnemar": MCNEMAR, "cliffs_delta": CLIFF,
     "friedman_ranks": FRIEDMAN, "bootstrap_mean": BOOTSTRAP, "stage_confusion": CONFUSION,

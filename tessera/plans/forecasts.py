@@ -82,14 +82,8 @@ CODES = f"WITH {U}, c AS (SELECT k, count(*) AS n FROM u GROUP BY k HAVING count
 
 
 def path_distance(spark, sf):
-    """Edit distance between each user's last 30 states and those of the next user."""
-    p = en.paths(updates(spark, sf).withColumn("l", F.substring("kind", 1, 1)), ["entity"], ["us", "seq"], "l", 30)
-    q = p.select((F.col("entity") - 1).alias("entity"), F.col("path").alias("other"))
-    return p.join(q, "entity").select("entity", "path", F.levenshtein("path", "other").cast("bigint").alias("distance"))
-
-
-PATHS = f"""WITH {U}, r AS (SELECT entity, substr(kind, 1, 1) AS l, row_number() OVER (PARTITION BY entity ORDER BY us DESC, seq DESC) AS r FROM u), p AS (SELECT entity, string_agg(l, '' ORDER BY r DESC) AS path FROM r WHERE r <= 30 GROUP BY 1)
-SELECT a.entity, a.path, levenshtein(a.path, b.path)::BIGINT AS distance FROM p a JOIN p b ON b.entity = a.entity + 1"""
+    """Edit distance between the whole paths of each user and of the next user."""
+    return whole_path_distance(spark, sf)
 
 
 def whole_path_distance(spark, sf):
@@ -182,6 +176,6 @@ QUERIES = {f.__name__: f for f in (
 )}
 ORACLE = {
     "entity_table": ENTITY, "relation_table": RELATION, "state_changes": CHANGES, "silences": SILENCES, "patient_zero": PATIENT_ZERO, "host_windows": HOSTS, "log_time_cells": CELLS,
-    "category_codes": CODES, "path_distance": PATHS, "whole_path_distance": WHOLE_PATHS, "horizon_scores": HORIZON, "weighted_quantile": WEIGHTED, "upper_tail_mean": TAIL_MEAN, "periodogram": PERIODOGRAM, "smoothed_series": SMOOTHED,
+    "category_codes": CODES, "path_distance": WHOLE_PATHS, "whole_path_distance": WHOLE_PATHS, "horizon_scores": HORIZON, "weighted_quantile": WEIGHTED, "upper_tail_mean": TAIL_MEAN, "periodogram": PERIODOGRAM, "smoothed_series": SMOOTHED,
     "standardised": STANDARDISED, "ridge_coefficients": RIDGE,
 }
