@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 8 << 20
 #: Spark deletes the shuffle files of a query as soon as it is over.
 FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Bytes of an Arrow batch. Texts are long: batches of a fixed number of rows would take much of a worker's memory.
+BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
 _scopes = threading.local()
 
 
@@ -34,17 +36,24 @@ def shared_dir(spark: SparkSession) -> str:
     return known.rstrip("/")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on Arrow batches of this session are of BATCH_BYTES at most."""
+    spark.conf.set(BATCH, str(min(BATCH_BYTES, int(spark.conf.get(BATCH)) if spark.conf.get(BATCH).isdigit() else BATCH_BYTES)))
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The rows of df as a Parquet table in the shared folder: lineage ends there, and lost executors don't undo it.
     The shuffle files of the write go when it is over, as nothing reads them again."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(FREED, "false")
+    before = {k: spark.conf.get(k) for k in (FREED, BATCH)}
     spark.conf.set(FREED, "true")
+    small_batches(spark)
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(FREED, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     for own in getattr(_scopes, "open", [])[-1:]:
         own.append(path)
     return spark.read.schema(df.schema).parquet(path)
