@@ -308,3 +308,46 @@ def test_stages_keep_columns_and_take_awkward_rows(spark, data):
             assert out.columns == df.columns and out.count() <= docs.count()
         assert corpus_pipeline.STAGES[-1][1](spark, docs, data).count() == docs.count()
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality classifier", "line dedup", "near dedup", "decontamination", "bpe"]
+
+
+def test_texts_of_one_doc_id_lose_their_own_lines(spark):
+    line, other = "one two three four five six seven", "eight nine ten eleven twelve thirteen"
+    df = spark.createDataFrame([(1, line), (2, line), (2, other), (3, other), (3, other)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.text) for r in linejoin.without_later_lines(df).collect()) == [(1, line), (2, other)]
+
+
+def test_a_large_group_of_near_copies_goes_through_blocks(spark, monkeypatch):
+    """Lines that differ from a common one in some words each: few match the first, many match some other."""
+    import random
+
+    rng, words = random.Random(5), base(40).split()
+    texts = []
+    for i in range(60):
+        w = list(words)
+        for at in rng.sample(range(40), rng.randint(2, 6)):
+            w[at] = f"z{rng.randint(0, 400)}"
+        texts.append(" ".join(w))
+    monkeypatch.setattr(linejoin, "BLOCK_LINES", 8)
+    got = {(r.doc_id, r.line): (r.match_doc_id, r.match_line) for r in linejoin.later_lines(frame(spark, texts, "line")).collect()}
+    assert got == {(i, n): m for i, x in brute_lines(dict(enumerate(texts))).items() for n, m in x.items()}
+    monkeypatch.setattr(minhash, "BLOCK_SHINGLES", 200)
+    near = [" ".join(words * 3) + " " + " ".join(f"y{i % (7 + j)}" for i in range(8 + j)) for j in range(20)]
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(frame(spark, texts + near), 5).collect()}
+    assert got == brute_components(dict(enumerate(texts + near)), 5)
+
+
+def test_runs_of_few_words_are_cut(spark):
+    run = "buy now " * 40
+    spans = passages.repeated_spans(frame(spark, [f"first of all {run} end", f"another one {run}"], "start")).collect()
+    assert {1} <= {r.doc_id for r in spans}
+
+
+def test_marked_holds_all_its_keys(spark):
+    import numpy as np
+
+    from tessera.llm.common import Marked
+
+    keys = spark.range(1000).selectExpr("xxhash64(id) AS key")
+    marked = Marked(keys, "key")
+    own = np.array([r.key for r in keys.collect()])
+    assert marked.holds(own).all() and marked.holds(np.arange(10_000, dtype=np.int64) * 7919).mean() < 0.1

@@ -158,3 +158,44 @@ def test_unclosed_elements_and_forms_keep_the_page():
         assert main_text(f"<body>{form}{menu}<div>{body}</div></form></body>") == want
         assert main_text(f"<body><article><p>{body}</p>{form}<label>Your name</label><input></form></article></body>") == want
     assert main_text(f"<body><p>{body}</p><form class=search-form><p>{body}</p></form></body>") == want
+
+
+PROSE = [
+    "It is the story of a river and of the people who live by it, as they were told it when they were young and had time to hear it all.",
+    "There was a time when the boats came in each day with what they had, and the men who sold it were known to all of us in the town.",
+    "Now that the harbour is quiet it is hard to say what has been lost, but those who stay on will tell you that it was not the work.",
+]
+
+
+def test_each_rule_decides_blocks_without_any_names_or_article():
+    from collections import Counter
+
+    links = "".join(f"<div><a href={i}>Section {i} of the site</a> <a href=x{i}>more</a></div>" for i in range(4))
+    code = "<div>" + "x=1; zz=2; " * 30 + "</div>"
+    body = f"<div>{PROSE[0]}</div><div>Short one.</div>{code}<div>{PROSE[1]}</div><h2>Then</h2><div>{PROSE[2]}</div>"
+    page = f"<body>{links}<div>Menu</div>{links}<div><div>{body}</div></div>{links}<div>Imprint</div>{links}</body>"
+    want = [PROSE[0], "Short one.", ("x=1; zz=2; " * 30).strip(), PROSE[1], "Then", PROSE[2]]
+    assert htmltext.main_text(page).split("\n") == want
+    rules = Counter(htmltext.decided(htmltext.page_blocks(page)))
+    assert rules == {(False, "links"): 16, (True, "stops"): 3, (True, "length"): 1, (True, "neighbours"): 2, (False, "neighbours"): 2}
+    inside = Counter(htmltext.decided(htmltext.page_blocks(f"<article>{body}</article>")))
+    assert inside == {(True, "stops"): 3, (True, "length"): 1, (True, "neighbours"): 2}
+
+
+def test_names_are_hints_by_their_last_word():
+    for name in ("sidebar-layout", "has-sidebar", "promotion-history", "notice-of-hearing", "content"):
+        assert htmltext.main_text(f"<article><p>{PROSE[0]}</p><div class='{name}'><p>{PROSE[1]}</p></div></article>").split("\n") == PROSE[:2]
+    for name in ("sidebar", "main-sidebar", "comments", "comment-list", "cookie-notice", "ad-slot", "ad", "newsletter_box"):
+        assert htmltext.main_text(f"<p>{PROSE[0]}</p><div class='{name}'><p>{PROSE[1]}</p></div>") == PROSE[0]
+    long = " ".join(PROSE)
+    assert htmltext.main_text(f"<div class='modal'><p>{long}</p></div>") == long and htmltext.main_text(f"<div class='comments'><p>{long}</p></div>") == ""
+
+
+def test_hostile_pages_take_time_in_proportion():
+    import time
+
+    began = time.time()
+    for piece in ("<a ", "</div>", "<svg>", '<a "', "<div>", "<!--", "<", "<a 'x>"):
+        htmltext.main_text(piece * 100_000)
+    assert time.time() - began < 20
+    assert htmltext.main_text("\u0130" * 50 + "<script>x</script>" + PROSE[0]).endswith(PROSE[0])
