@@ -131,3 +131,24 @@ def cramers_v(df: DataFrame, x: str, y: str) -> DataFrame:
     return agg.select("n", (phi2 * F.col("n")).alias("chi2"), F.sqrt(ratio(adj, F.least(rr - 1, cc - 1))).alias("v"))
 
 
+
+
+def trimmed_middle(df: DataFrame, value: str, by: list[str], share: float = 0.25) -> DataFrame:
+    """The mean of each group without its floor(share * n) least and as many largest values (share 0.25: interquartile
+    mean), from counts by value. Of a value on a cut, the rows on the inner side count."""
+    run = running_totals(value_counts(df, value, by), value, ["n"], by)
+    cut = F.floor(F.col("total_n") * share + 1e-9)
+    inside = F.least(F.col("cum_n"), F.col("total_n") - cut) - F.greatest(F.col("cum_n") - F.col("n"), cut)
+    kept = run.withColumn("__k", F.greatest(inside, F.lit(0)))
+    return kept.groupBy(*by).agg(F.max("total_n").alias("n"), (F.sum(F.col(value) * F.col("__k")) / F.sum("__k")).alias("mean"))
+
+
+def ensemble_crps(members: Column, observed: Column) -> Column:
+    """The fair continuous ranked probability score of an array of forecasts: the mean distance to what came, less half
+    of the mean distance between two different members. Null for fewer than two members."""
+    m = F.size(members)
+    far = F.aggregate(members, F.lit(0.0), lambda s, x: s + F.abs(x - observed)) / m
+    ordered = F.array_sort(members)
+    # of sorted members, member i (from 0) stands in the differences 2 * i + 1 - m times more with plus than with minus
+    spread = F.aggregate(F.zip_with(ordered, F.sequence(F.lit(0), m - 1), lambda x, i: x * (2 * i + 1 - m)), F.lit(0.0), lambda s, x: s + x)
+    return F.when(m > 1, far - spread / (m * (m - 1)))

@@ -116,3 +116,11 @@ def confusion(df: DataFrame, label: str, predicted: str) -> DataFrame:
     said = c.groupBy(F.col("p").alias("y")).agg(F.sum("n").alias("said"))
     j = own.join(said, "y", "left").fillna(0, ["said"])
     return j.select("y", "support", ratio(F.col("tp"), F.col("said")).alias("precision"), ratio(F.col("tp"), F.col("support")).alias("recall"), ratio(2 * F.col("tp"), F.col("support") + F.col("said")).alias("f1"))
+
+
+def restricted_mean(df: DataFrame, time: str, event: str, by: list[str], tau: float) -> DataFrame:
+    """The area under each group's Kaplan-Meier curve up to tau; tau where no event comes earlier."""
+    curve = kaplan_meier(df, time, event, by).filter(F.col(time) <= tau)
+    until = F.lead(time, 1, tau).over(Window.partitionBy(*by).orderBy(time))
+    area = curve.withColumn("__w", F.col("survival") * (until - F.col(time))).groupBy(*by).agg((F.sum("__w") + F.min(time)).alias("rmst"))
+    return df.filter(F.col(time).isNotNull()).select(*by).distinct().join(area, by, "left").withColumn("rmst", F.coalesce("rmst", F.lit(float(tau))))
