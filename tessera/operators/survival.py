@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.scalars import ratio
 from tessera.operators.ranks import running_totals, value_ranks
+from tessera.operators.splits import hash_order
 
 
 def kaplan_meier(df: DataFrame, time: str, event: str, by: list[str]) -> DataFrame:
@@ -124,3 +125,16 @@ def restricted_mean(df: DataFrame, time: str, event: str, by: list[str], tau: fl
     until = F.lead(time, 1, tau).over(Window.partitionBy(*by).orderBy(time))
     area = curve.withColumn("__w", F.col("survival") * (until - F.col(time))).groupBy(*by).agg((F.sum("__w") + F.min(time)).alias("rmst"))
     return df.filter(F.col(time).isNotNull()).select(*by).distinct().join(area, by, "left").withColumn("rmst", F.coalesce("rmst", F.lit(float(tau))))
+
+
+def sign_flips(df: DataFrame, difference: str, key: str, by: list[str], seed: int = 0, flips: int = 60) -> DataFrame:
+    """A paired permutation test by group: n, the mean difference, and p, the share of `flips` (60 at most) random choices
+    of signs, the real one included, whose mean is as far from 0. Each row's signs are bits of one hash of its key, so
+    that all choices are sums of one aggregate, and rows are neither multiplied nor sorted."""
+    bits = F.conv(F.substring(hash_order(F.col(key), seed), 1, 15), 16, 10).cast("bigint")
+    d = F.col(difference).cast("double")
+    rows = df.filter(d.isNotNull()).withColumns({"__bits": bits, "__d": d})
+    sums = [F.sum(F.when(F.shiftright("__bits", r).bitwiseAND(F.lit(1)) == 1, -F.col("__d")).otherwise(F.col("__d"))).alias(f"__s{r}") for r in range(flips)]
+    out = rows.groupBy(*by).agg(F.count("*").alias("n"), F.sum("__d").alias("__t"), *sums)
+    as_far = sum(((F.abs(f"__s{r}") >= F.abs("__t") - 1e-9).cast("int") for r in range(1, flips)), (F.abs("__s0") >= F.abs("__t") - 1e-9).cast("int"))
+    return out.select(*by, "n", (F.col("__t") / F.col("n")).alias("mean"), ((as_far + 1) / F.lit(flips + 1)).alias("p"))

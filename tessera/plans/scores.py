@@ -56,5 +56,17 @@ def mapped_labels(spark, sf):
 _ROWS = ", ".join(f"('{r.strip().lower()}', {'NULL' if m is None else m}, {s}, '{f}')" for r, m, s, f in LABELS)
 MAPPED = f"WITH {U}, m(raw, malicious, stage, family) AS (VALUES {_ROWS}) SELECT seq, kind, malicious::INTEGER AS malicious, stage::INTEGER AS stage, family, (raw IS NOT NULL OR kind IS NULL) AS mapped FROM u LEFT JOIN m ON trim(regexp_replace(lower(kind), '[^a-z0-9]+', ' ', 'g')) = raw"
 
-QUERIES = {f.__name__: f for f in (restricted_mean, interquartile_mean, ensemble_crps, mapped_labels)}
-ORACLE = {"restricted_mean": RESTRICTED, "interquartile_mean": INTERQUARTILE, "ensemble_crps": CRPS, "mapped_labels": MAPPED}
+def paired_permutation(spark, sf):
+    """Values against the numbers in the events' properties, by kind."""
+    d = updates(spark, sf).withColumn("d", F.col("value") - F.col("k"))
+    out = survival.sign_flips(d, "d", "seq", ["kind"], 5)
+    return out.select("kind", "n", rounded(F.col("mean")).alias("mean"), rounded(F.col("p")).alias("p"))
+
+
+_FLIPS = ", ".join(f"sum(CASE WHEN (h >> {r}) & 1 = 1 THEN -d ELSE d END) AS s{r}" for r in range(60))
+_AS_FAR = " + ".join(f"(abs(s{r}) >= abs(t) - 1e-9)::INT" for r in range(60))
+FLIPS = f"""WITH {U}, x AS (SELECT kind, (value - k)::DOUBLE AS d, ('0x' || substr(md5('5:' || seq), 1, 15))::BIGINT AS h FROM u WHERE value IS NOT NULL AND k IS NOT NULL),
+g AS (SELECT kind, count(*) AS n, sum(d) AS t, {_FLIPS} FROM x GROUP BY 1) SELECT kind, n, round(t / n, 6) AS mean, round(({_AS_FAR} + 1) / 61, 6) AS p FROM g"""
+
+QUERIES = {f.__name__: f for f in (restricted_mean, interquartile_mean, ensemble_crps, mapped_labels, paired_permutation)}
+ORACLE = {"restricted_mean": RESTRICTED, "interquartile_mean": INTERQUARTILE, "ensemble_crps": CRPS, "mapped_labels": MAPPED, "paired_permutation": FLIPS}
