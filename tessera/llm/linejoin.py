@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import Marked, group_starts, settled, stored, whole_groups
 from tessera.llm.textblocks import LOWER, blocks, digests, mix, runs, words
 
-LINES = "doc_id long, text_id long, line int, n int, hi long, lo long, skip int, parity long, prefix array<long>"
+LINES = "doc_id long, text_id long, line int, n int, hi long, lo long, skip int, parity long, parity2 long, prefix array<long>"
 PLACE = ["doc_id", "text_id", "line"]
 #: Lines of a bucket that one group holds of either side.
 BLOCK_LINES = 2048
@@ -67,8 +67,9 @@ def rarity(df: DataFrame, slot_bits: int = SLOT_BITS) -> np.ndarray:
 
 def line_sets(df: DataFrame, codes: np.ndarray, percent: int, least_words: int) -> DataFrame:
     """For every line of least_words distinct words or more: set size, a digest of 128 bits, and the digests of the prefix
-    without its first `skip` words, which occur once in the whole table and so match nothing. Each word flips one of 64
-    bits of `parity`: lines that differ in d words differ in d bits at most. text_id tells texts of one doc_id apart."""
+    without its first `skip` words, which occur once in the whole table and so match nothing. Each word flips one of the 128
+    bits of `parity` and `parity2`: lines that differ in d words differ in d bits at most. 64 bits would tell nothing of
+    lines of a hundred words. text_id tells texts of one doc_id apart."""
     shared = df.sparkSession.sparkContext.broadcast(codes)
     bits = int(np.log2(len(codes)))
 
@@ -103,9 +104,11 @@ def line_sets(df: DataFrame, codes: np.ndarray, percent: int, least_words: int)
                 for i in (0, 1):
                     np.cumsum(mix(h, 201 + i), out=total[i, 1:])
                 upper, lower = (mix(t[begin + n] - t[begin]) for t in total)
-                flips = np.zeros(len(h) + 1, np.uint64)
-                np.bitwise_xor.accumulate(np.uint64(1) << (mix(h, 203) & np.uint64(63)), out=flips[1:])
-                parity = flips[begin + n] ^ flips[begin]
+                bit = mix(h, 203)
+                flips = np.zeros((2, len(h) + 1), np.uint64)
+                for i in (0, 1):
+                    np.bitwise_xor.accumulate((bit >> np.uint64(6) & np.uint64(1) == i).astype(np.uint64) << (bit & np.uint64(63)), out=flips[i, 1:])
+                parity = [f[begin + n] ^ f[begin] for f in flips]
                 size = n - (percent * n + 99) // 100 + 1
                 size[100 * n < percent * (n + 1)] = 0  # only equal sets match, and those are classes already
                 seen = np.concatenate([[0], np.cumsum(code == 1)])
@@ -122,7 +125,7 @@ def line_sets(df: DataFrame, codes: np.ndarray, percent: int, least_words: int)
                         pa.array(upper.view(np.int64)),
                         pa.array(lower.view(np.int64)),
                         pa.array(skip, pa.int32()),
-                        pa.array(parity.view(np.int64)),
+                        *(pa.array(p.view(np.int64)) for p in parity),
                         lists,
                     ],
                     names=[x.split()[0] for x in LINES.split(", ")],
@@ -185,10 +188,15 @@ def similar(a: str, b: str, percent: int) -> str:
     return (
         f"100 * least({a}.n, {b}.n) >= {percent} * greatest({a}.n, {b}.n)"
         f" AND least({a}.n - {a}.at, {b}.n - {b}.at) * {100 + percent} >= {percent} * ({a}.n + {b}.n)"
-        f" AND bit_count({a}.parity ^ {b}.parity) * {100 + percent} <= {100 - percent} * ({a}.n + {b}.n)"
+        f" AND {apart(a, b)} * {100 + percent} <= {100 - percent} * ({a}.n + {b}.n)"
     )
 
 
+def apart(a: str, b: str) -> str:
+    """SQL: bits in which the parities of two lines differ."""
+    return f"(bit_count({a}.parity ^ {b}.parity) + bit_count({a}.parity2 ^ {b}.parity2))"
+
+
 def verified(pairs: DataFrame, words: DataFrame, percent: int) -> DataFrame:
     """The pairs of places (y, x) whose full sets of words have 100 * common >= percent * all."""
     both = pairs.join(words.select(F.col("place").alias("y"), F.col("words").alias("b")), "y").join(words.select(F.col("place").alias("x"), F.col("words").alias("a")), "x")
@@ -216,23 +224,23 @@ def _first_similar(mine: np.ndarray, n: np.ndarray, sets: np.ndarray, ends: np.n
 def earliest_in_blocks(live: DataFrame, tokens: DataFrame, words: DataFrame, percent: int) -> DataFrame:
     """(y, x): for each live line the earliest match x before its bound, from each pair of blocks of its buckets.
 
-    live: token, place, n, at, parity, bound. Buckets of the same lines count once. The lines of a bucket and its live
+    live: token, place, n, at, parity, parity2, bound. Buckets of the same lines count once. The lines of a bucket and its live
     lines are dealt into blocks, so that a group is of bounded size however large the bucket is."""
     same = tokens.join(live.select("token").distinct(), "token").groupBy("token").agg(
         F.count("*").alias("n"), F.bit_xor(F.xxhash64("place")).alias("h0"), F.bit_xor(F.xxhash64("place", F.lit(1))).alias("h1"), F.sum(F.xxhash64("place", F.lit(2)).cast("decimal(20,0)")).alias("h2")
     )
     first = same.groupBy("n", "h0", "h1", "h2").agg(F.min("token").alias("first"))
     same = stored(same.join(first, ["n", "h0", "h1", "h2"]).select("token", "first", "n"), "line-buckets")
-    live = live.join(same, "token").groupBy(F.col("first").alias("token"), "place", "bound", "parity").agg(F.lit(0).alias("one")).drop("one")
+    live = live.join(same, "token").groupBy(F.col("first").alias("token"), "place", "bound", "parity", "parity2").agg(F.lit(0).alias("one")).drop("one")
     sizes = live.groupBy("token").agg(F.ceil(F.count("*") / BLOCK_LINES).cast("int").alias("ys")).join(same.filter("token = first"), "token")
     sizes = stored(sizes.select("token", "ys", F.ceil(F.col("n") / BLOCK_LINES).cast("int").alias("xs")), "line-blocks")
 
     def dealt(rows: DataFrame, own: str, other: str, asks: bool, bound: str) -> DataFrame:
         rows = rows.join(sizes, "token").withColumns({own: F.pmod(F.xxhash64("place"), F.col(own + "s")).cast("int"), other: F.explode(F.sequence(F.lit(0), F.col(other + "s") - 1))})
-        return rows.select("token", "x", "y", F.lit(asks).alias("asks"), "place", F.col(bound).alias("bound"), "parity")
+        return rows.select("token", "x", "y", F.lit(asks).alias("asks"), "place", F.col(bound).alias("bound"), "parity", "parity2")
 
     rows = dealt(tokens, "x", "y", False, "place").union(dealt(live, "y", "x", True, "bound")).join(words, "place")
-    flat = rows.select("token", "x", "y", "asks", "parity", *(F.col(f"place.{c}").alias(c) for c in PLACE), *(F.col(f"bound.{c}").alias(f"b_{c}") for c in PLACE), "words")
+    flat = rows.select("token", "x", "y", "asks", "parity", "parity2", *(F.col(f"place.{c}").alias(c) for c in PLACE), *(F.col(f"bound.{c}").alias(f"b_{c}") for c in PLACE), "words")
     out = ", ".join(f"{side}_{c} {'int' if c == 'line' else 'long'}" for side in "yx" for c in PLACE)
 
     def run(batches):
@@ -241,7 +249,7 @@ def earliest_in_blocks(live: DataFrame, tokens: DataFrame, words: DataFrame, per
             lists = t.column("words").combine_chunks()
             ends, sets = lists.offsets.to_numpy(), lists.values.to_numpy()
             n, starts, found = np.diff(ends), group_starts(c["token"], c["x"], c["y"]), []
-            parity = c["parity"].view(np.uint64)
+            parity, parity2 = (c[name].view(np.uint64) for name in ("parity", "parity2"))
             for lo, hi in zip(starts[:-1], starts[1:]):
                 asks = c["asks"][lo:hi]
                 mine, old = lo + np.flatnonzero(asks), lo + np.flatnonzero(~asks)
@@ -254,7 +262,8 @@ def earliest_in_blocks(live: DataFrame, tokens: DataFrame, words: DataFrame, per
                 for i, limit in zip(mine, before[len(old) :]):
                     x = old[:limit]
                     ok = 100 * np.minimum(n[x], n[i]) >= percent * np.maximum(n[x], n[i])
-                    ok &= np.bitwise_count(parity[x] ^ parity[i]) * np.int64(100 + percent) <= (100 - percent) * (n[x] + n[i])
+                    bits = np.bitwise_count(parity[x] ^ parity[i]).astype(np.int64) + np.bitwise_count(parity2[x] ^ parity2[i])
+                    ok &= bits * (100 + percent) <= (100 - percent) * (n[x] + n[i])
                     j = _first_similar(sets[ends[i] : ends[i + 1]], n, sets, ends, x[ok], percent)
                     if j >= 0:
                         found.append((i, j))
@@ -268,26 +277,26 @@ def earliest_in_blocks(live: DataFrame, tokens: DataFrame, words: DataFrame, per
 
 def live_tokens(reps: DataFrame, percent: int) -> DataFrame:
     """A row for each word in the prefix of a class that shares it with another class, such that the two pass all filters:
-    token, place, n, at, parity. Both sides of the semi-join are the same shuffle, read twice."""
-    tokens = reps.select("hi", "parity", F.col("n").cast("long").alias("n"), "skip", F.posexplode("prefix").alias("i", "token"))
-    tokens = tokens.select("token", "hi", "parity", (F.shiftleft("n", 32) + F.col("i") + F.col("skip")).alias("n_at"))
+    token, place, n, at, parity, parity2. Both sides of the semi-join are the same shuffle, read twice."""
+    tokens = reps.select("hi", "parity", "parity2", F.col("n").cast("long").alias("n"), "skip", F.posexplode("prefix").alias("i", "token"))
+    tokens = tokens.select("token", "hi", "parity", "parity2", (F.shiftleft("n", 32) + F.col("i") + F.col("skip")).alias("n_at"))
     nx, ny, ax, ay = "shiftright(x.n_at, 32)", "shiftright(y.n_at, 32)", "(x.n_at & 4294967295)", "(y.n_at & 4294967295)"
     both = F.expr(
-        f"x.token = y.token AND NOT (x.hi = y.hi AND x.parity = y.parity) AND 100 * least({nx}, {ny}) >= {percent} * greatest({nx}, {ny})"
+        f"x.token = y.token AND NOT (x.hi = y.hi AND x.parity = y.parity AND x.parity2 = y.parity2) AND 100 * least({nx}, {ny}) >= {percent} * greatest({nx}, {ny})"
         f" AND least({nx} - {ax}, {ny} - {ay}) * {100 + percent} >= {percent} * ({nx} + {ny})"
-        f" AND bit_count(x.parity ^ y.parity) * {100 + percent} <= {100 - percent} * ({nx} + {ny})"
+        f" AND {apart('x', 'y')} * {100 + percent} <= {100 - percent} * ({nx} + {ny})"
     )
     parts = []
     for part in range(SLICES):
         own = tokens.filter(F.pmod("token", F.lit(SLICES)) == part)
         parts.append(stored(own.alias("x").join(own.alias("y"), both, "left_semi"), "line-tokens"))
-    rows = functools.reduce(DataFrame.union, parts).join(reps.select("hi", "parity", "place"), ["hi", "parity"])
-    return rows.select("token", "place", F.shiftright("n_at", 32).alias("n"), F.col("n_at").bitwiseAND(F.lit(4294967295)).alias("at"), "parity")
+    rows = functools.reduce(DataFrame.union, parts).join(reps.select("hi", "parity", "parity2", "place"), ["hi", "parity", "parity2"])
+    return rows.select("token", "place", F.shiftright("n_at", 32).alias("n"), F.col("n_at").bitwiseAND(F.lit(4294967295)).alias("at"), "parity", "parity2")
 
 
 def earliest_links(df: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
     """(y, x): the earliest match x of each class y that has one, as places of their first lines."""
-    hubs = tokens.groupBy("token").agg(F.min(F.struct("place", "n", "at", "parity")).alias("h")).select("token", "h.*")
+    hubs = tokens.groupBy("token").agg(F.min(F.struct("place", "n", "at", "parity", "parity2")).alias("h")).select("token", "h.*")
     tried = tokens.alias("b").join(hubs.alias("a"), F.expr(f"a.token = b.token AND a.place < b.place AND {similar('a', 'b', percent)}"))
     tried = stored(tried.groupBy(F.col("b.place").alias("y")).agg(F.min("a.place").alias("x")), "line-tried")
     words = words_of(df, tokens.select(F.col("place").alias("p")))
@@ -315,7 +324,7 @@ def later_lines(df: DataFrame, percent: int = 80, least_words: int = 5) -> DataF
 
     def tables():
         lines = stored(line_sets(df, rarity(df), percent, least_words), "lines")
-        reps = lines.groupBy("hi", "lo").agg(F.min(place).alias("place"), F.count("*").alias("copies"), *(F.first(c).alias(c) for c in ("n", "skip", "parity", "prefix")))
+        reps = lines.groupBy("hi", "lo").agg(F.min(place).alias("place"), F.count("*").alias("copies"), *(F.first(c).alias(c) for c in ("n", "skip", "parity", "parity2", "prefix")))
         reps = stored(reps, "line-classes")
         tokens = live_tokens(reps.filter("size(prefix) > 0"), percent)
         return lines.select(*PLACE, "hi", "lo"), reps.select("hi", "lo", "place", "copies"), tokens
