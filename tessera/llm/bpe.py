@@ -18,8 +18,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words kept by one worker (twice as many at most).
-CACHE_WORDS = 150_000
+#: Words kept by one worker (twice as many at most), none of them longer than this many characters: workers outlive their
+#: tasks, and what they keep is missing to the next ones.
+CACHE_WORDS, CACHE_LENGTH = 50_000, 64
 
 
 def byte_symbols() -> list[str]:
@@ -191,7 +192,8 @@ class WordBpe:
                     found = old.get(w) or self.word(w)
                     if len(new) >= CACHE_WORDS:
                         self._old, self._new = old, new = new, {}
-                    new[w] = found
+                    if len(w) <= CACHE_LENGTH:
+                        new[w] = found
                 out.append(found[0])
         return b"".join(out)
 
