@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("observe", "describe", "sequences", "evaluation", "ingest", "forecasts", "perturbed", "scores")
+MODULES = ("observe", "describe", "sequences", "evaluation", "ingest", "forecasts", "perturbed", "scores", "audits")
 
 QUERIES: dict = {}
 ORACLE: dict = {}
