@@ -207,3 +207,25 @@ def test_components_and_paths_take_every_row(spark, data, duck):
     lengths = dict(duck.execute("SELECT user_id, count(*) FROM events GROUP BY 1").fetchall())
     got = {r.entity: len(r.path) for r in registry.QUERIES["whole_path_distance"](spark, data).collect()}
     assert got == {k: n for k, n in lengths.items() if k + 1 in lengths} and max(got.values()) > 30
+
+
+def test_audit_edges(spark):
+    from pyspark.sql import functions as F
+
+    from tessera.operators import audit
+
+    rows = [(1, 1, 3, True), (1, 0, 2, True), (2, 7, -1, True), (3, 1, 20, True), (None, None, -1, False), (4, 1, -1, False), (5, None, -1, True)]
+    df = spark.createDataFrame(rows, "seq long, malicious int, stage int, mapped boolean")
+    got = {r.rule: r.violations for r in audit.label_violations(df, "seq").collect()}
+    assert got == {"malicious": 1, "stage": 1, "unmapped": 1, "stage_of_harmless": 1, "no_key": 1, "repeated_key": 2}
+    assert {r.violations for r in audit.label_violations(df.limit(0), "seq").collect()} == {0}
+    cells = spark.createDataFrame([(0, None, "a"), (0, 1, "a"), (1, 1, "a"), (1, 1, "b"), (1, None, None)], "g int, c int, y string")
+    found = {r.g: r for r in audit.error_bounds(cells, "c", "y", ["g"]).collect()}
+    assert (found[0].n, found[0].classes, found[0].bits, found[0].fano, found[0].error) == (2, 1, 0.0, 0.0, 0.0)
+    assert abs(found[1].bits - 1) < 1e-9 and abs(found[1].fano - 0.5) < 1e-6 and found[1].error == 0.5 and found[1].coefficient == 0
+    low, high = spark.range(1).select(*audit.nearest_bounds(F.lit(0.32), F.lit(2))).first()
+    assert abs(low - 0.2) < 1e-9 and high == 0.32
+    flat = spark.createDataFrame([(0, t, 2.0) for t in range(5)], "g int, t int, x double")
+    assert audit.kpss(flat, "t", "x", ["g"], 2).first().kpss is None
+    one = spark.createDataFrame([("k", 1, 5), ("k", 2, 5)], "kind string, net int, us long")
+    assert audit.alerts_per_day(one, F.lit(True), "us", ["net"], ["kind"]).first().per_day is None
