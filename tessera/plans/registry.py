@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("observe", "describe", "sequences", "evaluation", "ingest", "forecasts", "perturbed", "scores", "audits")
+MODULES = ("observe", "describe", "sequences", "evaluation", "ingest", "forecasts", "perturbed", "scores", "audits", "fields")
 
 QUERIES: dict = {}
 ORACLE: dict = {}
