@@ -7,7 +7,7 @@ import importlib
 import corpus_pipeline
 
 MODULES = (
-    "q01_sharding", "q02_warc", "q03_linejoin", "q04_quality", "q05_minhash", "q06_passages", "q07_media", "q08_bpe", "q09_html", "q10_decontaminate", "q11_packing",
+    "q01_sharding", "q02_warc", "q03_linejoin", "q04_quality", "q05_minhash", "q06_passages", "q07_media", "q08_bpe", "q09_html", "q10_decontaminate", "q11_packing", "q12_collocations", "q13_variants",
 )
 
 QUERIES: dict = {}
