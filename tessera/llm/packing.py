@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,21 +16,26 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import small_batches, stored
 
-#: Chunks and words that a worker keeps (twice as many at most), none longer than this many bytes; texts are read in
-#: slices of about SLICE bytes, cut at white space.
-CACHE, CACHE_LENGTH, SLICE = 60_000, 40, 1 << 20
+#: Chunks that a worker keeps (twice as many at most), none longer than this many bytes; texts are read in slices of about
+#: SLICE bytes, cut at white space.
+CACHE, CACHE_LENGTH, SLICE = 400_000, 40, 1 << 20
+#: Marks that are a piece of their own after a letter and at the end of a chunk.
+MARKS = b".,;:!?"
+MARKED = re.compile(rb"(?<=[A-Za-z])([.,;:!?])(?=[ \t-\r])")
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-class Ids:
-    """Token ids by the tokenizers library, of texts whose words come again and again.
+class Ids(dict):
+    """Token ids by the tokenizers library, of texts whose words come again and again: chunk of text to its ids as
+    little-endian 32-bit integers.
 
     Where the tokenizer splits by a pattern without white space, chunks between ASCII white space are encoded each by itself:
-    the library normalises them and its model encodes their pieces, and both are kept. Any other tokenizer gets whole texts."""
+    the library normalises them and its model encodes their pieces. Any other tokenizer gets whole texts."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.whole = whole = Tokenizer.from_file(path)
         whole.no_truncation()
         whole.no_padding()
@@ -36,59 +43,50 @@ class Ids:
         kinds = [x["type"] for x in (spec["normalizer"] or {}).get("normalizers", [])]
         splits = [x["type"] for x in (spec["pre_tokenizer"] or {}).get("pretokenizers", [])]
         self.plain = spec["model"]["type"] != "BPE" or kinds != ["NFC", "Replace", "Lowercase"] or splits != ["Split", "ByteLevel"]
+        self.before: dict[bytes, bytes] = {}
         if not self.plain:
             from tessera.llm.bpe import byte_symbols
 
             self.pieces = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
             self.special = [x["content"] for x in spec["added_tokens"]]
             self.symbols, self.model, self.normalizer = dict(enumerate(byte_symbols())), whole.model, whole.normalizer
-        self.words: list[dict[str, bytes]] = [{}, {}]
-        self.chunks: list[dict[bytes, bytes]] = [{}, {}]
+            self.marks = {m: self.piece(chr(m)) for m in MARKS}
 
-    def word(self, word: str) -> bytes:
-        new, old = self.words
-        found = new.get(word)
-        if found is None:
-            found = old.get(word)
-            if found is None:
-                found = np.array([t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.symbols))], "<u4").tobytes()
-            if len(new) >= CACHE:
-                self.words = [new := {}, new]
-            if len(word) <= CACHE_LENGTH:
-                new[word] = found
-        return found
-
-    def chunk(self, raw: bytes) -> bytes:
-        text = raw.decode()
+    def piece(self, piece: str) -> bytes:
+        return array("I", [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.symbols))]).tobytes()
+
+    def mixed(self, text: str) -> bytes:
+        """The ids of a chunk that is more than a word."""
         if any(s in text for s in self.special):
-            return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        text = text.lower() if text.isascii() else self.normalizer.normalize_str(text)
-        return b"".join(map(self.word, self.pieces.findall(text)))
+            return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
+        return b"".join(map(self.piece, self.pieces.findall(text.lower() if text.isascii() else self.normalizer.normalize_str(text))))
+
+    def __missing__(self, chunk: bytes) -> bytes:
+        text, mark = chunk.decode(), b""
+        if chunk[-1] in self.marks and text[:-1].isalpha():  # kept as a word and a mark
+            text, mark, chunk = text[:-1], self.marks[chunk[-1]], chunk[:-1]
+        found = self.get(chunk) or self.before.get(chunk)
+        if found is None:
+            found = self.piece(text.lower() if text.isascii() else self.normalizer.normalize_str(text)) if text.isalpha() else self.mixed(text)
+        if len(self) >= CACHE:
+            self.before = dict(self)
+            self.clear()
+        if len(chunk) <= CACHE_LENGTH:
+            self[chunk] = found
+        return found + mark
 
     def encode(self, raw: bytes) -> bytes:
-        """The ids of a whole text as little-endian 32-bit integers."""
+        """The ids of a whole text."""
         if self.plain:
-            return np.array(self.whole.encode(raw.decode(), add_special_tokens=False).ids, "<u4").tobytes()
-        out = []
-        for part in sliced(raw):
-            for c in part.split():
-                new, old = self.chunks
-                if (found := new.get(c)) is None:
-                    if (found := old.get(c)) is None:
-                        found = self.chunk(c)
-                    if len(new) >= CACHE:
-                        self.chunks = [new := {}, new]
-                    if len(c) <= CACHE_LENGTH:
-                        new[c] = found
-                out.append(found)
-        return b"".join(out)
+            return array("I", self.whole.encode(raw.decode(), add_special_tokens=False).ids).tobytes()
+        return b"".join([b"".join(map(self.__getitem__, MARKED.sub(rb" \1", part).split())) for part in sliced(raw)])
 
 
 def sliced(raw: bytes) -> Iterator[bytes]:
     """The text in slices of about SLICE bytes; a slice ends before ASCII white space."""
     at = 0
     while len(raw) - at > SLICE:
-        m = regex.compile(rb"[ \t-\r]").search(raw, at + SLICE)
+        m = re.compile(rb"[ \t-\r]").search(raw, at + SLICE)
         to = m.start() if m else len(raw)
         yield raw[at:to]
         at = to
