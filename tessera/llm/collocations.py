@@ -10,12 +10,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Marked, sized, small_batches, stored
+from tessera.llm.common import Marked, group_starts, sized, small_batches, stored
 from tessera.llm.textblocks import LOWER, blocks, digests, mix, runs
 
 #: Words of a shard, after which a task writes what it has counted.
 SHARD = 1 << 21
 DEPTH = 4
+#: Ranges of two-word prefixes, of which each shard's trie is a row: this many, or one for each 2**20 words if that's more.
+RANGES = 256
 #: Bytes that end a piece, and those that end a word.
 CUT = np.zeros(256, bool)
 CUT[[*b".,;:!?", *range(10, 14)]] = True
@@ -87,10 +89,10 @@ def shards(batches: Iterator[pa.RecordBatch], chosen: Callable[[np.ndarray, np.n
         yield shard
 
 
-def _batches(columns: dict[str, pa.Array] | pa.Table) -> Iterator[pa.RecordBatch]:
+def _batches(columns: dict[str, pa.Array] | pa.Table, most: int = 65_536) -> Iterator[pa.RecordBatch]:
     rows = columns if isinstance(columns, pa.Table) else pa.table(columns)
     plain = pa.schema([(f.name, pa.string() if f.type == pa.large_string() else f.type) for f in rows.schema])
-    yield from rows.cast(plain).to_batches(max_chunksize=65_536)
+    yield from rows.cast(plain).to_batches(max_chunksize=most)
 
 
 def word_counts(batches):
@@ -125,9 +127,9 @@ def pair_counts(frequent: Marked):
     return run
 
 
-def tries(frequent: Marked, pairs: Marked):
-    """The count trie of each shard, down to DEPTH, as (lang, phrase, size, n) sorted by lang and phrase: one row for each
-    node of two words or more, of which every two neighbours may be a frequent pair."""
+def tries(frequent: Marked, pairs: Marked, ranges: int):
+    """The count trie of each shard, down to DEPTH, of which every two neighbours may be a frequent pair, serialised: for each
+    range of two-word prefixes and language, phrases and counts of all nodes below them, sorted by phrase."""
 
     def chosen(keys, joint):
         held = frequent.holds(keys.view(np.int64))
@@ -142,17 +144,50 @@ def tries(frequent: Marked, pairs: Marked):
         for shard in shards(batches, chosen):
             known, langs, words = shard.named()
             code, joint = np.searchsorted(known, np.concatenate(shard.keys)), np.concatenate(shard.joint)
-            node, phrases, found = code, words, []  # a node is its parent and one more word
+            node, phrases, lang, found = code, words, langs, []  # a node is its parent and one more word
             at = np.arange(len(code))
             for depth in range(1, DEPTH):
                 on = joint[at + depth - 1]
                 at, node = at[on], node[on]
                 edges, node, n = np.unique(node * len(known) + code[at + depth], return_inverse=True, return_counts=True)
-                parent, word = pa.array(edges // len(known)), pa.array(edges % len(known))
-                langs_of = langs.take(parent) if depth == 1 else found[-1]["lang"].take(parent)
-                phrases = pc.binary_join_element_wise(phrases.take(parent), words.take(word), pa.scalar(" ", pa.large_string()))
-                found.append({"lang": langs_of, "phrase": phrases, "size": pa.array(np.full(len(n), depth + 1, np.int32)), "n": pa.array(n)})
-            yield from _batches(pa.concat_tables(map(pa.table, found)).sort_by([("lang", "ascending"), ("phrase", "ascending")]).combine_chunks())
+                up, last = edges // len(known), edges % len(known)
+                if depth == 1:
+                    prefix = mix(known[up] * np.uint64(0x9E3779B97F4A7C15) + known[last]) >> np.uint64(32)
+                    part = (prefix * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+                else:
+                    part = part[up]
+                parent = pa.array(up)
+                lang = lang.take(parent)
+                phrases = pc.binary_join_element_wise(phrases.take(parent), words.take(pa.array(last)), pa.scalar(" ", pa.large_string()))
+                found.append({"part": pa.array(part), "lang": lang, "phrase": phrases, "n": pa.array(n)})
+            rows = pa.concat_tables(map(pa.table, found)).sort_by([("part", "ascending"), ("lang", "ascending"), ("phrase", "ascending")]).combine_chunks()
+            if len(rows):
+                part, lang = rows.column("part").to_numpy(), rows.column("lang").combine_chunks().dictionary_encode().indices.to_numpy()
+                starts = group_starts(part, lang)
+                lists = pa.array(starts, pa.int32())
+                cells = [rows.column(c).combine_chunks().cast(k) for c, k in (("phrase", pa.string()), ("n", pa.int64()))]
+                head = rows.select(["part", "lang"]).take(pa.array(starts[:-1]))
+                yield from _batches(head.append_column("phrases", pa.ListArray.from_arrays(lists, cells[0])).append_column("counts", pa.ListArray.from_arrays(lists, cells[1])), 64)
+
+    return run
+
+
+def merged(least: int):
+    """A function of the sorted runs of one range and language: they are merged, and nodes of `least` or more stay."""
+
+    def run(table: pa.Table) -> pa.Table:
+        phrases = pa.concat_arrays([x.flatten() for x in table.column("phrases").chunks])
+        counts = pa.concat_arrays([x.flatten() for x in table.column("counts").chunks])
+        order = pc.sort_indices(phrases)
+        phrases, counts = phrases.take(order), counts.take(order).to_numpy()
+        new = np.ones(len(phrases), bool)
+        new[1:] = pc.not_equal(phrases.slice(1), phrases.slice(0, len(phrases) - 1)).to_numpy(zero_copy_only=False)
+        starts = np.flatnonzero(new)
+        n = np.add.reduceat(counts, starts) if len(starts) else counts[:0]
+        keep = n >= least
+        phrases = phrases.take(pa.array(starts[keep]))
+        lang = pa.array([table.column("lang")[0].as_py()] * len(phrases), pa.string())
+        return pa.table({"lang": lang, "phrase": phrases, "size": pc.add(pc.count_substring(phrases, " "), 1).cast(pa.int32()), "a": pa.array(n[keep])})
 
     return run
 
@@ -188,7 +223,8 @@ def collocations(df: DataFrame, least: int = 30, inside: int = 80, most: int = 2
     Three passes over the texts, each in shards of some SHARD words, counted before the shuffle: words; pairs of frequent
     words; and tries of what only frequent pairs make up. Passes know frequent words and pairs by maps of hashed keys of at
     most 32 MB (see Marked), which let more through where they are full, and lose nothing. Every count that comes out is one
-    of whole strings. The tries are sorted runs of Parquet, merged by ranges of phrases.
+    of whole strings. A shard's trie is serialised into sorted runs, one for each range of two-word prefixes, and the runs of a
+    range are merged; so a range has the whole subtrees of its prefixes, and they are few enough for a task.
 
     A null lang is 'und', a null or empty text has no words; rows count one by one; other columns aren't looked at. An empty
     table gives an empty one."""
@@ -201,9 +237,10 @@ def collocations(df: DataFrame, least: int = 30, inside: int = 80, most: int = 2
     frequent = Marked(words.filter("word IS NOT NULL"), "key")
     pairs = texts.mapInArrow(pair_counts(frequent), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
     pairs = Marked(stored(pairs.filter(F.col("n") >= least).select("key"), "collocation-pairs"), "key")
-    parts = stored(texts.mapInArrow(tries(frequent, pairs), "lang string, phrase string, size int, n long"), "collocation-tries")
-    merged = parts.repartitionByRange("lang", "phrase").groupBy("lang", "phrase").agg(F.first("size").alias("size"), F.sum("n").alias("a"))
-    nodes = stored(merged.filter(F.col("a") >= least), "collocation-nodes")
+    total = words.filter("word IS NULL").select("lang", F.col("a").alias("n"))
+    ranges = max(RANGES, (total.agg(F.sum("n")).first()[0] or 0) >> 20)
+    parts = texts.mapInArrow(tries(frequent, pairs, ranges), "part long, lang string, phrases array<string>, counts array<long>")
+    nodes = stored(parts.groupBy("part", "lang").applyInArrow(merged(least), "lang string, phrase string, size int, a long"), "collocation-nodes")
     none = F.array().cast("array<bigint>")
     level = words.filter("word IS NOT NULL").select("lang", F.col("word").alias("phrase"), "a", none.alias("l"), none.alias("r"))
     found = None
@@ -220,5 +257,4 @@ def collocations(df: DataFrame, least: int = 30, inside: int = 80, most: int = 2
     found = found.withColumn("cut", F.array_min(F.expr(cuts)))
     found = found.select("lang", "phrase", "a", F.expr("l[cut.k - 1]").alias("l"), F.expr("r[cut.k - 1]").alias("r"), F.col("cut.score").alias("score"))
     first = ranked(found, "lang", [F.desc("score"), F.desc("a"), F.asc("phrase")], most)
-    total = words.filter("word IS NULL").select("lang", F.col("a").alias("n"))
     return first.join(total, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
