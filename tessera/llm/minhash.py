@@ -24,6 +24,8 @@ BINS, ROWS = 200, 5
 BITS, MOST_BITS = 192, 48
 #: Buckets are cut into blocks of about this many shingles; a task holds two blocks.
 BLOCK_SHINGLES = 1 << 19
+#: Texts of a block, whatever their sizes: pairs inside a task are a matrix of twice as many rows and columns.
+BLOCK_TEXTS = 2048
 SIGNED = "doc_id long, n_shingles long, hi long, lo long, s0 long, s1 long, s2 long, bands array<long>"
 BIT_COLUMNS = ("s0", "s1", "s2")
 
@@ -179,7 +181,7 @@ def links_across(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     n, component. Buckets of the same texts count once; large ones are dealt into blocks, and each pair of blocks is one
     group of bounded size."""
     keys = rows.groupBy("key").agg(F.sum("n").alias("total"), F.count("*").alias("members"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.sum(F.xxhash64("rep", F.lit(1)).cast("decimal(20,0)")).alias("y"))
-    keys = keys.groupBy("total", "members", "x", "y").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("total") / BLOCK_SHINGLES).cast("int").alias("blocks"))
+    keys = keys.groupBy("total", "members", "x", "y").agg(F.min("key").alias("key")).select("key", F.ceil(F.greatest(F.col("total") / BLOCK_SHINGLES, F.col("members") / BLOCK_TEXTS)).cast("int").alias("blocks"))
     dealt = rows.join(keys, "key").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     dealt = dealt.select("key", "rep", "component", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep", "component", (F.col("own") > F.col("other")).alias("second"))
@@ -230,7 +232,8 @@ def _near_duplicates(docs: DataFrame, k: int, percent: int, rounds: int) -> Data
     twice = real.groupBy("doc_id").agg(F.count_distinct("hi", "lo").alias("n")).filter("n > 1").select("doc_id")
     edges = stored(copies.join(twice, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")), "minhash-edges")
     narrow = reps.select("rep", "n", *bits)
-    placed = reps.select("rep", F.explode("bands").alias("key"))
+    # a set so small that one shingle more or less is too much has only equal partners, and those are its class
+    placed = reps.filter(F.col("n") * (100 - percent) >= percent).select("rep", F.explode("bands").alias("key"))
     shared = placed.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("far")).filter("hub <> far").drop("far")
     placed = stored(placed.join(shared, "key").select("key", "rep", "hub"), "minhash-placed")
     sets = stored(shingle_sets(docs, k, Marked(placed.select("rep").distinct(), "rep")), "minhash-sets")
