@@ -19,7 +19,7 @@ from tessera.llm.textblocks import LOWER, SPACE, blocks, digests, mix, runs, wor
 
 #: Words on either side that decide a cut; paragraphs of more than LONGEST words are cut again.
 REACH, LONGEST = 4, 24
-UNITS = "doc_id long, line boolean, w0 int, w1 int, start int, end int, hi long, lo long, inner int"
+UNITS = "doc_id long, text_id long, line boolean, w0 int, w1 int, start int, end int, hi long, lo long, inner int"
 
 
 def _sequence_digest(h: np.ndarray, first: np.ndarray, after: np.ndarray, seed: int) -> np.ndarray:
@@ -92,7 +92,7 @@ def units(df: DataFrame, least_words: int, wanted: Marked) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            ids, texts = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 2))
             for lo, hi, data, offsets in blocks(batch.column(1)):
                 if SPACE[data].all():
                     continue
@@ -117,6 +117,7 @@ def units(df: DataFrame, least_words: int, wanted: Marked) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(who, pa.int64(), from_pandas=True),
+                        pa.array(texts[lo:hi][r]),
                         pa.array(line),
                         pa.array(w0 - first[r], pa.int32()),
                         pa.array(w1 - first[r], pa.int32()),
@@ -129,18 +130,18 @@ def units(df: DataFrame, least_words: int, wanted: Marked) -> DataFrame:
                     names=[x.split()[0] for x in UNITS.split(", ")],
                 )
 
-    return df.select(F.col("doc_id").cast("long"), "text").filter(F.col("doc_id").isNotNull()).mapInArrow(run, UNITS)
+    return df.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_id")).filter(F.col("doc_id").isNotNull()).mapInArrow(run, UNITS)
 
 
 def repeated_spans(df: DataFrame, least_words: int = 16, least_line_words: int = 8) -> DataFrame:
-    """One row per span to remove: doc_id, start, end (characters of the original text), n_words, and the occurrence
+    """One row per span to remove: doc_id, text_id (a hash of the text), start, end (characters of the original text), n_words, and the occurrence
     that stays (first_doc_id, first_start) of the span's first unit.
 
-    Occurrences are ranked by doc_id and place. A span is a run of adjacent repeated units; it counts if it has
+    Occurrences are ranked by doc_id, text and place. A span is a run of adjacent repeated units; it counts if it has
     least_words words or more, or holds a repeated line of least_line_words or more. A passage is found whole but for
     the paragraphs at its edges, which reach about ten words in; passages of 50 words always have inner paragraphs
-    but for freak hashes. Rows without doc_id or text have no units; rows that share a doc_id count as one document.
-    Empty tables give no rows, other columns aren't looked at.
+    but for freak hashes. Rows without doc_id or text have no units; rows that share a doc_id are told apart by
+    their texts, and rows equal in both are one. Empty tables give no rows, other columns aren't looked at.
     """
     return settled(df.sparkSession, "passage-spans", lambda: _repeated_spans(df, least_words, least_line_words))
 
@@ -148,21 +149,20 @@ def repeated_spans(df: DataFrame, least_words: int = 16, least_line_words: int =
 def _repeated_spans(df: DataFrame, least_words: int, least_line_words: int) -> DataFrame:
     keys = stored(repeated_units(df, least_line_words), "passage-keys")
     u = stored(units(df, least_line_words, Marked(keys, "key")), "passage-units")
-    groups = u.filter(F.col("inner").isNull()).groupBy("hi", "lo", "line").agg(
-        F.count("*").alias("copies"), F.min("doc_id").alias("first_doc_id"), F.min_by("start", "doc_id").alias("first_start")
-    )
-    groups = groups.filter("copies > 1").drop("copies")
-    groups = stored(groups, "passage-groups")
-    found = u.join(groups, ["hi", "lo", "line"]).filter(F.col("doc_id") != F.col("first_doc_id"))
-    again = u.filter(F.col("inner").isNotNull()).join(groups, ["hi", "lo", "line"], "left").filter(F.coalesce(F.col("first_doc_id") == F.col("doc_id"), F.lit(True)))
-    again = again.withColumns({"first_doc_id": F.col("doc_id"), "first_start": F.col("inner")})
-    columns = ["doc_id", "line", "w0", "w1", "start", "end", "first_doc_id", "first_start"]
-    rows = found.select(columns).union(again.select(columns))
-    order = Window.partitionBy("doc_id").orderBy("w0", F.col("w1").desc(), F.col("line").desc(), "first_doc_id", "first_start")
+    groups = u.filter(F.col("inner").isNull()).groupBy("hi", "lo", "line").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "text_id", "start")).alias("first"))
+    groups = stored(groups.filter("copies > 1").drop("copies"), "passage-groups")
+    met = u.join(groups, ["hi", "lo", "line"], "left")
+    own = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("text_id") == F.col("first.text_id"))
+    elsewhere = F.coalesce(~own, F.lit(False))  # its first occurrence is in another text; otherwise it stays, and again in its text it goes
+    rows = met.filter(elsewhere | F.col("inner").isNotNull()).select(
+        "doc_id", "text_id", "line", "w0", "w1", "start", "end",
+        F.when(elsewhere, F.col("first.doc_id")).otherwise(F.col("doc_id")).alias("first_doc_id"), F.when(elsewhere, F.col("first.start")).otherwise(F.col("inner")).alias("first_start"),
+    )
+    order = Window.partitionBy("doc_id", "text_id").orderBy("w0", F.col("w1").desc(), F.col("line").desc(), "first_doc_id", "first_start")
     reached = F.max("w1").over(order.rowsBetween(Window.unboundedPreceding, -1))
     islands = rows.withColumn("new", F.when(F.col("w0") <= reached, 0).otherwise(1))
     islands = islands.withColumns({"island": F.sum("new").over(order), "n": F.row_number().over(order)})
-    spans = islands.groupBy("doc_id", "island").agg(
+    spans = islands.groupBy("doc_id", "text_id", "island").agg(
         F.min("start").cast("long").alias("start"), F.max("end").cast("long").alias("end"), (F.max("w1") - F.min("w0")).cast("long").alias("n_words"),
         F.min_by("first_doc_id", "n").alias("first_doc_id"), F.min_by("first_start", "n").cast("long").alias("first_start"), F.max("line").alias("has_line"),
     )
@@ -170,8 +170,9 @@ def _repeated_spans(df: DataFrame, least_words: int, least_line_words: int) -> D
 
 
 def without_spans(df: DataFrame, spans: DataFrame) -> DataFrame:
-    """df with the spans cut out of its texts; documents without spans stay as they are."""
-    lists = spans.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("__spans"))
+    """df with the spans cut out of its texts; texts without spans, null texts and rows without doc_id stay as they are. A span
+    is cut out of the text it was found in, in every row that has this doc_id and text. Columns of df stay, whatever their names."""
+    lists = spans.groupBy(F.col("doc_id").alias("__doc"), F.col("text_id").alias("__text")).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("__spans"))
 
     def piece(state, s):
         kept = F.concat(state["out"], F.substring(F.col("text"), (state["at"] + 1).cast("int"), (s["start"] - state["at"]).cast("int")))
@@ -180,4 +181,5 @@ def without_spans(df: DataFrame, spans: DataFrame) -> DataFrame:
     done = F.aggregate("__spans", F.struct(F.lit("").cast("string").alias("out"), F.lit(0).cast("long").alias("at")), piece, lambda s: s["out"])
     last = F.element_at("__spans", -1)["end"].cast("int")
     cut = F.concat(done, F.substring(F.col("text"), last + 1, F.length("text")))
-    return df.join(lists, "doc_id", "left").withColumn("text", F.when(F.col("__spans").isNull(), F.col("text")).otherwise(cut)).select(df.columns)
+    same = (df["doc_id"] == lists["__doc"]) & (F.xxhash64(df["text"]) == lists["__text"])
+    return df.join(lists, same, "left").withColumn("text", F.when(F.col("__spans").isNull(), F.col("text")).otherwise(cut)).select(df.columns)

@@ -351,3 +351,23 @@ def test_marked_holds_all_its_keys(spark):
     marked = Marked(keys, "key")
     own = np.array([r.key for r in keys.collect()])
     assert marked.holds(own).all() and marked.holds(np.arange(10_000, dtype=np.int64) * 7919).mean() < 0.1
+
+
+def test_spans_are_cut_out_of_their_own_text(spark):
+    words = lambda a, n: " ".join(f"{a}{i}" for i in range(n))
+    p, fresh = words("p", 60), words("fresh", 80)
+    rows = [(1, words("a", 20) + " " + p), (2, p + " " + words("b", 5)), (2, fresh), (2, fresh), (3, None), (None, p), (4, "")]
+    df = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, text_id string, start int")
+    spans = passages.repeated_spans(df)
+    assert {(r.doc_id, r.first_doc_id) for r in spans.collect()} == {(2, 1)}
+    got = sorted(((r.doc_id, r.text) for r in passages.without_spans(df, spans).collect()), key=repr)
+    assert len(got) == len(rows) and got.count((2, fresh)) == 2 and (None, p) in got and (3, None) in got and (4, "") in got and (1, rows[0][1]) in got
+    (left,) = [t for i, t in got if i == 2 and t != fresh]
+    assert left.endswith("b3 b4") and len(left.split()) < 30
+
+
+def test_many_texts_of_one_opening(spark):
+    texts = [f"please see the other page for w{i}" for i in range(3000)] + [f"one two three four w{i}" for i in range(1500)] + ["one two three four w7"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    gone = minhash.near_duplicates(df, 4, 80).filter("NOT kept").collect()
+    assert [(r.doc_id, r.component_id) for r in gone] == [(4500, 3007)]
