@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -46,3 +46,14 @@ def floor_div(x: str, width: int) -> Column:
 
 def ceil_div(x: str, width: int) -> Column:
     return floor_div(f"({x}) + {width - 1}", width)
+
+
+def joined(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """a with the other columns of b, where the keys are equal; a null key equals a null one."""
+    if not keys:  # both sides are one group, b is its one row
+        return a.join(F.broadcast(b), how=how, on=F.lit(True))
+    other = b.withColumnsRenamed({k: f"__of_{k}" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same = same & a[k].eqNullSafe(other[f"__of_{k}"])
+    return a.join(other, same, how).drop(*(f"__of_{k}" for k in keys))

@@ -68,9 +68,11 @@ def observed_days(df: DataFrame, us: str, networks: list[str], by: list[str]) ->
 
 
 def alerts_per_day(df: DataFrame, alert: Column, us: str, networks: list[str], by: list[str]) -> DataFrame:
-    """By group: alerts, days observed, and alerts a day (NULL without days)."""
-    alerts = df.groupBy(*by).agg(F.sum(alert.cast("bigint")).alias("alerts"))
-    return alerts.join(observed_days(df, us, networks, by), by).withColumn("per_day", ratio(F.col("alerts"), F.col("days")))
+    """By group, null keys and groups without any time included: alerts, days observed, and alerts a day (NULL without days)."""
+    key = F.struct(*by).alias("__g")
+    alerts = df.groupBy(key).agg(F.coalesce(F.sum(alert.cast("bigint")), F.lit(0)).alias("alerts"))
+    out = alerts.join(observed_days(df, us, networks, by).select(key, "days"), "__g", "left")
+    return out.select(*(F.col(f"__g.{c}").alias(c) for c in by), "alerts", "days", ratio(F.col("alerts"), F.col("days")).alias("per_day"))
 
 
 def kpss(series: DataFrame, time: str, value: str, by: list[str], lags: int) -> DataFrame:

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import functools
+import itertools
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -86,52 +88,71 @@ def cusum(df: DataFrame, group: str, order: list[str], value: str, target: float
     return up.withColumns({"up": F.col("__u") - F.least(F.lit(0.0), F.min("__u").over(w)), "down": F.col("__d") - F.least(F.lit(0.0), F.min("__d").over(w))}).drop("__u", "__d")
 
 
+def _spans(x: np.ndarray, step) -> np.ndarray:
+    """Alarms of a series, span by span: step(span) gives the alarms of a span up to and with the first one that restarts it, and
+    nothing where it goes on. Spans grow while nothing happens."""
+    out, at, size = [], 0, 256
+    while at < len(x):
+        found, ended = step(x[at : at + size])
+        out.append(found)
+        at, size = at + len(found), 256 if ended else 2 * size
+    return np.concatenate(out) if out else np.zeros(0, np.int32)
+
+
 class PageHinkley:
     """Two-sided test of Page and Hinkley: 1 or -1 for an alarm upwards or downwards (upwards is looked at first), else 0;
-    every alarm restarts it. The mean includes the new value."""
+    every alarm restarts it. The mean includes the new value. Between alarms both sums and their extremes are running
+    totals, so that a span of values is a few array operations."""
 
     def __init__(self, delta: float = 0.005, threshold: float = 50.0):
-        self.delta, self.threshold = delta, threshold
-        self.restart()
-
-    def restart(self) -> None:
-        self.n, self.mean, self.up, self.down, self.low, self.high = 0, 0.0, 0.0, 0.0, 0.0, 0.0
-
-    def update(self, x: float) -> int:
-        self.n += 1
-        self.mean += (x - self.mean) / self.n
-        self.up += x - self.mean - self.delta
-        self.down += x - self.mean + self.delta
-        self.low, self.high = min(self.low, self.up), max(self.high, self.down)
-        alarm = 1 if self.up - self.low > self.threshold else -1 if self.high - self.down > self.threshold else 0
-        if alarm:
-            self.restart()
-        return alarm
+        self.delta, self.threshold, self.fresh = delta, threshold, (0, 0.0, 0.0, 0.0, 0.0, 0.0)
+        self.state = self.fresh
+
+    def scan(self, x: np.ndarray) -> np.ndarray:
+        return _spans(x, self._step)
+
+    def _step(self, x: np.ndarray) -> tuple[np.ndarray, bool]:
+        n, total, up, down, low, high = self.state
+        counts, totals = n + np.arange(1, len(x) + 1), total + np.cumsum(x)
+        off = x - totals / counts
+        ups, downs = up + np.cumsum(off - self.delta), down + np.cumsum(off + self.delta)
+        lows, highs = np.minimum(low, np.minimum.accumulate(ups)), np.maximum(high, np.maximum.accumulate(downs))
+        found = np.where(ups - lows > self.threshold, 1, np.where(highs - downs > self.threshold, -1, 0))
+        if found.any():
+            self.state = self.fresh
+            return found[: int(found.astype(bool).argmax()) + 1], True
+        self.state = (int(counts[-1]), totals[-1], ups[-1], downs[-1], lows[-1], highs[-1])
+        return found, False
 
 
 class DriftDetection:
-    """Gama's drift detection on errors (0 or 1): 1 warning, 2 drift, else 0. The least error level is kept before the
-    tests; a drift restarts the counts."""
+    """Gama's drift detection on errors (0 or 1): 1 warning, 2 drift, else 0. A drift restarts the counts. The error level is the
+    rate and its deviation; the least level so far, of `least` values or more, is what the present one is held against."""
 
     def __init__(self, least: int = 30, warning: float = 2.0, drift: float = 3.0):
-        self.least, self.warning, self.drift = least, warning, drift
-        self.restart()
-
-    def restart(self) -> None:
-        self.n, self.wrong, self.p, self.s = 0, 0.0, math.inf, math.inf
-
-    def update(self, error: float) -> int:
-        self.n, self.wrong = self.n + 1, self.wrong + error
-        if self.n < self.least:
-            return 0
-        p = self.wrong / self.n
-        s = math.sqrt(p * (1 - p) / self.n)
-        if p + s < self.p + self.s:
-            self.p, self.s = p, s
-        if p + s > self.p + self.drift * self.s:
-            self.restart()
-            return 2
-        return int(p + s > self.p + self.warning * self.s)
+        self.least, self.warning, self.drift, self.fresh = least, warning, drift, (0, 0.0, math.inf, math.inf)
+        self.state = self.fresh
+
+    def scan(self, x: np.ndarray) -> np.ndarray:
+        return _spans(x, self._step)
+
+    def _step(self, x: np.ndarray) -> tuple[np.ndarray, bool]:
+        n, wrong, rate, deviation = self.state
+        counts, errors = n + np.arange(1, len(x) + 1), wrong + np.cumsum(x)
+        p = errors / counts
+        s = np.sqrt(p * (1 - p) / counts)
+        level = np.where(counts >= self.least, p + s, math.inf)
+        before = np.minimum.accumulate(np.concatenate([[rate + deviation], level]))[:-1]
+        best = np.maximum.accumulate(np.where(level < before, np.arange(len(x)), -1))  # where the least level was met last
+        rates, deviations = np.where(best < 0, rate, p[best]), np.where(best < 0, deviation, s[best])
+        full = counts >= self.least
+        with np.errstate(invalid="ignore"):
+            found = np.where(full & (p + s > rates + self.drift * deviations), 2, np.where(full & (p + s > rates + self.warning * deviations), 1, 0))
+        if (found == 2).any():
+            self.state = self.fresh
+            return found[: int((found == 2).argmax()) + 1], True
+        self.state = (int(counts[-1]), errors[-1], rates[-1], deviations[-1])
+        return found, False
 
 
 class Adwin:
@@ -147,6 +168,9 @@ class Adwin:
         (n, s, v), (m, t, w) = a, b
         return n + m, s + t, v + w + (s / n - t / m) ** 2 * n * m / (n + m)
 
+    def scan(self, x: np.ndarray) -> np.ndarray:
+        return np.array([self.update(v) for v in x.tolist()], np.int32)
+
     def update(self, x: float) -> int:
         self.blocks.append((1, float(x), 0.0))
         size = 1
@@ -187,12 +211,13 @@ def alarms(df: DataFrame, group: str, order: list[str], value: str, detector) ->
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, state = None, None
         for frame in frames:
-            alarm = []
-            for g, x in zip(frame[group].tolist(), frame["__x"].tolist()):
-                if state is None or g != key:
-                    key, state = g, detector()
-                alarm.append(state.update(x))
-            frame["alarm"] = pd.array(alarm, "int32")
+            names, alarm, values = frame[group].tolist(), [], frame["__x"].to_numpy()
+            starts = [0, *(i for i in range(1, len(names)) if names[i] != names[i - 1]), len(names)]
+            for a, b in itertools.pairwise(starts):
+                if state is None or names[a] != key:
+                    key, state = names[a], detector()
+                alarm.append(state.scan(values[a:b]))
+            frame["alarm"] = np.concatenate(alarm).astype("int32")
             yield frame.loc[frame["alarm"] != 0, [*columns, "alarm"]]
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.select(columns).schema) + ", alarm int"

@@ -7,14 +7,16 @@ from pyspark.sql import functions as F
 
 
 def normalised(label: Column) -> Column:
-    """Lower case, runs of anything but letters and digits one space, trimmed."""
-    return F.trim(F.regexp_replace(F.lower(label.cast("string")), "[^a-z0-9]+", " "))
+    """Lower case, letters and digits only."""
+    return F.regexp_replace(F.lower(label.cast("string")), "[^a-z0-9]+", "")
 
 
 def mapped_labels(df: DataFrame, label: str, mapping: DataFrame) -> DataFrame:
     """df with the columns of `mapping` (one row for each `raw` label) and `mapped`. A null label is mapped to nulls (no
-    statement); one that the mapping doesn't know has mapped = false and is never taken for a harmless one. The mapping
-    is a small table by nature, so that Spark may broadcast it."""
-    known = mapping.withColumn("__raw", normalised(F.col("raw"))).drop("raw").dropDuplicates(["__raw"]).withColumn("__known", F.lit(True))
-    out = df.withColumn("__raw", normalised(F.col(label))).join(known, "__raw", "left")
+    statement); one that the mapping doesn't know has mapped = false and is never taken for a harmless one. Raw labels that
+    normalise alike have to say the same. The mapping is a small table by nature, so that Spark may broadcast it."""
+    known = mapping.withColumn("__raw", normalised(F.col("raw"))).drop("raw").distinct()
+    if twice := [r[0] for r in known.groupBy("__raw").count().filter("count > 1").limit(20).collect()]:
+        raise ValueError(f"labels that are mapped in two ways: {sorted(twice)}")
+    out = df.withColumn("__raw", normalised(F.col(label))).join(known.withColumn("__known", F.lit(True)), "__raw", "left")
     return out.withColumn("mapped", F.coalesce("__known", F.col(label).isNull())).drop("__raw", "__known")

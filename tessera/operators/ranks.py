@@ -11,6 +11,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.scalars import joined
+
 PART = "__part"
 
 
@@ -27,7 +29,7 @@ def ranged(df: DataFrame, value: str, parts: int | None = None) -> DataFrame:
 
 def running_totals(counts: DataFrame, value: str, sums: list[str], by: list[str] | None = None) -> DataFrame:
     """Adds cum_<s> (up to and with this value, ascending) and total_<s> for each column s. counts has one row for each
-    group and value; groups and values are not null."""
+    group and value; values are not null."""
     by = by or []
     rows = ranged(counts, value)
     within = Window.partitionBy(*by, PART).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -37,7 +39,7 @@ def running_totals(counts: DataFrame, value: str, sums: list[str], by: list[str]
     offsets = parts.select(
         *by, PART, *(F.coalesce(F.sum(f"__p_{s}").over(before), F.lit(0)).alias(f"__b_{s}") for s in sums), *(F.sum(f"__p_{s}").over(whole).alias(f"total_{s}") for s in sums)
     )
-    rows = rows.withColumns({f"cum_{s}": F.sum(s).over(within) for s in sums}).join(offsets, [*by, PART])
+    rows = joined(rows.withColumns({f"cum_{s}": F.sum(s).over(within) for s in sums}), offsets, [*by, PART])
     return rows.withColumns({f"cum_{s}": F.col(f"cum_{s}") + F.col(f"__b_{s}") for s in sums}).drop(PART, *(f"__b_{s}" for s in sums))
 
 

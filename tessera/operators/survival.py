@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.scalars import ratio
+from tessera.operators.dominance import dominance
 from tessera.operators.ranks import running_totals, value_ranks
 from tessera.operators.splits import hash_order
 
@@ -21,24 +22,12 @@ def kaplan_meier(df: DataFrame, time: str, event: str, by: list[str]) -> DataFra
     return steps.select(*by, time, "at_risk", "events", alive.alias("survival"))
 
 
-def concordance(df: DataFrame, risk: str, time: str, event: str, by: list[str], risks: int = 1000) -> DataFrame:
+def concordance(df: DataFrame, risk: str, time: str, event: str, by: list[str]) -> DataFrame:
     """Harrell's C: among pairs whose earlier time is an event, how often the earlier one has the larger risk (ties of risk
-    count half). Risks are ranked into at most `risks` distinct levels beforehand by the caller; pairs are never made:
-    for each level the later rows are counted by running totals over time."""
-    level = df.groupBy(*by, time, risk).agg(F.sum(F.col(event).cast("bigint")).alias("e"), F.count("*").alias("n"))
-    levels = level.select(*by, risk).distinct()
-    count = levels.groupBy(*by).agg(F.count("*").alias("k"))
-    if (most := count.agg(F.max("k")).first()[0] or 0) > risks:
-        raise ValueError(f"{most} distinct risks; round them to at most {risks} levels")
-    after = Window.partitionBy(*by, "other").orderBy(F.desc(time)).rangeBetween(Window.unboundedPreceding, -1)
-    times = level.groupBy(*by, time).agg(F.lit(0).alias("__z"))
-    spine = times.join(levels.withColumnRenamed(risk, "other"), by) if by else times.crossJoin(levels.withColumnRenamed(risk, "other"))
-    own = level.select(*by, time, F.col(risk).alias("other"), "n")
-    later = spine.join(own, [*by, time, "other"], "left").fillna(0, ["n"]).withColumn("later", F.coalesce(F.sum("n").over(after.rangeBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    met = level.filter("e > 0").select(*by, time, risk, "e").join(later.select(*by, time, "other", "later"), [*by, time])
-    pairs = F.col("e") * F.col("later")
-    s = met.groupBy(*by).agg(F.sum(pairs).alias("comparable"), F.sum(F.when(F.col("other") < F.col(risk), pairs).when(F.col("other") == F.col(risk), pairs / 2).otherwise(0)).alias("concordant"))
-    return s.select(*by, "comparable", ratio(F.col("concordant"), F.col("comparable")).alias("c"))
+    count half; NULL without a pair). Pairs are never made, and risks may be as many as rows (see operators/dominance)."""
+    d = dominance(df.filter(F.col(event).isNotNull()), by, time, risk, {"p": (F.col(event).cast("int"), F.lit(1))})
+    right = F.col("p_all") - F.col("p_less") - F.col("p_tie") / 2
+    return d.select(*by, F.col("p_all").cast("bigint").alias("comparable"), ratio(right, F.col("p_all")).alias("c"))
 
 
 def risk_sets(df: DataFrame, step: str, event: str, most: int) -> DataFrame:
@@ -120,11 +109,13 @@ def confusion(df: DataFrame, label: str, predicted: str) -> DataFrame:
 
 
 def restricted_mean(df: DataFrame, time: str, event: str, by: list[str], tau: float) -> DataFrame:
-    """The area under each group's Kaplan-Meier curve up to tau; tau where no event comes earlier."""
-    curve = kaplan_meier(df, time, event, by).filter(F.col(time) <= tau)
-    until = F.lead(time, 1, tau).over(Window.partitionBy(*by).orderBy(time))
-    area = curve.withColumn("__w", F.col("survival") * (until - F.col(time))).groupBy(*by).agg((F.sum("__w") + F.min(time)).alias("rmst"))
-    return df.filter(F.col(time).isNotNull()).select(*by).distinct().join(area, by, "left").withColumn("rmst", F.coalesce("rmst", F.lit(float(tau))))
+    """The area under each group's Kaplan-Meier curve up to tau; tau where no event comes earlier. A null key is a group."""
+    keyed = df.filter(F.col(time).isNotNull()).withColumn("__g", F.struct(*by))
+    curve = kaplan_meier(keyed, time, event, ["__g"]).filter(F.col(time) <= tau)
+    until = F.lead(time, 1, tau).over(Window.partitionBy("__g").orderBy(time))
+    area = curve.withColumn("__w", F.col("survival") * (until - F.col(time))).groupBy("__g").agg((F.sum("__w") + F.min(time)).alias("rmst"))
+    out = keyed.select("__g").distinct().join(area, "__g", "left")
+    return out.select(*(F.col(f"__g.{c}").alias(c) for c in by), F.coalesce("rmst", F.lit(float(tau))).alias("rmst"))
 
 
 def sign_flips(df: DataFrame, difference: str, key: str, by: list[str], seed: int = 0, flips: int = 60) -> DataFrame:

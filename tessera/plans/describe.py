@@ -248,7 +248,9 @@ def drift_detection(spark, sf):
 
 
 def adwin_changes(spark, sf):
-    return drift.alarms(updates(spark, sf), "entity", ["us", "seq"], "value", drift.Adwin)
+    """Changes of the mean of values, which are clipped to 0..200 and scaled to 0..1 as the window's bound asks."""
+    rows = updates(spark, sf).withColumn("share", F.least(F.greatest(F.col("value") / 200, F.lit(0.0)), F.lit(1.0)))
+    return drift.alarms(rows, "kind", ["us", "seq"], "share", drift.Adwin)
 
 
 QUERIES = {f.__name__: f for f in (

@@ -54,7 +54,7 @@ def mapped_labels(spark, sf):
 
 
 _ROWS = ", ".join(f"('{r.strip().lower()}', {'NULL' if m is None else m}, {s}, '{f}')" for r, m, s, f in LABELS)
-MAPPED = f"WITH {U}, m(raw, malicious, stage, family) AS (VALUES {_ROWS}) SELECT seq, kind, malicious::INTEGER AS malicious, stage::INTEGER AS stage, family, (raw IS NOT NULL OR kind IS NULL) AS mapped FROM u LEFT JOIN m ON trim(regexp_replace(lower(kind), '[^a-z0-9]+', ' ', 'g')) = raw"
+MAPPED = f"WITH {U}, m(raw, malicious, stage, family) AS (VALUES {_ROWS}) SELECT seq, kind, malicious::INTEGER AS malicious, stage::INTEGER AS stage, family, (raw IS NOT NULL OR kind IS NULL) AS mapped FROM u LEFT JOIN m ON regexp_replace(lower(kind), '[^a-z0-9]+', '', 'g') = regexp_replace(raw, '[^a-z0-9]+', '', 'g')"
 
 def paired_permutation(spark, sf):
     """Values against the numbers in the events' properties, by kind."""

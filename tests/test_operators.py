@@ -2,6 +2,7 @@
 
 import struct
 
+import numpy as np
 import pytest
 
 from tessera.functions import status as st
@@ -105,7 +106,14 @@ def test_evenness_of_one_class(spark):
 
 def test_page_hinkley_restarts():
     d = drift.PageHinkley(0.0, 3.0)
-    assert [d.update(x) for x in [0, 0, 0, 10, 10, 10]][3:] == [1, 0, 0]
+    assert d.scan(np.array([0, 0, 0, 10, 10, 10.0])).tolist()[3:] == [1, 0, 0]
+    x = np.random.default_rng(0).standard_normal(3000).cumsum()
+    whole, parts = drift.PageHinkley(0.1, 9.0), drift.PageHinkley(0.1, 9.0)
+    assert whole.scan(x).tolist() == [int(parts.scan(x[i : i + 1])[0]) for i in range(len(x))]
+    e = (np.random.default_rng(1).random(3000) < np.repeat([0.1, 0.4, 0.2], 1000)).astype(float)
+    whole, parts = drift.DriftDetection(), drift.DriftDetection()
+    got = whole.scan(e).tolist()
+    assert 2 in got and got == [int(parts.scan(e[i : i + 1])[0]) for i in range(len(e))]
 
 
 def _frame(payload=b"hello"):
