@@ -75,7 +75,7 @@ def ipv6(x: Column) -> Column:
     short, n = F.size(sides) == 2, F.size(left) + F.size(right)
     groups = F.concat(left, F.array_repeat(F.lit("0"), F.greatest(8 - n, F.lit(0))), right)
     form = text.rlike("^([0-9a-f]{1,4}(:[0-9a-f]{1,4})*)?(::([0-9a-f]{1,4}(:[0-9a-f]{1,4})*)?)?$") & F.when(short, n <= 7).otherwise(n == 8)
-    return F.when(form, F.array_join(F.transform(groups, lambda g: F.lpad(g, 4, "0")), ""))
+    return F.when(x.contains(":"), F.when(form, F.array_join(F.transform(groups, lambda g: F.lpad(g, 4, "0")), "")))
 
 
 def is_address(x: Column) -> Column:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.scalars import ratio, xlogx
-from tessera.operators.ranks import quantiles, running_totals, value_counts
+from tessera.functions.scalars import joined, ratio, xlogx
+from tessera.operators.ranks import quantiles, ranked_quantiles, running_totals, value_counts
+from tessera.sources.stored import stored
 
 
 def balance(df: DataFrame, outer: str, inner: str) -> DataFrame:
@@ -35,21 +36,24 @@ def sets_of(sums: DataFrame, outer: str, h: Column) -> DataFrame:
 
 def robust_summary(df: DataFrame, value: str, by: list[str], trim: float = 0.1) -> DataFrame:
     """n, min, max, mean, sd (n - 1), quartiles, octile and quartile shape, MAD (times 1.4826) and the mean without the
-    smallest and largest `trim` share of the rows of each group. NULL values are left out."""
-    probs = {f"o{i}": i / 8 for i in range(1, 8)}
-    q = quantiles(df, value, probs, by)
-    plain = df.groupBy(*by).agg(F.count(value).alias("n"), F.min(value).alias("min"), F.max(value).alias("max"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"))
-    middle = q.select(*by, F.col("o4").alias("__med"))
-    away = df.join(middle, by).withColumn("__away", F.abs(F.col(value) - F.col("__med")))
-    mad = quantiles(away, "__away", {"mad": 0.5}, by).withColumn("mad", 1.4826 * F.col("mad"))
-    ranked = running_totals(value_counts(df, value, by), value, ["n"], by)
+    smallest and largest `trim` share of the rows of each group. NULL values are left out, null keys are groups; a group without
+    values has no row. Rows are read once, to count them by value; everything else comes from the counts, which are put in order twice."""
+    ranked = stored(running_totals(value_counts(df, value, by), value, ["n"], by), "ranked-values")
+    x, n = F.col(value).cast("double"), F.col("n")
     cut = F.floor(F.col("total_n") * trim)
-    kept = F.greatest(F.lit(0), F.least("cum_n", F.col("total_n") - cut) - F.greatest(F.col("cum_n") - F.col("n"), cut))
-    trimmed = ranked.withColumn("__k", kept).groupBy(*by).agg((F.sum(F.col("__k") * F.col(value)) / F.sum("__k")).alias("trimmed_mean"))
-    out = plain.join(q, by).join(mad, by).join(trimmed, by)
+    kept = F.greatest(F.lit(0), F.least("cum_n", F.col("total_n") - cut) - F.greatest(F.col("cum_n") - n, cut))
+    plain = ranked.groupBy(*by).agg(
+        F.sum(n).alias("__n"), F.min(value).alias("min"), F.max(value).alias("max"), (F.sum(n * x) / F.sum(n)).alias("mean"), (F.sum(kept * x) / F.sum(kept)).alias("trimmed_mean")
+    )
+    plain = stored(joined(plain, ranked_quantiles(ranked, value, {f"o{i}": i / 8 for i in range(1, 8)}, by), by), "quantiles")
+    off = joined(ranked.select(*by, value, "n"), plain.select(*by, "mean", "o4"), by)
+    sd = off.groupBy(*by).agg(F.when(F.sum(n) > 1, F.sqrt(F.sum(n * (x - F.col("mean")) ** 2) / (F.sum(n) - 1))).alias("sd"))
+    away = off.groupBy(*by, F.abs(x - F.col("o4")).alias("__away")).agg(F.sum(n).alias("n"))
+    mad = ranked_quantiles(running_totals(away, "__away", ["n"], by), "__away", {"mad": 0.5}, by).withColumn("mad", 1.4826 * F.col("mad"))
+    out = joined(joined(plain, sd, by), mad, by)
     o = {i: F.col(f"o{i}") for i in range(1, 8)}
     return out.select(
-        *by, "n", "min", "max", "mean", "sd", o[2].alias("q1"), o[4].alias("median"), o[6].alias("q3"), (o[6] - o[2]).alias("iqr"), "mad", "trimmed_mean",
+        *by, F.col("__n").alias("n"), "min", "max", "mean", "sd", o[2].alias("q1"), o[4].alias("median"), o[6].alias("q3"), (o[6] - o[2]).alias("iqr"), "mad", "trimmed_mean",
         ratio(o[6] + o[2] - 2 * o[4], o[6] - o[2]).alias("bowley"), ratio((o[7] - o[5]) + (o[3] - o[1]), o[6] - o[2]).alias("moors"),
     )
 

@@ -50,7 +50,8 @@ def triangles(pairs: DataFrame) -> DataFrame:
 
 
 def clustering(pairs: DataFrame) -> DataFrame:
-    """Per node: degree, triangles and the local coefficient (0 below degree 2)."""
+    """Per node: degree, triangles and the local coefficient (0 below degree 2). Pairs are stored once for all that reads them."""
+    pairs = stored(pairs, "pairs")
     t = triangles(pairs).select(F.explode(F.array("x", "y", "z")).alias("v")).groupBy("v").agg(F.count("*").alias("triangles"))
     k = F.col("degree")
     rows = degrees(pairs).join(t, "v", "left").fillna(0, ["triangles"])

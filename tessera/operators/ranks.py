@@ -55,7 +55,11 @@ def value_ranks(df: DataFrame, value: str, by: list[str] | None = None) -> DataF
 
 def quantiles(df: DataFrame, value: str, probs: dict[str, float], by: list[str] | None = None) -> DataFrame:
     """Exact quantiles, linearly interpolated between order statistics, as one column for each name in probs."""
-    ranked = running_totals(value_counts(df, value, by), value, ["n"], by)
+    return ranked_quantiles(running_totals(value_counts(df, value, by), value, ["n"], by), value, probs, by)
+
+
+def ranked_quantiles(ranked: DataFrame, value: str, probs: dict[str, float], by: list[str] | None = None) -> DataFrame:
+    """The same, of values that have been counted and have running totals of n."""
     x, below, upto, last = F.col(value).cast("double"), F.col("cum_n") - F.col("n"), F.col("cum_n"), F.col("total_n") - 1
 
     def at(rank: Column) -> Column:

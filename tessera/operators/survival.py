@@ -84,19 +84,23 @@ def block_ranks(df: DataFrame, block: str, model: str, score: str) -> DataFrame:
 
 
 def bootstrap(df: DataFrame, key: str, value: str, by: list[str], replicates: int, seed: int = 0) -> DataFrame:
-    """Poisson bootstrap of a mean, one row for each group and replicate. A row's weight in a replicate comes from the
-    hash of its key, so that it doesn't depend on partitions; each row is read once for all replicates and summed up
-    before the shuffle."""
+    """Poisson bootstrap of a mean, one row for each group and replicate. A row's weights come from hashes of its key, four of
+    them from one hash, so that they don't depend on partitions. All replicates are sums of one aggregate over rows that are
+    read once and neither multiplied nor shuffled."""
     cut, p, total = [], 0.36787944117144233, 0.0
     for k in range(1, 9):
         total += p
         cut.append(total)
         p /= k
-    weighted = df.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col("replicate").cast("string"), F.lit(":"), F.col(key).cast("string")).cast("binary"))
-    u = F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") / F.lit(float(1 << 32))
-    w = sum(((u >= c).cast("int") for c in cut[1:]), (u >= cut[0]).cast("int"))
-    return weighted.withColumn("w", w).groupBy(*by, "replicate").agg(ratio(F.sum(F.col("w") * F.col(value)), F.sum("w").cast("double")).alias("mean"))
+    hashes = {f"__h{i}": F.md5(F.concat(F.lit(f"{seed}:{i}:"), F.col(key).cast("string")).cast("binary")) for i in range(-(-replicates // 4))}
+    sums = []
+    for r in range(replicates):
+        u = F.conv(F.substring(f"__h{r // 4}", r % 4 * 8 + 1, 8), 16, 10).cast("bigint") / F.lit(float(1 << 32))
+        w = sum(((u >= c).cast("int") for c in cut[1:]), (u >= cut[0]).cast("int"))
+        sums += [F.sum(w * F.col(value)).alias(f"__s{r}"), F.sum(w).alias(f"__w{r}")]
+    s = df.filter(F.col(value).isNotNull()).withColumns(hashes).groupBy(*by).agg(*sums)
+    means = F.array(*(ratio(F.col(f"__s{r}"), F.col(f"__w{r}").cast("double")) for r in range(replicates)))
+    return s.select(*by, F.posexplode(means).alias("replicate", "mean"))
 
 
 def confusion(df: DataFrame, label: str, predicted: str) -> DataFrame:

@@ -378,7 +378,7 @@ def _poisson_cuts():
     return cut
 
 
-BOOTSTRAP = f"""WITH {U}, r AS (SELECT kind, value, rep, ('0x' || substr(md5('0:' || rep || ':' || seq), 1, 8))::BIGINT / 4294967296 AS x FROM u, range(50) t(rep) WHERE value IS NOT NULL),
+BOOTSTRAP = f"""WITH {U}, r AS (SELECT kind, value, rep, ('0x' || substr(md5('0:' || rep // 4 || ':' || seq), rep % 4 * 8 + 1, 8))::BIGINT / 4294967296 AS x FROM u, range(50) t(rep) WHERE value IS NOT NULL),
 w AS (SELECT kind, value, rep, {' + '.join(f'(x >= {c!r}::DOUBLE)::INT' for c in _poisson_cuts())} AS w FROM r) SELECT kind, rep::INTEGER AS replicate, round(sum(w * value) / sum(w), 6) AS mean FROM w GROUP BY 1, 2"""
 
 

@@ -33,8 +33,9 @@ IOT = {
 }
 # Patterns of times, each with its resolution in microseconds; protocol numbers; bits of TCP flags.
 TIMES = (
-    ("d/M/yyyy H:mm:ss", 1_000_000), ("d/M/yyyy h:mm:ss a", 1_000_000), ("d/M/yyyy H:mm", 60_000_000), ("yyyy/M/d H:mm:ss.SSSSSS", 1), ("yyyy-M-d H:mm:ss.SSSSSS", 1),
-    ("yyyy-M-d H:mm:ss", 1_000_000),
+    ("d/M/yyyy H:mm:ss", r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}:\d{2}$", 1_000_000), ("d/M/yyyy h:mm:ss a", r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}:\d{2} [AP]M$", 1_000_000),
+    ("d/M/yyyy H:mm", r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}$", 60_000_000), ("yyyy/M/d H:mm:ss.SSSSSS", r"^\d{4}/\d{1,2}/\d{1,2} \d{1,2}:\d{2}:\d{2}\.\d{1,6}$", 1),
+    ("yyyy-M-d H:mm:ss.SSSSSS", r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{2}:\d{2}\.\d{1,6}$", 1), ("yyyy-M-d H:mm:ss", r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{2}:\d{2}$", 1_000_000),
 )
 PROTOCOLS = {
     "icmp": 1, "igmp": 2, "ipv4": 4, "tcp": 6, "egp": 8, "udp": 17, "ipv6": 41, "rsvp": 46, "gre": 47, "esp": 50, "ah": 51, "ipv6-icmp": 58, "icmp6": 58, "pim": 103, "sctp": 132,
@@ -72,30 +73,38 @@ def csv_cells(spark: SparkSession, path: str, aliases: dict[str, tuple[str, ...]
 
 def number(x: Column) -> Column:
     """A finite number, or NULL."""
-    n = F.expr("try_cast(NULL AS DOUBLE)") if x is None else x.try_cast("double")
+    n = x.try_cast("double")
     return F.when(~F.isnan(n) & (F.abs(n) < float("inf")), n)
 
 
+def numbers(rows: DataFrame, names: list[str]) -> tuple[DataFrame, dict[str, Column]]:
+    """rows with a number for each of these texts, converted once, and those columns."""
+    return rows.withColumns({f"__n_{k}": number(F.col(k)) for k in names}), {k: F.col(f"__n_{k}") for k in names}
+
+
 def measured(rows: DataFrame, fields: dict[str, tuple[Column, Column, Column]]) -> DataFrame:
     """Adds each field (there, value, valid) as its value where it's valid, and `refused`: the names of fields whose cells are
     there without being a measurement. `there` is false where the field doesn't apply."""
     values = {f"__{k}": F.when(there & F.coalesce(valid, F.lit(False)), value) for k, (there, value, valid) in fields.items()}
     out = rows.withColumns(values)
     refused = F.array_compact(F.array(*(F.when(F.coalesce(there, F.lit(False)) & F.col(f"__{k}").isNull(), F.lit(k)) for k, (there, _, _) in fields.items())))
-    keep = [c for c in rows.columns if c not in fields]
+    keep = [c for c in rows.columns if c not in fields and not c.startswith("__n_")]
     return out.select(*keep, *(F.col(f"__{k}").alias(k) for k in fields), refused.alias("refused"))
 
 
 def timed(rows: DataFrame, text: str, offset_hours: float = 0.0) -> DataFrame:
     """Adds start_us, resolution_us and unread_time (a text that the pattern doesn't fit). Each file is read by the one
     pattern that fits most of its texts, the earlier one of equals. Texts carry no zone; `offset_hours` is what local time is ahead."""
-    at = [F.unix_micros(F.try_to_timestamp(F.concat(F.col(text), F.lit(" Z")), F.lit(f"{p} X"))) for p, _ in TIMES]
+    # texts of another shape aren't tried: a parser that fails is slow
+    at = [F.when(F.upper(text).rlike(shape), F.unix_micros(F.try_to_timestamp(F.concat(F.upper(text), F.lit(" Z")), F.lit(f"{p} X")))) for p, shape, _ in TIMES]
+    rows = rows.withColumns({f"__t{i}": t for i, t in enumerate(at)})
+    at = [F.col(f"__t{i}") for i in range(len(TIMES))]
     fits = rows.groupBy("file").agg(*(F.count(t).alias(f"n{i}") for i, t in enumerate(at)))
     best = F.array_max(F.array(*(F.struct(F.col(f"n{i}").alias("n"), F.lit(-i).alias("i")) for i in range(len(TIMES)))))
     fits = fits.select("file", (-best["i"]).alias("__p"))
     pick = lambda xs: F.coalesce(*(F.when(F.col("__p") == i, x) for i, x in enumerate(xs)))
-    out = rows.join(fits, "file", "left").withColumns({"start_us": pick(at) - int(offset_hours * 3_600_000_000), "resolution_us": pick([F.lit(r).cast("bigint") for _, r in TIMES])})
-    return out.withColumn("unread_time", F.col("start_us").isNull() & F.col(text).isNotNull()).drop("__p")
+    out = rows.join(fits, "file", "left").withColumns({"start_us": pick(at) - int(offset_hours * 3_600_000_000), "resolution_us": pick([F.lit(r).cast("bigint") for *_, r in TIMES])})
+    return out.withColumn("unread_time", F.col("start_us").isNull() & F.col(text).isNotNull()).drop("__p", *(f"__t{i}" for i in range(len(TIMES))))
 
 
 def ended(rows: DataFrame) -> DataFrame:
@@ -110,7 +119,7 @@ def cic_flows(spark: SparkSession, path: str, offset_hours: float = 0.0) -> tupl
     variance of gaps is that of the population. Ports are those of TCP and UDP, flags and windows those of TCP."""
     rows, bad = csv_cells(spark, path, CIC)
     there = lambda *names: F.lit(True) if not names else sum((F.col(n).isNotNull().cast("int") for n in names), F.lit(0)) == len(names)
-    n = {k: number(F.col(k)) for k in CIC if k not in ("src", "dst", "timestamp", "label")}
+    rows, n = numbers(rows, [k for k in CIC if k not in ("src", "dst", "timestamp", "label")])
     tcp, ports = F.coalesce(n["protocol"] == 6, F.lit(False)), F.coalesce(n["protocol"].isin(6, 17), F.lit(False))
     packets, gaps = n["packets_fwd"] + n["packets_bwd"], n["packets_fwd"] + n["packets_bwd"] - 1
     fields = {"protocol": (there("protocol"), n["protocol"], n["protocol"] > 0)}
@@ -138,7 +147,7 @@ def argus_flows(spark: SparkSession, path: str, offset_hours: float = 0.0) -> tu
     rows = rows.withColumn("argus_proto", F.lower("protocol"))
     port = lambda k: F.when(F.lower(k).rlike("^0x[0-9a-f]{1,8}$"), F.conv(F.substring(k, 3, 8), 16, 10).cast("double")).when(F.col(k).rlike(r"^\d{1,9}$"), F.col(k).cast("double"))
     tcp, ports = F.coalesce(proto == 6, F.lit(False)), F.coalesce(proto.isin(6, 17), F.lit(False))
-    n = {k: number(F.col(k)) for k in ("duration", "packets", "bytes", "bytes_fwd")}
+    rows, n = numbers(rows, ["duration", "packets", "bytes", "bytes_fwd"])
     back = n["bytes"] - n["bytes_fwd"]
     fields = {"protocol": (F.col("protocol").isNotNull(), proto, proto.isNotNull())}
     fields |= {k: (F.col(k).isNotNull() & ports, port(k), port(k).isNotNull()) for k in ("src_port", "dst_port")}
@@ -158,12 +167,12 @@ def iot_windows(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Windows of packets, without addresses and mostly without times. Values are averages over a window: one that isn't
     whole is no protocol and no count."""
     rows, bad = csv_cells(spark, path, IOT, ("label",))
-    n = {k: number(F.col(k)) for k in ("protocol", "ttl", "syn", "ack", "fin", "urg", "rst", "timestamp")}
+    rows, n = numbers(rows, ["protocol", "ttl", "syn", "ack", "fin", "urg", "rst", "timestamp"])
     even = lambda x: (F.abs(x - F.round(x)) < 1e-9) & (x >= 0)
     tcp = F.coalesce(n["protocol"] == 6, F.lit(False))
     fields = {"protocol": (F.col("protocol").isNotNull(), n["protocol"], even(n["protocol"])), "ttl": (F.col("ttl").isNotNull(), n["ttl"], n["ttl"] >= 0)}
     fields |= {k: (F.col(k).isNotNull() & tcp, n[k], even(n[k])) for k in ("syn", "ack", "fin", "urg", "rst")}
-    return measured(rows, fields).withColumn("start_us", F.round(n["timestamp"] * 1_000_000).cast("bigint")).drop("timestamp"), bad
+    return measured(rows.withColumn("start_us", F.round(n["timestamp"] * 1_000_000).cast("bigint")), fields).drop("timestamp"), bad
 
 
 def watermarked(rows: DataFrame) -> DataFrame:
@@ -184,8 +193,11 @@ def with_entities(rows: DataFrame, networks: list[str] | None = None, synthetic_
     """Adds the initiator, responder and service of each flow with their kinds: multicast for groups, host inside the networks
     (and for what is no address), external elsewhere. Rows without both addresses get two entities of their own;
     whether those are internal has to be said."""
-    inside = lambda x: F.coalesce(in_networks(F.col(x), list(networks or PRIVATE)), F.lit(True))
-    kind = lambda x: F.when(group_address(F.col(x)), "multicast").when(~is_address(F.col(x)) | inside(x), "host").otherwise("external")
+    for x in ("src", "dst"):  # each property of an address is worked out once
+        a = F.col(x)
+        rows = rows.withColumns({f"__{x}_many": group_address(a), f"__{x}_inside": F.coalesce(in_networks(a, list(networks or PRIVATE)), F.lit(True)), f"__{x}_real": is_address(a)})
+    many, inside = (lambda x: F.col(f"__{x}_many")), (lambda x: F.col(f"__{x}_inside"))
+    kind = lambda x: F.when(many(x), "multicast").when(~F.col(f"__{x}_real") | inside(x), "host").otherwise("external")
     known = F.col("src").isNotNull() & F.col("dst").isNotNull()
     if synthetic_internal is None:
         own = F.raise_error(F.lit("rows without addresses: say whether they are internal")).cast("boolean")
@@ -197,10 +209,10 @@ def with_entities(rows: DataFrame, networks: list[str] | None = None, synthetic_
     for side, x in (("initiator", "src"), ("responder", "dst")):
         out[side] = F.when(known, F.col(x)).otherwise(F.concat(name, F.lit(f":{side}")))
         out[f"{side}_kind"] = F.when(known, kind(x)).otherwise("host")
-        out[f"{side}_internal"] = F.when(known, ~group_address(F.col(x)) & inside(x)).otherwise(own)
+        out[f"{side}_internal"] = F.when(known, ~many(x) & inside(x)).otherwise(own)
     if "dst_port" in rows.columns:
         out["service"] = F.when(known & F.col("dst_port").isNotNull() & proto.isNotNull(), F.concat(F.col("dst"), F.lit(":"), F.col("dst_port").cast("bigint").cast("string"), F.lit("/"), proto))
-    return rows.withColumns(out)
+    return rows.withColumns(out).drop(*(f"__{x}_{p}" for x in ("src", "dst") for p in ("many", "inside", "real")))
 
 
 def port_evidence(rows: DataFrame, src: str, dst: str, port: str, order: list[str], ports: int = 32, least: int = 4) -> DataFrame:
