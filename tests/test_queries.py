@@ -21,7 +21,7 @@ def test_every_query_has_sql_or_a_test_here():
 
 
 #: Held against slow definitions in test_series.py and test_streams_flows.py.
-ELSEWHERE = {"adf", "pelt", "bocpd", "block_lengths", "stationary_interval", "flow_port_evidence"}
+ELSEWHERE = {"adf", "pelt", "bocpd", "block_lengths", "stationary_interval", "flow_port_evidence", "pacf", "kpss_automatic"}
 
 
 def _series(spark, data, value):

@@ -239,3 +239,56 @@ def test_queries_without_sql(spark, data):
         assert registry.QUERIES[name](spark, data).count() > 0
     sums = {x.what: x.p for x in registry.QUERIES["adf"](spark, data).filter("kind = 'error'").collect()}
     assert sums["values"] < 0.01 < sums["sums"]
+
+
+def test_partial_autocorrelations(spark, walks):
+    from tessera.operators import serial
+
+    got = defaultdict(dict)
+    for x in serial.partial_autocorrelations(frame(spark, walks), ["k"], 4).collect():
+        got[x.k][x.lag] = x.partial
+    assert all(v is None for v in got["flat"].values()) and abs(got["ar"][1] - 0.6) < 0.15
+    for k in ("walk", "ar", "noise", "short", None):
+        e = np.array(walks[k]) - np.mean(walks[k])
+        r = [(e[: len(e) - j] @ e[j:]) / (e @ e) for j in range(5)]
+        p11, p22 = r[1], (r[2] - r[1] ** 2) / (1 - r[1] ** 2)
+        p33 = np.linalg.det([[1, r[1], r[1]], [r[1], 1, r[2]], [r[2], r[1], r[3]]]) / np.linalg.det([[1, r[1], r[2]], [r[1], 1, r[1]], [r[2], r[1], 1]])
+        assert [got[k][1], got[k][2], got[k][3]] == pytest.approx([p11, p22, p33], abs=1e-9)
+
+
+@pytest.mark.parametrize("trend", ["c", "ct"])
+def test_kpss_with_automatic_lags(spark, walks, trend):
+    from tessera.operators import serial
+
+    got = {x.k: x for x in serial.kpss_test(frame(spark, walks), ["k"], trend).collect()}
+    assert set(got) == set(walks) and got["short"].statistic is None and got["flat"].statistic is None
+    for k in ("walk", "ar", "noise", None):
+        y = np.array(walks[k])
+        n, i = len(y), np.arange(len(y))
+        x = np.stack([np.ones(n), i], 1)[:, : 2 if trend == "ct" else 1]
+        e = y - x @ np.linalg.lstsq(x, y, rcond=None)[0]
+        g = lambda j: (e[: n - j] @ e[j:]) / n
+        m = int(4 * (n / 100) ** (2 / 9))
+        s0, s1 = g(0) + 2 * sum(g(j) for j in range(1, m + 1)), 2 * sum(j * g(j) for j in range(1, m + 1))
+        lag = int(1.1447 * ((s1 / s0) ** 2 * n) ** (1 / 3))
+        eta = (np.cumsum(e) ** 2).sum() / n**2 / (g(0) + 2 * sum((1 - j / (lag + 1)) * g(j) for j in range(1, lag + 1)))
+        assert got[k].lags == lag and got[k].statistic == pytest.approx(eta, rel=1e-6)
+        table = serial.KPSS[trend]
+        assert got[k].p == pytest.approx(np.interp(eta, [c for _, c in table], [p for p, _ in table]))
+
+
+def test_student_tail():
+    # quantiles of the published tables: two-sided 5 % and 1 %
+    for df, t, p in ((1, 12.7062, 0.05), (5, 2.5706, 0.05), (10, 3.1693, 0.01), (30, 2.0423, 0.05), (1000, 1.9623, 0.05)):
+        from tessera.operators.serial import student_tail
+
+        assert student_tail(t, df) == pytest.approx(p, rel=1e-3)
+    assert student_tail(0.0, 7) == 1.0
+
+
+def test_flips_of_clusters(spark):
+    from tessera.operators import serial
+
+    rows = [(None, c, 1.0 + c % 3) for c in range(30) for _ in range(2)] + [("even", c, float((-1) ** c)) for c in range(40)] + [("even", None, None)]
+    got = {x.g: x for x in serial.cluster_flips(spark.createDataFrame(rows, "g string, c int, d double"), "d", "c", ["g"], 500).collect()}
+    assert got[None].p == pytest.approx(1 / 501) and got[None].clusters == 30 and got["even"].p == 1.0 and got["even"].n == 40
