@@ -1,12 +1,15 @@
 """Query op2_warc_archives and its SQL."""
 
-from tessera.llm.common import table
+from tessera.llm.common import settled, table
 from tessera.llm.warc import read_archives, write_archives
 
 
 def op2_warc_archives(spark, sf_dir):
-    records = read_archives(write_archives(table(spark, sf_dir, "pages")), payloads=False)
-    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    def records():
+        found = read_archives(write_archives(table(spark, sf_dir, "pages")), payloads=False)
+        return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+    return settled(spark, "warc-records", records)
 
 
 SQL = """

@@ -42,16 +42,17 @@ def _record(page_id, url, payload: bytes, digest: str, kind: str, refers_to, dat
 
 
 def build_archive(records: list[bytes], dictionary_bytes: int, sample_bytes: int, level: int) -> bytes:
-    """The dictionary is trained on evenly spaced records of the archive itself, up to sample_bytes of them. Where there
-    are too few to train on, the archive has no dictionary frame."""
+    """The dictionary is trained on evenly spaced records of the archive itself (their first 64 KB), up to about sample_bytes of
+    them. Where there are too few to train on, the dictionary is what the last of them hold, as raw content. Every archive
+    begins with its dictionary; records are compressed whole."""
     step = max(1, -(-sum(map(len, records)) // sample_bytes))
-    out, dictionary = io.BytesIO(), None
+    out, samples = io.BytesIO(), [r[:65536] for r in records[::step]]
     try:
-        dictionary = zstandard.train_dictionary(dictionary_bytes, [r[:65536] for r in records[::step]], k=256, d=8)
-        raw = dictionary.as_bytes()
-        out.write(struct.pack("<II", DICTIONARY_FRAME, len(raw)) + raw)
+        dictionary = zstandard.train_dictionary(dictionary_bytes, samples, k=256, d=8)
     except zstandard.ZstdError:
-        dictionary = None
+        dictionary = zstandard.ZstdCompressionDict(b"".join(samples)[-dictionary_bytes:], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    raw = dictionary.as_bytes()
+    out.write(struct.pack("<II", DICTIONARY_FRAME, len(raw)) + raw)
     compressor = zstandard.ZstdCompressor(level=level, dict_data=dictionary, write_content_size=True, write_checksum=True)
     for r in records:
         out.write(compressor.compress(r))
@@ -103,8 +104,9 @@ def write_archives(
 ) -> DataFrame:
     """One record per page, in archives of about archive_bytes before compression; returns the stored archives.
 
-    Each task writes the archives of its own rows, so that memory stays at one archive. Null html is an empty payload,
-    a null url writes no target, and other columns of pages are not looked at.
+    Each task writes the archives of its own rows, so that memory stays at one archive, or at one payload where that is longer.
+    Null html is an empty payload, a null url writes no target, and other columns of pages are not looked at. Repeated rows are
+    records of their own; an empty table gives no archive.
     """
 
     def pack(batches):

@@ -90,6 +90,16 @@ def test_dictionary_frame_leads_and_records_stand_alone(spark, data):
     assert sum(len(r.content) for r in warc.write_archives(spark.read.parquet(f"{data}/pages.parquet")).collect()) < plain
 
 
+@pytest.mark.parametrize("n", [1, 2, 5])
+def test_few_records_have_a_dictionary_too(n):
+    records = [warc._record(i, None, f"<p>page {i}".encode() * (i + 1), "0" * 40, "response", None, "2024-01-01T00:00:00Z") for i in range(n)]
+    content = warc.build_archive(records, 32 << 10, 1 << 20, 3)
+    magic, size = struct.unpack_from("<II", content)
+    assert magic == 0x184D2A5D and 8 < size <= 32 << 10
+    assert [h["WARC-Record-ID"] for h, _ in warc.read_archive(content)] == [f"<urn:page:{i}>" for i in range(n)]
+    assert all(b.endswith(f"<p>page {i}".encode() * (i + 1)) for i, (_, b) in enumerate(warc.read_archive(content)))
+
+
 def test_media_contract(spark, data):
     docs = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
     got = registry.QUERIES["op7_jpeg_media"](spark, data).collect()
