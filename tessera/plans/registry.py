@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("observe", "describe", "sequences", "evaluation", "ingest", "forecasts", "perturbed", "scores", "audits", "fields", "streams", "flows", "exports", "pairs", "series", "serial")
+MODULES = ("observe", "describe", "sequences", "evaluation", "ingest", "forecasts", "perturbed", "scores", "audits", "fields", "streams", "flows", "exports", "pairs", "series", "serial", "calibrate")
 
 QUERIES: dict = {}
 ORACLE: dict = {}

@@ -20,8 +20,8 @@ def test_every_query_has_sql_or_a_test_here():
     assert set(registry.QUERIES) - set(registry.ORACLE) == {"drift_detection", "adwin_changes", "near_duplicate_rows", "bounded_windows", "core_numbers", "logistic_detector"} | ELSEWHERE
 
 
-#: Held against slow definitions in test_series.py and test_streams_flows.py.
-ELSEWHERE = {"adf", "pelt", "bocpd", "block_lengths", "stationary_interval", "flow_port_evidence", "pacf", "kpss_automatic"}
+#: Held against slow definitions in test_series.py, test_streams_flows.py and test_calibrate.py.
+ELSEWHERE = {"adf", "pelt", "bocpd", "block_lengths", "stationary_interval", "flow_port_evidence", "pacf", "kpss_automatic", "likeliest_temperature"}
 
 
 def _series(spark, data, value):
