@@ -77,12 +77,21 @@ def chronological(df: DataFrame, strata: list[str], order: list[str], roles: dic
 
 
 def next_other_role(df: DataFrame, by: list[str], order: list[str], time: str, role: str, roles: list[str]) -> DataFrame:
-    """Adds `limit`: the earliest later time in the same source of a row with another role (excluded rows don't count)."""
-    after = Window.partitionBy(*by).orderBy(*order).rowsBetween(1, Window.unboundedFollowing)
-    nexts = {r: F.min(F.when(F.col(role) == r, F.col(time))).over(after) for r in roles}
-    others = [F.when(F.col(role) != r, F.col(f"__n_{r}")) for r in roles]
-    out = df.withColumns({f"__n_{r}": e for r, e in nexts.items()})
-    return out.withColumn("limit", F.least(*others)).drop(*(f"__n_{r}" for r in roles))
+    """Adds `limit`: the earliest later time in the same source of a row with another role (excluded rows don't count).
+
+    Rows are cut into ranges of the order's first column, as in numbered(). A range is read from its end, with the least time of
+    each role so far; the least times of the ranges after it are one row for each source and range."""
+    rows = ranged(df.withColumn("__value", F.coalesce(_position(df, order[0]), F.lit(-1e308))), "__value").drop("__value")
+    least = {r: F.min(F.when(F.col(role) == r, F.col(time))) for r in roles}
+    names = {r: f"__n_{k}" for k, r in enumerate(roles)}
+    parts = rows.groupBy(*by, PART).agg(*(e.alias(names[r]) for r, e in least.items()))
+    after = Window.partitionBy(*by).orderBy(F.desc(PART)).rowsBetween(Window.unboundedPreceding, -1)
+    beyond = parts.select(*(F.col(c).alias(f"__o_{c}") for c in (*by, PART)), *(F.min(n).over(after).alias(f"__b{n}") for n in names.values()))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__o_{c}")) for c in (*by, PART)])
+    back = Window.partitionBy(*by, PART).orderBy(*(F.desc(c) for c in order)).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumns({names[r]: e.over(back) for r, e in least.items()}).join(beyond, same)
+    others = [F.when(F.col(role) != r, F.least(names[r], f"__b{names[r]}")) for r in roles]
+    return rows.withColumn("limit", F.least(*others) if len(others) > 1 else others[0]).select(*df.columns, "limit")
 
 
 def class_weights(df: DataFrame, label: str, power: float = 1.0) -> DataFrame:
