@@ -9,6 +9,7 @@ from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,33 +79,52 @@ def adf(series: DataFrame, by: list[str], trend: str = "c", criterion: str = "ai
     """Augmented Dickey and Fuller's test of each series: tau, p, the lags (chosen by AIC or BIC up to `lags`, or 12 (n / 100)^(1/4)
     of the longest series), the rows of the regression and the 5 % critical value. NULL where a series is too short or constant.
 
-    The lagged design is never in a task: its normal equations are sums, one set of them for the rows that every order has and one
-    for each row before. All orders are solved from these."""
+    The lagged design is made block by block inside tasks, some thousand rows of it at a time, and multiplied with itself there. A
+    block gives the sums of the rows that every order has, and the few rows before as they are. All orders are solved from these."""
     counts = series.groupBy(*by).agg(F.count("*").alias("n"))
     if lags is None:
         lags = int(12 * ((counts.agg(F.max("n")).first()[0] or 1) / 100) ** 0.25)
     fixed = {"n": 0, "c": 1, "ct": 2}[trend]
     limit = F.greatest(F.least(F.floor(12 * F.pow(F.col("n") / 100, 0.25)), F.expr(f"(n - 1) div 2 - {fixed + 2}"), F.lit(lags)), F.lit(0)).cast("int")
-    rows = joined(with_lags(series, by, lags + 2), counts.withColumn("most", limit), by).filter("i > 0")
-    value = lambda k: F.col(f"v{k}") if k else F.col("v")
-    columns = [value(0) - value(1), value(1)] + [F.lit(1.0)] * (fixed > 0) + [F.col("i").cast("double") / F.col("n")] * (fixed > 1) + [value(k) - value(k + 1) for k in range(1, lags + 1)]
-    names = [f"x{j}" for j in range(len(columns))]
-    rows = rows.withColumns({n: F.coalesce(c, F.lit(0.0)) for n, c in zip(names, columns)}).withColumn("at", F.least(F.col("i") - 1, F.col("most")).cast("int"))
-    pairs = [(a, b) for a in range(len(names)) for b in range(a, len(names))]
-    sums = rows.groupBy(*by, "n", "most", "at").agg(F.count("*").alias("rows"), F.array(*(F.sum(F.col(names[a]) * F.col(names[b])) for a, b in pairs)).alias("sums"))
+    width, block = 2 + fixed + lags, max(BLOCK, lags + 2)
+    at = F.expr(f"i div {block}")
+    near = F.when(F.pmod(F.col("i"), F.lit(block)) >= block - lags - 2, F.array(at, at + 1)).otherwise(F.array(at))
+    rows = joined(series, counts.withColumn("most", limit), by).select(*by, "n", "most", "i", F.col("v").cast("double").alias("v"), F.explode(near).alias("__block"))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in series.select(*by).schema)
+
+    def design(table: pa.Table) -> pa.Table:
+        table = table.sort_by("i")
+        v, i, (n, most, b) = table.column("v").to_numpy(), table.column("i").to_numpy(), (table.column(c)[0].as_py() for c in ("n", "most", "__block"))
+        steps = np.concatenate([np.zeros(lags + 1), np.diff(v)])  # steps[j + lags] is the last one of row j
+        back = np.lib.stride_tricks.sliding_window_view(steps, lags + 1)[:, ::-1]
+        own = np.flatnonzero((i >= b * block) & (i > 0))
+        out, gram, size = [], np.zeros((width, width)), 0
+        for use in np.array_split(own, -(-len(own) // 4096) or 1):
+            x = np.column_stack([back[use, 0], v[use - 1], *([np.ones(len(use))] * (fixed > 0)), *([i[use] / n] * (fixed > 1)), back[use, 1:]])
+            late = i[use] > most
+            out += [(int(j) - 1, 1, r.tobytes()) for j, r in zip(i[use][~late], x[~late])]
+            gram, size = gram + x[late].T @ x[late], size + int(late.sum())
+        if size:
+            out.append((most, size, gram.tobytes()))
+        key = {c: pa.chunked_array([table.column(c).combine_chunks().take(pa.array([0] * len(out), pa.int64()))]) for c in by}
+        ats, sizes, sums = zip(*out) if out else ((), (), ())
+        return pa.table({**key, "n": pa.array([n] * len(out), pa.int64()), "most": pa.array([most] * len(out), pa.int32()), "at": pa.array(ats, pa.int32()), "rows": pa.array(sizes, pa.int64()), "sums": pa.array(sums, pa.binary())})
+
+    named = f"{kinds}, " if by else ""
+    sums = rows.groupBy(*by, "__block").applyInArrow(design, f"{named}n long, most int, at int, rows long, sums binary")
 
     def solve(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("at")
-        most, at = int(frame["most"].iloc[0]), frame["at"].to_numpy()
-        grams = np.zeros((len(frame), len(names), len(names)))
-        for (a, b), s in zip(pairs, np.stack(frame["sums"].to_numpy()).T):
-            grams[:, a, b] = grams[:, b, a] = s
-        size = frame["rows"].to_numpy()
+        most, at, size = int(frame["most"].iloc[0]), frame["at"].to_numpy(), frame["rows"].to_numpy()
+        held = [np.frombuffer(x) for x in frame["sums"]]
+        whole = sum((x.reshape(width, width) for x, k in zip(held, at) if k == most), np.zeros((width, width)))
+        early = np.array([x for x, k in zip(held, at) if k < most]).reshape(-1, width)
 
         def fit(p: int, start: int):
             """Rest of the sum of squares, rows, tau of an order from the rows that have `start` differences before them."""
             use, keep = at >= start, [1, *range(2, 2 + fixed), *range(2 + fixed, 2 + fixed + p)]
-            g, n = grams[use].sum(0), int(size[use].sum())
+            first = early[at[at < most] >= start]
+            g, n = whole + first.T @ first, int(size[use].sum())
             scale = np.sqrt(np.diag(g)[keep])
             if n <= len(keep) or (scale == 0).any():
                 return None
@@ -128,8 +148,7 @@ def adf(series: DataFrame, by: list[str], trend: str = "c", criterion: str = "ai
                     out |= {"tau": last[2], "p": mackinnon(last[2], trend), "lags": p, "rows": n, "critical": sum(c / n**k for k, c in enumerate(SURFACES[trend][5]))}
         return pd.DataFrame([out]).astype({"tau": "Float64", "p": "Float64", "lags": "Int64", "rows": "Int64", "critical": "Float64"})
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in series.select(*by).schema)
-    return sums.groupBy(*by).applyInPandas(solve, f"{kinds}, tau double, p double, lags long, rows long, critical double")
+    return sums.groupBy(*by).applyInPandas(solve, f"{named}tau double, p double, lags long, rows long, critical double")
 
 
 def lomb_scargle(df: DataFrame, by: list[str], time: str, value: str, frequencies: list[float]) -> DataFrame:
