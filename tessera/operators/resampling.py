@@ -21,6 +21,9 @@ from tessera.operators.ranks import running_totals
 from tessera.operators.series import BLOCK
 from tessera.sources.stored import stored
 
+#: Rows of running totals that a task of replicates holds (8 bytes each).
+REACH = 1 << 22
+
 
 def _kinds(df: DataFrame, by: list[str]) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*by).schema)
@@ -77,6 +80,22 @@ def optimal_block_length(series: DataFrame, by: list[str]) -> DataFrame:
     return acov.groupBy(*by).applyInPandas(rule, f"{_kinds(series, by)}, n long, length double")
 
 
+def _draws(n: int, mean: float, replicate: int, key: str, seed: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Starts and lengths of the blocks of a replicate, in pieces."""
+    left = n
+    rng = np.random.Generator(np.random.Philox(int.from_bytes(hashlib.sha256(f"{seed}|{replicate}|{key}".encode()).digest()[:16])))
+    while left:
+        size = int(min(65_536, left / mean + 16))
+        start, length = rng.integers(0, n, size), rng.geometric(min(1.0, 1 / mean), size)
+        upto = np.cumsum(length)
+        use = int(np.searchsorted(upto, left)) + 1
+        start, length = start[:use], length[:use].copy()
+        if use <= size:
+            length[-1] -= upto[use - 1] - left
+        left -= int(length.sum())
+        yield start, length
+
+
 def stationary_blocks(lengths: DataFrame, by: list[str], replicates: int, seed: int = 0) -> DataFrame:
     """(by, replicate, start, length) of the blocks of each replicate of a series of n rows: starts are uniform, lengths are
     geometric around `length`, the last block is cut at n. Draws depend on the key, the replicate and the seed, not on partitions;
@@ -88,17 +107,7 @@ def stationary_blocks(lengths: DataFrame, by: list[str], replicates: int, seed:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for row in frame.to_dict("records"):
-                n, left = int(row["n"]), int(row["n"])
-                rng = np.random.Generator(np.random.Philox(int.from_bytes(hashlib.sha256(f"{seed}|{row['replicate']}|{row['__key']}".encode()).digest()[:16])))
-                while left:
-                    size = int(min(65_536, left / row["length"] + 16))
-                    start, length = rng.integers(0, n, size), rng.geometric(min(1.0, 1 / row["length"]), size)
-                    upto = np.cumsum(length)
-                    use = int(np.searchsorted(upto, left)) + 1
-                    start, length = start[:use], length[:use].copy()
-                    if use <= size:
-                        length[-1] -= upto[use - 1] - left
-                    left -= int(length.sum())
+                for start, length in _draws(int(row["n"]), row["length"], row["replicate"], row["__key"], seed):
                     out = pd.DataFrame({"replicate": row["replicate"], "start": start, "length": length})
                     for b in by:
                         out[b] = row[b]
@@ -121,6 +130,54 @@ def replicate_means(series: DataFrame, by: list[str], blocks: DataFrame) -> Data
     return met.groupBy(*by, "replicate", "n").agg(total.alias("__s")).select(*by, "replicate", (F.col("__s") / F.col("n")).alias("mean"))
 
 
+def stationary_means(series: DataFrame, by: list[str], lengths: DataFrame, replicates: int, seed: int = 0, reach: int = REACH, share: int = 25) -> DataFrame:
+    """(by, replicate, mean): replicate_means of stationary_blocks, without rows of blocks. Running totals are packed and handed to each
+    `share` of the replicates, in ranges of `reach` rows; a task draws the blocks of its replicates again and takes the ends that
+    are in its range. So what is shuffled is the series once for each share, and draws are repeated only for series beyond
+    `reach` rows, a time for each range."""
+    name = F.to_json(F.struct(*by)) if by else F.lit("")
+    run = joined(running_totals(series, "i", ["v"], by), lengths, by)
+    kinds = f"{_kinds(series, by)}, " if by else ""
+    step = min(BLOCK, reach)
+    packs = run.select(*by, name.alias("__key"), "n", "length", F.col("total_v").alias("total"), F.expr(f"i div {step}").alias("__pack"), "i", F.col("cum_v").cast("double").alias("cum"))
+
+    def pack(table: pa.Table) -> pa.Table:
+        table = table.sort_by("i")
+        first = table.slice(0, 1)
+        return first.drop_columns(["cum"]).append_column("cum", pa.array([table.column("cum").to_numpy().tobytes()], pa.binary()))
+
+    packed = packs.groupBy(*by, "__pack").applyInArrow(pack, f"{kinds}__key string, n long, length double, total double, __pack long, i long, cum binary")
+    shares = F.explode(F.sequence(F.lit(0), F.lit((replicates - 1) // share))).alias("__share")
+    dealt = packed.select("*", F.expr(f"i div {reach // step * step}").alias("__range"), shares)
+
+    def draw(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("i")
+        row, low = frame.iloc[0], int(frame["i"].iloc[0])
+        n, total, cum = int(row["n"]), float(row["total"]), np.concatenate([np.frombuffer(x) for x in frame["cum"]])
+
+        def at(place: np.ndarray) -> np.ndarray:
+            if len(cum) == n:
+                return np.where(place < 0, 0.0, cum[place])
+            inside = (place >= low) & (place < low + len(cum))
+            return np.where(inside, cum[np.where(inside, place - low, 0)], 0.0)
+
+        out = []
+        for r in range(int(row["__share"]) * share, min(replicates, (int(row["__share"]) + 1) * share)):
+            s, turns = 0.0, 0
+            for start, length in _draws(n, row["length"], r, row["__key"], seed):
+                last = start + length - 1
+                s += float((at(last % n) - at(start - 1)).sum())
+                turns += int((last // n).sum())
+            out.append((r, n, s + turns * total * (low == 0)))
+        out = pd.DataFrame(out, columns=["replicate", "n", "__s"])
+        for b in by:
+            out[b] = row[b]
+        return out[[*by, "replicate", "n", "__s"]]
+
+    sums = dealt.groupBy(*by, "__range", "__share").applyInPandas(draw, f"{kinds}replicate int, n long, __s double")
+    return sums.groupBy(*by, "replicate", "n").agg(F.sum("__s").alias("__s")).select(*by, "replicate", (F.col("__s") / F.col("n")).alias("mean"))
+
+
 def jackknife_means(series: DataFrame, by: list[str], groups: int) -> DataFrame:
     """(by, group, mean): the mean of each series without one of `groups` contiguous parts (as even as can be)."""
     m = series.groupBy(*by).agg(F.count("*").alias("n"), F.sum("v").alias("total")).withColumn("__g", F.least(F.col("n"), F.lit(groups)))
@@ -171,7 +228,6 @@ def mean_interval(series: DataFrame, by: list[str], replicates: int = 200, group
     """The mean of each series with a BCa interval of the stationary bootstrap with automatic block lengths."""
     series = stored(series, "resampled")
     lengths = stored(optimal_block_length(series, by), "block-lengths")
-    blocks = stationary_blocks(lengths, by, replicates, seed)
     estimates = series.groupBy(*by).agg(F.avg("v").alias("estimate"))
-    out = bca_interval(estimates, replicate_means(series, by, blocks), jackknife_means(series, by, groups), by, confidence)
+    out = bca_interval(estimates, stationary_means(series, by, lengths, replicates, seed), jackknife_means(series, by, groups), by, confidence)
     return joined(out, lengths.select(*by, "length"), by)
