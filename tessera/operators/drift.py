@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.scalars import ratio
@@ -68,6 +68,14 @@ def homogeneity(df: DataFrame, value: str, current: str, by: list[str], top: int
     return cells.groupBy(*by).agg(F.sum("t").alias("chi2"), (F.count("*") - 1).alias("df"))
 
 
+def harmonic(m: Column) -> Column:
+    """1 + 1/2 + ... + 1/m: added up to 30, and by Euler and Maclaurin's series beyond (off by less than 1e-11), so that the
+    work at a row doesn't grow with m."""
+    n = m.cast("double")
+    few = F.element_at(F.array(*(F.lit(math.fsum(1 / i for i in range(1, k + 1))) for k in range(1, 31))), F.greatest(F.least(m, F.lit(30)), F.lit(1)).cast("int"))
+    return F.when(m <= 30, few).otherwise(F.log(n) + 0.57721566490153286 + 1 / (2 * n) - 1 / (12 * n**2) + 1 / (120 * n**4))
+
+
 def fdr(df: DataFrame, p: str, family: list[str], method: str = "bh") -> DataFrame:
     """Adds `adjusted`: p-values adjusted by Benjamini and Hochberg, or Benjamini and Yekutieli ('by'), in each family of
     tests (a family is one report's tests). NULL stays NULL and isn't counted."""
@@ -75,7 +83,7 @@ def fdr(df: DataFrame, p: str, family: list[str], method: str = "bh") -> DataFra
     m = F.count(p).over(Window.partitionBy(*family))
     rank = F.row_number().over(up)
     raw = df.withColumns({"__m": m, "__rank": rank})
-    factor = F.lit(1.0) if method == "bh" else F.aggregate(F.sequence(F.lit(1), F.greatest("__m", F.lit(1)).cast("int")), F.lit(0.0), lambda a, i: a + 1.0 / i)
+    factor = F.lit(1.0) if method == "bh" else harmonic(F.col("__m"))
     raw = raw.withColumn("__a", F.col(p) * F.col("__m") / F.col("__rank") * factor)
     down = Window.partitionBy(*family).orderBy(F.desc("__rank")).rowsBetween(Window.unboundedPreceding, 0)
     return raw.withColumn("adjusted", F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), F.min("__a").over(down)))).drop("__m", "__rank", "__a")
