@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.scalars import joined
+from tessera.operators.ranks import PART, ranged
 from tessera.sources.stored import stored
 
 SETS = (
@@ -25,8 +27,6 @@ NUMBERS = {
 }
 COLUMNS = (*dict.fromkeys(ADDRESSES.values()), *NUMBERS.values())
 VARIABLE = 0xFFFF
-#: A side is broadcast up to so many rows (a template has some dozens of fields of 16 bytes).
-FEW = 10_000
 
 
 class Broken(ValueError):
@@ -138,6 +138,27 @@ def template_ranges(sets: DataFrame) -> DataFrame:
     return past.filter("fields IS NOT NULL").select(*key, F.when(F.col("__open"), F.col("__last")).otherwise(F.col("at")).alias("since"), "until", "scope", "fields")
 
 
+def in_force(data: DataFrame, ranges: DataFrame) -> DataFrame:
+    """Data sets with the fields and scope of the range that they lie in (NULL where there is none). Ranges of a template are
+    disjoint, so that it is the last one that begins before a set, if that one isn't over. Both are cut into parts of n, and each part
+    of a template is sorted once, after the last range that begins in the parts before it."""
+    key = ["exporter", "domain", "template"]
+    row, t = F.struct(*data.columns), F.struct("since", "until", "fields", "scope")
+    held = ranges.filter("since IS NULL OR until IS NULL OR since < until").select(*key, F.col("since").alias("__at"), F.lit(0).alias("__side"), t.alias("__t"))
+    held = held.withColumn("__row", F.lit(None).cast(data.select(row.alias("r")).schema["r"].dataType))
+    asked = data.select(*key, F.struct("n", "place").alias("__at"), F.lit(1).alias("__side"), F.lit(None).cast(held.schema["__t"].dataType).alias("__t"), row.alias("__row"))
+    both = asked.unionByName(held).withColumn("__n", F.coalesce(F.col("__at.n").cast("double"), F.lit(-1e308)))
+    both = ranged(both, "__n").drop("__n")
+    parts = both.groupBy(*key, PART).agg(F.max_by("__t", F.when(F.col("__side") == 0, F.struct("__at"))).alias("__end"))
+    before = Window.partitionBy(*key).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select(*key, PART, F.last("__end", True).over(before).alias("__carried"))
+    upto = Window.partitionBy(*key, PART).orderBy("__at", "__side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = joined(both.withColumn("__last", F.last("__t", True).over(upto)).filter("__side = 1"), parts, [*key, PART])
+    found = found.withColumn("__last", F.coalesce("__last", "__carried"))
+    there = F.col("__last.until").isNull() | (F.col("__at") < F.col("__last.until"))
+    return found.select("__row.*", F.when(there, F.col("__last.fields")).alias("fields"), F.when(there, F.col("__last.scope")).alias("scope"))
+
+
 def _value(column: str, raw: bytes):
     if column in ("src", "dst", "next_hop"):
         return str(ip_address(raw)) if len(raw) in (4, 16) else None
@@ -175,12 +196,8 @@ def decoded(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     sets = stored(sets, "export-sets")
     ranges = template_ranges(sets)
     ranges = stored(ranges, "export-templates")
-    few = F.broadcast(ranges) if ranges.count() <= FEW else ranges
-    data = sets.filter("kind = 'data'").drop("fields", "scope", "reason", "kind").withColumn("__at", F.struct("n", "place"))
-    d, t = data.alias("d"), few.alias("t")
-    same = (F.col("d.exporter").eqNullSafe(F.col("t.exporter"))) & (F.col("d.domain") == F.col("t.domain")) & (F.col("d.template") == F.col("t.template"))
-    within = (F.col("t.since").isNull() | (F.col("d.__at") >= F.col("t.since"))) & (F.col("t.until").isNull() | (F.col("d.__at") < F.col("t.until")))
-    met = d.join(t, same & within, "left").select("d.*", "t.fields", "t.scope")
+    data = sets.filter("kind = 'data'").drop("fields", "scope", "reason", "kind")
+    met = in_force(data, ranges)
     broken = sets.filter("kind = 'broken'").select("exporter", "n", "place", "body", F.col("reason").alias("_quarantine"))
     lost = met.filter("fields IS NULL").select("exporter", "n", "place", "body", F.concat(F.lit("no template "), F.col("template").cast("string")).alias("_quarantine"))
     head = ["exporter", "n", "place", "domain", "version", "sequence", "export_s", "boot_ms", "template", "scope"]
