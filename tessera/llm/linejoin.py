@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Marked, group_starts, settled, stored, whole_groups
+from tessera.llm.common import BATCH, Marked, group_starts, settled, small_batches, stored, whole_groups
 from tessera.llm.textblocks import LOWER, blocks, digests, mix, runs, words
 
 LINES = "doc_id long, text_id long, line int, n int, hi long, lo long, skip int, parity long, parity2 long, prefix array<long>"
@@ -36,8 +36,9 @@ SLOT_BITS, PARTS = 24, 64
 def rarity(df: DataFrame, slot_bits: int = SLOT_BITS) -> np.ndarray:
     """One byte for each slot of word digests: 0 none, 1 one occurrence, then 8 steps for each doubling.
 
-    Each task counts its own words, Spark adds the counts by slot, and 2**slot_bits bytes come to the driver, however
-    large the table is."""
+    Each task counts its own words and sends the slots that it met, part by part as lists of steps and counts: a row for each slot
+    would cost more than the counting. Whoever gets a part adds the lists up as they come, and 2**slot_bits bytes come to the
+    driver, however large the table is."""
     width = (1 << slot_bits) // PARTS
 
     def count(batches):
@@ -46,22 +47,34 @@ def rarity(df: DataFrame, slot_bits: int = SLOT_BITS) -> np.ndarray:
             for _, _, data, offsets in blocks(batch.column(0)):
                 start, end, _ = words(data, offsets)
                 np.add.at(total, (digests(LOWER[data], start, end) >> np.uint64(64 - slot_bits)).astype(np.int64), np.uint32(1))
-        slots = np.flatnonzero(total)
-        for lo in range(0, len(slots), 1 << 16):
-            part = slots[lo : lo + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(total[part], pa.int64())], names=["slot", "n"])
-
-    def pack(table):
-        slot, n = table.column("slot").to_numpy(), table.column("n").to_numpy()
-        out = np.zeros(width, np.uint8)
-        out[slot % width] = np.minimum(255, 1 + np.floor(8 * np.log2(n)))
-        return pa.table({"part": pa.array([slot[0] // width], pa.int32()), "codes": pa.array([out.tobytes()], pa.binary())})
-
-    counted = df.select("text").mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n"))
-    packed = counted.groupBy(F.expr(f"slot div {width}")).applyInArrow(pack, "part int, codes binary")
-    codes = np.zeros((PARTS, width), np.uint8)
-    for r in packed.collect():  # 2**slot_bits bytes at most
-        codes[r["part"]] = np.frombuffer(r["codes"], np.uint8)
+        for part in range(PARTS):
+            own = total[part * width : (part + 1) * width]
+            slots = np.flatnonzero(own)
+            if len(slots):
+                steps = np.diff(slots, prepend=0).astype(np.uint32)
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([steps.tobytes()], pa.binary()), pa.array([own[slots].tobytes()], pa.binary())], names=["part", "steps", "counts"])
+
+    def pack(batches):
+        sums = {}
+        for batch in batches:
+            for part, steps, counts in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                total = sums.setdefault(part, np.zeros(width, np.int64))
+                total[np.cumsum(np.frombuffer(steps, np.uint32), dtype=np.int64)] += np.frombuffer(counts, np.uint32)
+        for part, n in sums.items():
+            out = np.zeros(width, np.uint8)
+            met = np.flatnonzero(n)
+            out[met] = np.minimum(255, 1 + np.floor(8 * np.log2(n[met])))
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([out.tobytes()], pa.binary())], names=["part", "codes"])
+
+    spark, codes = df.sparkSession, np.zeros((PARTS, width), np.uint8)
+    before = spark.conf.get(BATCH)
+    small_batches(spark)  # lists are long
+    try:
+        counted = df.select("text").mapInArrow(count, "part int, steps binary, counts binary")
+        for r in counted.repartition("part").mapInArrow(pack, "part int, codes binary").collect():  # 2**slot_bits bytes at most
+            codes[r["part"]] = np.frombuffer(r["codes"], np.uint8)
+    finally:
+        spark.conf.set(BATCH, before)
     return codes.reshape(-1)
 
 
