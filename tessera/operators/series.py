@@ -288,14 +288,24 @@ class RunLengths:
         self.prior = (middle, 1.0, 1.0, max(spread**2, 1e-12)) if model == "normal" else (max(middle, 0.5), 1.0)
         self.seen = np.array([self.prior]).T
         self.log = np.zeros(1)
+        self.known = np.zeros((2, 0))
+
+    def _shape_terms(self) -> np.ndarray:
+        """The terms of the normal density that the run length alone decides: worked out once for each, and kept."""
+        n = len(self.log)
+        if n > self.known.shape[1]:
+            shape = self.prior[2] + 0.5 * np.arange(max(64, 2 * n))
+            self.known = np.array([log_gamma(shape + 0.5) - log_gamma(shape), shape + 0.5])
+        return self.known[:, :n]
 
     def _density(self, x: float) -> np.ndarray:
         if self.model == "poisson":
             a, b = self.seen
             return log_gamma(x + a) - log_gamma(a) - math.lgamma(x + 1) + a * np.log(b / (b + 1)) - x * np.log(b + 1)
-        mean, k, shape, rate = self.seen
+        mean, k, _, rate = self.seen
         wide = 2 * rate * (k + 1) / k  # degrees of freedom times the squared scale
-        return log_gamma(shape + 0.5) - log_gamma(shape) - 0.5 * np.log(np.pi * wide) - (shape + 0.5) * np.log1p((x - mean) ** 2 / wide)
+        gamma, power = self._shape_terms()
+        return gamma - 0.5 * np.log(np.pi * wide) - power * np.log1p((x - mean) ** 2 / wide)
 
     def add(self, x: float) -> tuple[float, int, float]:
         """The chance of a change right after x, the likeliest and the mean run length."""
