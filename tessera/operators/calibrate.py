@@ -10,8 +10,12 @@ from tessera.operators.ranks import running_totals
 from tessera.sources.stored import stored
 
 
-def _counts(df: DataFrame, p: str, label: str, by: list[str]) -> DataFrame:
-    """For each group and distinct forecast: n, the positives y, and the running total of n."""
+def _counts(df: DataFrame, p: str, label: str, by: list[str], times: str | None = None) -> DataFrame:
+    """For each group and distinct forecast: n, the positives y, and the running total of n. A row counts `times` times."""
+    if times:
+        y = F.col(label).cast("double") * F.col(times)
+        counts = df.filter(F.col(p).isNotNull() & F.col(label).isNotNull()).groupBy(*by, F.col(p).cast("double").alias("p")).agg(F.sum(times).alias("n"), F.sum(y).alias("y"))
+        return stored(running_totals(counts, "p", ["n"], by), "forecasts")
     y = F.col(label).cast("double")
     counts = df.filter(F.col(p).isNotNull() & F.col(label).isNotNull()).groupBy(*by, F.col(p).cast("double").alias("p")).agg(F.count("*").alias("n"), F.sum(y).alias("y"))
     return stored(running_totals(counts, "p", ["n"], by), "forecasts")
@@ -60,12 +64,14 @@ def multiclass(df: DataFrame, probs: str, label: str, by: list[str], bins: int)
     """Of forecasts for several classes (an array, and the index of the true class): n, the Brier score, the log loss (infinite where
     the true class had no chance), the mean over classes of each one's calibration error over `bins` of equal width, and over bins of equal mass
     the mean gap of the bins that hold something. Classes that are never there nor predicted are left out of the class mean."""
-    rows = df.filter(F.col(probs).isNotNull() & F.col(label).isNotNull())
+    rows = df.filter(F.col(probs).isNotNull() & F.col(label).isNotNull()).groupBy(*by, F.col(probs).alias("__q"), F.col(label).alias("__l")).agg(F.count("*").alias("__n"))
+    rows, probs, label = stored(rows, "forecasts-told-apart"), "__q", "__l"  # equal rows once, before they are multiplied by the classes
+    mean = lambda c: F.sum(c * F.col("__n")) / F.sum(F.when(c.isNotNull(), F.col("__n")))
     own = F.get(probs, F.col(label).cast("int"))
     square = F.aggregate(F.transform(probs, lambda q, i: F.pow(q - F.when(i == F.col(label), 1.0).otherwise(0.0), 2)), F.lit(0.0), lambda a, b: a + b)
-    whole = rows.groupBy(*by).agg(F.count("*").alias("n"), F.avg(square).alias("brier"), F.avg(F.when(own > 0, -F.log(own)).otherwise(float("inf"))).alias("log_loss"))
-    each = rows.select(*by, F.posexplode(probs).alias("class", "p"), F.col(label).alias("__l")).withColumn("y", (F.col("class") == F.col("__l")).cast("int"))
-    counts = _counts(each, "p", "y", [*by, "class"])
+    whole = rows.groupBy(*by).agg(F.sum("__n").alias("n"), mean(square).alias("brier"), mean(F.when(own > 0, -F.log(own)).otherwise(float("inf"))).alias("log_loss"))
+    each = rows.select(*by, "__n", F.posexplode(probs).alias("class", "p"), F.col(label).alias("__l")).withColumn("y", (F.col("class") == F.col("__l")).cast("int"))
+    counts = _counts(each, "p", "y", [*by, "class"], "__n")
     gap = F.abs(F.sum("y") - F.sum(F.col("n") * F.col("p")))
     wide = F.least(F.floor(F.col("p") * bins), F.lit(bins - 1)).alias("bin")
     by_class = counts.groupBy(*by, "class", wide).agg(gap.alias("__gap"), F.sum("n").alias("n"), F.sum("y").alias("y"), F.max("p").alias("p"))
