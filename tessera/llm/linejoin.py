@@ -31,47 +31,63 @@ BLOCK_LINES = 2048
 SLICES = 2
 #: Words are counted in 2**SLOT_BITS slots by digest; any order of words is exact, and slots only make it near to rarity.
 SLOT_BITS, PARTS = 24, 64
+#: Words that a task counts at a time.
+COUNTED_WORDS = 1 << 21
 
 
 def rarity(df: DataFrame, slot_bits: int = SLOT_BITS) -> np.ndarray:
     """One byte for each slot of word digests: 0 none, 1 one occurrence, then 8 steps for each doubling.
 
-    Each task counts its own words and sends the slots that it met, part by part as lists of steps and counts: a row for each slot
-    would cost more than the counting. Whoever gets a part adds the lists up as they come, and 2**slot_bits bytes come to the
-    driver, however large the table is."""
+    Each task counts its own words, so many at a time, and sends the slots that it met, part by part as lists of steps and counts: a
+    row for each slot would cost more than the counting, and a table of all slots more memory than the words. Whoever gets a part adds
+    its lists up as they come, one part after another, and 2**slot_bits bytes come to the driver, however large the table is."""
     width = (1 << slot_bits) // PARTS
 
+    def lists(held):
+        slots, n = np.unique(np.concatenate(held), return_counts=True)
+        cuts = np.searchsorted(slots, np.arange(PARTS + 1) * width)
+        for part, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:])):
+            if lo < hi:
+                steps = np.diff(slots[lo:hi], prepend=np.uint32(part * width))
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([steps.tobytes()], pa.binary()), pa.array([n[lo:hi].astype(np.uint32).tobytes()], pa.binary())], names=["part", "steps", "counts"])
+
     def count(batches):
-        total = np.zeros(1 << slot_bits, np.uint32)
+        held, n = [], 0
         for batch in batches:
             for _, _, data, offsets in blocks(batch.column(0)):
                 start, end, _ = words(data, offsets)
-                np.add.at(total, (digests(LOWER[data], start, end) >> np.uint64(64 - slot_bits)).astype(np.int64), np.uint32(1))
-        for part in range(PARTS):
-            own = total[part * width : (part + 1) * width]
-            slots = np.flatnonzero(own)
-            if len(slots):
-                steps = np.diff(slots, prepend=0).astype(np.uint32)
-                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([steps.tobytes()], pa.binary()), pa.array([own[slots].tobytes()], pa.binary())], names=["part", "steps", "counts"])
+                held.append((digests(LOWER[data], start, end) >> np.uint64(64 - slot_bits)).astype(np.uint32))
+                n += len(start)
+                if n >= COUNTED_WORDS:
+                    yield from lists(held)
+                    held, n = [], 0
+        if n:
+            yield from lists(held)
+
+    def packed(part, n):
+        out = np.zeros(width, np.uint8)
+        met = np.flatnonzero(n)
+        out[met] = np.minimum(255, 1 + np.floor(8 * np.log2(n[met])))
+        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([out.tobytes()], pa.binary())], names=["part", "codes"])
 
     def pack(batches):
-        sums = {}
+        last, total = None, None
         for batch in batches:
             for part, steps, counts in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                total = sums.setdefault(part, np.zeros(width, np.int64))
+                if part != last:
+                    if last is not None:
+                        yield packed(last, total)
+                    last, total = part, np.zeros(width, np.int64)
                 total[np.cumsum(np.frombuffer(steps, np.uint32), dtype=np.int64)] += np.frombuffer(counts, np.uint32)
-        for part, n in sums.items():
-            out = np.zeros(width, np.uint8)
-            met = np.flatnonzero(n)
-            out[met] = np.minimum(255, 1 + np.floor(8 * np.log2(n[met])))
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([out.tobytes()], pa.binary())], names=["part", "codes"])
+        if last is not None:
+            yield packed(last, total)
 
     spark, codes = df.sparkSession, np.zeros((PARTS, width), np.uint8)
     before = spark.conf.get(BATCH)
     small_batches(spark)  # lists are long
     try:
         counted = df.select("text").mapInArrow(count, "part int, steps binary, counts binary")
-        for r in counted.repartition("part").mapInArrow(pack, "part int, codes binary").collect():  # 2**slot_bits bytes at most
+        for r in counted.repartition("part").sortWithinPartitions("part").mapInArrow(pack, "part int, codes binary").collect():  # 2**slot_bits bytes at most
             codes[r["part"]] = np.frombuffer(r["codes"], np.uint8)
     finally:
         spark.conf.set(BATCH, before)

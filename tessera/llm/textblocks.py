@@ -7,8 +7,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-#: Bytes of text in a block. A pass holds some dozens of bytes for each of them.
-BLOCK = 1 << 19
+#: Bytes of text in a block. A pass holds some dozens of bytes for each of them, which should stay in a core's cache.
+BLOCK = 1 << 17
 SPACE = np.zeros(256, bool)
 SPACE[[32, *range(9, 14)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
