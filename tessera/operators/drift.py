@@ -170,6 +170,7 @@ class Adwin:
     def __init__(self, delta: float = 0.002, buckets: int = 5):
         self.delta, self.buckets = delta, buckets
         self.blocks: list[tuple[int, float, float]] = []  # size, sum, sum of squares about the mean; newest last
+        self.of_size: list[int] = []  # blocks of size 1, 2, 4, ...
 
     @staticmethod
     def _join(a, b):
@@ -177,24 +178,64 @@ class Adwin:
         return n + m, s + t, v + w + (s / n - t / m) ** 2 * n * m / (n + m)
 
     def scan(self, x: np.ndarray) -> np.ndarray:
-        return np.array([self.update(v) for v in x.tolist()], np.int32)
+        out, at, size = np.zeros(len(x), np.int32), 0, 32
+        while at < len(x):
+            span, size = x[at : at + size], min(2 * size, 256)
+            for v, near in zip(span.tolist(), self._near(span).tolist()):
+                self._put(v)
+                at += 1
+                if near and self._cut():
+                    out[at - 1], size = 1, 32
+                    break
+        return out
 
     def update(self, x: float) -> int:
+        self._put(x)
+        return self._cut()
+
+    def _put(self, x: float) -> None:
         self.blocks.append((1, float(x), 0.0))
-        size = 1
+        level, younger = 0, 0
         while True:
-            same = [i for i, b in enumerate(self.blocks) if b[0] == size]
-            if len(same) <= self.buckets:
-                break
-            i = same[0]
+            if level == len(self.of_size):
+                self.of_size.append(0)
+            self.of_size[level] += 1
+            if self.of_size[level] <= self.buckets:
+                return
+            i = len(self.blocks) - younger - self.of_size[level]
             self.blocks[i : i + 2] = [self._join(self.blocks[i], self.blocks[i + 1])]
-            size *= 2
+            self.of_size[level] -= 2
+            younger, level = younger + self.of_size[level], level + 1
+
+    def _cut(self) -> int:
         cut = 0
         while len(self.blocks) > 1 and self._differs():
             self.blocks.pop(0)
+            self.of_size[-1] -= 1
+            while self.of_size and not self.of_size[-1]:
+                self.of_size.pop()
             cut = 1
         return cut
 
+    def _near(self, x: np.ndarray) -> np.ndarray:
+        """Where the window may differ once the next values, up to and with this one, have come and nothing was cut: the bound less what
+        rounding may take, at every end of a block that there is now and at each of the next values. Blocks are only joined until
+        then, so that no other end comes up."""
+        size, part, within = np.array([(0, 0.0, 0.0), *self.blocks]).T
+        n0, total, middle = size.sum(), part.sum(), part.sum() / max(size.sum(), 1)
+        off = x - middle
+        n, d = n0 + np.arange(1, len(x) + 1), total - n0 * middle + np.cumsum(off)
+        squares = within.sum() + (size * (part / np.maximum(size, 1) - middle) ** 2).sum() + np.cumsum(off * off)
+        spread, log = np.maximum(squares / n - (d / n) ** 2, 0)[:, None], np.log(2 * np.log(np.maximum(n, 2)) / self.delta)[:, None]
+        m, s = np.concatenate([size.cumsum()[1:], n[:-1]]), np.concatenate([(part - size * middle).cumsum()[1:], d[:-1]])
+        rest = n[:, None] - m
+        use = (m >= 5) & (rest >= 5)
+        rest[~use] = 1
+        inverse = 1 / m + 1 / rest
+        bound = np.sqrt(2 * spread * log * inverse) + (2 / 3 * log) * inverse
+        apart = np.abs(s / m - (d[:, None] - s) / rest)
+        return (use & ~(apart < bound * (1 - 1e-6) - 1e-9 * abs(middle))).any(axis=1)
+
     def _differs(self) -> bool:
         whole = functools.reduce(self._join, self.blocks)
         n, total = whole[0], whole[1]
