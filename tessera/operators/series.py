@@ -182,36 +182,76 @@ class Segments:
     A candidate for the last cut is the sums before it and the cost up to it. Once another way to here is as cheap without what
     may come, a candidate can go, but only after the shortest segment has passed, as until then no cut may be here."""
 
+    FEW = 16
+
     def __init__(self, cost: str, penalty: float, least: int, spread: float):
         self.cost, self.penalty, self.least, self.spread = cost, penalty, least, spread
         self.t, self.s1, self.s2 = 0, 0.0, 0.0
         self.young = deque([(0, -penalty, 0.0, 0.0)])
-        self.held = np.zeros((5, 0))  # place, cost, sums before it, when it goes
+        self.room, self.n, self.due = np.zeros((5, 64)), 0, math.inf  # place, cost, sums before it, when it goes; how many, and when the next one goes
+        self.few: list[list[float]] | None = [] if cost == "poisson" else None  # the same as lists, while there are so few that arrays cost more
 
     def _costs(self, n, s1, s2):
         if self.cost == "mean":
             return (s2 - s1 * s1 / n) / self.spread
         if self.cost == "meanvar":
             return n * (np.log(2 * np.pi * np.maximum((s2 - s1 * s1 / n) / n, self.spread)) + 1)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            log = np.where(s1 > 0, np.log(s1 / n), 0.0 if self.cost == "poisson" else -np.inf)
-        return 2 * (s1 - s1 * log) if self.cost == "poisson" else 2 * n * (log + 1)
+        some = s1 > 0
+        log = np.log(np.where(some, s1 / n, 1.0))
+        return 2 * (s1 - s1 * log) if self.cost == "poisson" else 2 * n * (np.where(some, log, -np.inf) + 1)
 
     def add(self, x: float) -> tuple[int, float] | None:
         """The last cut and the cost of all up to and with x; None while no segment is long enough."""
         self.t, self.s1, self.s2 = self.t + 1, self.s1 + x, self.s2 + x * x
+        if self.few is not None:
+            if len(self.few) <= self.FEW and math.isfinite(self.s1):
+                return self._add_to_few()
+            self.n, self.due = len(self.few), min((c[4] for c in self.few), default=math.inf)
+            self.room[:, : self.n], self.few = np.array(self.few).reshape(-1, 5).T, None
         while self.young and self.t - self.young[0][0] >= self.least:
-            self.held = np.column_stack([self.held, [*self.young.popleft(), np.inf]])
-        self.held = self.held[:, self.held[4] > self.t]
-        if not self.held.shape[1]:
+            if self.n == self.room.shape[1]:
+                self.room = np.hstack([self.room, np.zeros_like(self.room)])
+            self.room[:, self.n] = (*self.young.popleft(), math.inf)
+            self.n += 1
+        if self.due <= self.t:
+            left = self.room[:, : self.n].compress(self.room[4, : self.n] > self.t, axis=1)
+            self.n = left.shape[1]
+            self.room[:, : self.n] = left
+            self.due = float(left[4].min()) if self.n else math.inf
+        if not self.n:
             return None
-        place, before, a, b, goes = self.held
+        place, before, a, b, goes = self.room[:, : self.n]
         ways = before + self._costs(self.t - place, self.s1 - a, self.s2 - b)
-        i = int(np.argmin(ways))
+        i = int(ways.argmin())
         best = float(ways[i]) + self.penalty
-        self.held[4] = np.where((ways > best) & (goes == np.inf), self.t + self.least, goes)
+        lost = ways > best
+        if lost.any():
+            np.minimum(goes, self.t + self.least, out=goes, where=lost)
+            self.due = min(self.due, self.t + self.least)
         self.young.append((self.t, best, self.s1, self.s2))
-        return int(place[i]), best
+        cut = int(place[i])
+        if self.cost == "poisson" and 2 * self.n <= self.FEW and math.isfinite(self.s1):
+            self.few = self.room[:, : self.n].T.tolist()
+        return cut, best
+
+    def _add_to_few(self) -> tuple[int, float] | None:
+        t, s1 = self.t, self.s1
+        while self.young and t - self.young[0][0] >= self.least:
+            self.few.append([*self.young.popleft(), math.inf])
+        self.few = [c for c in self.few if c[4] > t]
+        if not self.few:
+            return None
+        ways = []
+        for place, before, a, _, _ in self.few:
+            own = s1 - a
+            ways.append(before + 2 * (own - own * (math.log(own / (t - place)) if own > 0 else 0.0)))
+        least = min(ways)
+        best, cut = least + self.penalty, self.few[ways.index(least)][0]
+        for c, way in zip(self.few, ways):
+            if way > best and c[4] == math.inf:
+                c[4] = t + self.least
+        self.young.append((t, best, s1, self.s2))
+        return int(cut), best
 
 
 def _spread(series: DataFrame, by: list[str], cost: str) -> DataFrame:
