@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import BATCH, Marked, group_starts, settled, small_batches, stored, whole_groups
 from tessera.llm.textblocks import LOWER, blocks, digests, mix, runs, words
 
-LINES = "doc_id long, text_id long, line int, n int, hi long, lo long, skip int, parity long, parity2 long, prefix array<long>"
+LINES = "doc_id long, text_id long, line int, n int, hi long, lo long, skip int, parity long, parity2 long, copies int, prefix array<long>"
 PLACE = ["doc_id", "text_id", "line"]
 #: Lines of a bucket that one group holds of either side.
 BLOCK_LINES = 2048
@@ -94,71 +94,85 @@ def rarity(df: DataFrame, slot_bits: int = SLOT_BITS) -> np.ndarray:
     return codes.reshape(-1)
 
 
+def by_line(line: np.ndarray, code: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """The order of words by line, code and digest: by one key of the line, the code and the digest's upper half where that tells
+    all words apart that differ, else by all three."""
+    if line[-1] < 1 << 24:
+        key = line.astype(np.uint64) << np.uint64(40) | code.astype(np.uint64) << np.uint64(32) | h >> np.uint64(32)
+        order = np.argsort(key)
+        key, word = key[order], h[order]
+        if not ((key[1:] == key[:-1]) & (word[1:] != word[:-1])).any():
+            return order
+    return np.lexsort((h, code, line))
+
+
 def line_sets(df: DataFrame, codes: np.ndarray, percent: int, least_words: int) -> DataFrame:
     """For every line of least_words distinct words or more: set size, a digest of 128 bits, and the digests of the prefix
     without its first `skip` words, which occur once in the whole table and so match nothing. Each word flips one of the 128
     bits of `parity` and `parity2`: lines that differ in d words differ in d bits at most. 64 bits would tell nothing of
-    lines of a hundred words. text_id tells texts of one doc_id apart."""
+    lines of a hundred words. text_id tells texts of one doc_id apart. Of equal sets in a batch the first has their number as
+    `copies`, the others have 0 and no prefix."""
     shared = df.sparkSession.sparkContext.broadcast(codes)
     bits = int(np.log2(len(codes)))
 
-    def run(batches):
+    def sets(batch):
         rare = shared.value
+        ids, texts = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 2))
+        for lo, hi, data, offsets in blocks(batch.column(1)):
+            start, end, _ = words(data, offsets)
+            if not len(start):
+                continue
+            h = digests(LOWER[data], start, end)
+            code = rare[(h >> np.uint64(64 - bits)).astype(np.int64)]
+            l0, _, row, number = numbered(data, offsets)
+            line = np.searchsorted(l0, start, "right") - 1
+            order = by_line(line, code, h)
+            h, code, line = h[order], code[order], line[order]
+            new = np.ones(len(h), bool)
+            new[1:] = (h[1:] != h[:-1]) | (line[1:] != line[:-1])
+            h, code, line = h[new], code[new], line[new]
+            first = np.searchsorted(line, np.arange(len(l0) + 1))
+            n = np.diff(first)
+            keep = np.flatnonzero(n >= least_words)
+            if not len(keep):
+                continue
+            n, begin, row, number = n[keep], first[keep], row[keep], number[keep]
+            total = np.zeros((2, len(h) + 1), np.uint64)
+            for i in (0, 1):
+                np.cumsum(mix(h, 201 + i), out=total[i, 1:])
+            upper, lower = (mix(t[begin + n] - t[begin]) for t in total)
+            bit = mix(h, 203)
+            flips = np.zeros((2, len(h) + 1), np.uint64)
+            for i in (0, 1):
+                np.bitwise_xor.accumulate((bit >> np.uint64(6) & np.uint64(1) == i).astype(np.uint64) << (bit & np.uint64(63)), out=flips[i, 1:])
+            parity = [f[begin + n] ^ f[begin] for f in flips]
+            size = n - (percent * n + 99) // 100 + 1
+            size[100 * n < percent * (n + 1)] = 0  # only equal sets match, and those are classes already
+            seen = np.concatenate([[0], np.cumsum(code == 1)])
+            skip = np.minimum(size, seen[begin + size] - seen[begin])
+            left = size - skip
+            at = np.repeat(begin + skip - np.concatenate([[0], np.cumsum(left)[:-1]]), left) + np.arange(left.sum())
+            yield ids[lo:hi][row], texts[lo:hi][row], number, n, upper, lower, skip, *parity, left, h[at]
+
+    def run(batches):
         for batch in batches:
-            ids, texts = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 2))
-            for lo, hi, data, offsets in blocks(batch.column(1)):
-                start, end, _ = words(data, offsets)
-                if not len(start):
-                    continue
-                h = digests(LOWER[data], start, end)
-                code = rare[(h >> np.uint64(64 - bits)).astype(np.int64)]
-                l0, l1 = runs(data != 10, offsets)
-                line = np.searchsorted(l0, start, "right") - 1
-                row = np.searchsorted(offsets, l0, "right") - 1
-                # a line's number counts the newlines before it in its text
-                breaks = np.concatenate([[0], np.cumsum(data == 10)])
-                number = breaks[l0] - breaks[offsets[row]]
-                order = np.lexsort((h, code, line))
-                h, code, line = h[order], code[order], line[order]
-                new = np.ones(len(h), bool)
-                new[1:] = (h[1:] != h[:-1]) | (line[1:] != line[:-1])
-                h, code, line = h[new], code[new], line[new]
-                first = np.searchsorted(line, np.arange(len(l0) + 1))
-                n = np.diff(first)
-                keep = np.flatnonzero(n >= least_words)
-                if not len(keep):
-                    continue
-                n, begin, row, number = n[keep], first[keep], row[keep], number[keep]
-                total = np.zeros((2, len(h) + 1), np.uint64)
-                for i in (0, 1):
-                    np.cumsum(mix(h, 201 + i), out=total[i, 1:])
-                upper, lower = (mix(t[begin + n] - t[begin]) for t in total)
-                bit = mix(h, 203)
-                flips = np.zeros((2, len(h) + 1), np.uint64)
-                for i in (0, 1):
-                    np.bitwise_xor.accumulate((bit >> np.uint64(6) & np.uint64(1) == i).astype(np.uint64) << (bit & np.uint64(63)), out=flips[i, 1:])
-                parity = [f[begin + n] ^ f[begin] for f in flips]
-                size = n - (percent * n + 99) // 100 + 1
-                size[100 * n < percent * (n + 1)] = 0  # only equal sets match, and those are classes already
-                seen = np.concatenate([[0], np.cumsum(code == 1)])
-                skip = np.minimum(size, seen[begin + size] - seen[begin])
-                left = size - skip
-                at = np.repeat(begin + skip - np.concatenate([[0], np.cumsum(left)[:-1]]), left) + np.arange(left.sum())
-                lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(left)]).astype(np.int32), h[at].view(np.int64))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(ids[lo:hi][row], pa.int64()),
-                        pa.array(texts[lo:hi][row], pa.int64()),
-                        pa.array(number, pa.int32()),
-                        pa.array(n, pa.int32()),
-                        pa.array(upper.view(np.int64)),
-                        pa.array(lower.view(np.int64)),
-                        pa.array(skip, pa.int32()),
-                        *(pa.array(p.view(np.int64)) for p in parity),
-                        lists,
-                    ],
-                    names=[x.split()[0] for x in LINES.split(", ")],
-                )
+            parts = list(sets(batch))
+            if not parts:
+                continue
+            doc, text, line, n, upper, lower, skip, parity, parity2, left, prefix = map(np.concatenate, zip(*parts))
+            copies = np.ones(len(doc), np.int32)
+            order = np.argsort(upper)
+            equal = upper[order[1:]] == upper[order[:-1]]
+            order = order[np.append(equal, False) | np.insert(equal, 0, False)]
+            order = order[np.lexsort((line[order], text[order], doc[order], lower[order], upper[order]))]
+            if len(order):
+                first = group_starts(upper[order], lower[order])
+                copies[order] = 0
+                copies[order[first[:-1]]] = np.diff(first)
+                prefix, left = prefix[np.repeat(copies > 0, left)], np.where(copies > 0, left, 0)
+            ends = np.concatenate([[0], np.cumsum(left)]).astype(np.int32)
+            columns = [doc, text, line.astype(np.int32), n.astype(np.int32), upper.view(np.int64), lower.view(np.int64), skip.astype(np.int32), parity.view(np.int64), parity2.view(np.int64), copies]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.ListArray.from_arrays(ends, prefix.view(np.int64))], names=[x.split()[0] for x in LINES.split(", ")])
 
     return df.select(F.col("doc_id").cast("long"), "text", text_id()).filter(F.col("doc_id").isNotNull()).mapInArrow(run, LINES)
 
@@ -174,20 +188,18 @@ def line_words(df: DataFrame, wanted: Marked) -> DataFrame:
         for batch in batches:
             ids, texts = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 2))
             for lo, hi, data, offsets in blocks(batch.column(1)):
-                start, end, _ = words(data, offsets)
-                l0, _ = runs(data != 10, offsets)
-                row = np.searchsorted(offsets, l0, "right") - 1
-                breaks = np.concatenate([[0], np.cumsum(data == 10)])
-                number = breaks[l0] - breaks[offsets[row]]
+                l0, l1, row, number = numbered(data, offsets)
                 doc, text = ids[lo:hi][row], texts[lo:hi][row]
-                use = wanted.holds(text ^ (doc << 3) ^ (number.astype(np.int64) << 17))
-                line = np.searchsorted(l0, start, "right") - 1
-                inside = use[line]
-                start, end, line = start[inside], end[inside], line[inside]
+                use = np.flatnonzero(wanted.holds(text ^ (doc << 3) ^ (number.astype(np.int64) << 17)))
+                doc, text, number, l0, size = doc[use], text[use], number[use], l0[use], (l1 - l0)[use]
+                ends = np.concatenate([[0], np.cumsum(size)])
+                data = data[np.repeat(l0 - ends[:-1], size) + np.arange(ends[-1])]  # these lines alone
+                start, end, _ = words(data, ends)
                 if not len(start):
                     continue
+                line = np.searchsorted(ends, start, "right") - 1
                 h = digests(LOWER[data], start, end)
-                order = np.lexsort((h, line))
+                order = by_line(line, np.zeros(len(h), np.uint8), h)
                 h, line = h[order], line[order]
                 new = np.ones(len(h), bool)
                 new[1:] = (h[1:] != h[:-1]) | (line[1:] != line[:-1])
@@ -201,6 +213,14 @@ def line_words(df: DataFrame, wanted: Marked) -> DataFrame:
     return rows.select(F.struct(*PLACE).alias("place"), "words").dropDuplicates(["place"])
 
 
+def numbered(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end, row and number of each line that isn't empty: the number counts the newlines before it in its text."""
+    start, end = runs(data != 10, offsets)
+    row = np.searchsorted(offsets, start, "right") - 1
+    breaks = np.flatnonzero(data == 10)
+    return start, end, row, np.searchsorted(breaks, start) - np.searchsorted(breaks, offsets)[row]
+
+
 def place_key(place: str) -> Column:
     return F.expr(f"{place}.text_id ^ shiftleft({place}.doc_id, 3) ^ shiftleft(cast({place}.line as long), 17)")
 
@@ -351,18 +371,15 @@ def later_lines(df: DataFrame, percent: int = 80, least_words: int = 5) -> DataF
 
     place = F.struct(*PLACE)
 
-    def tables():
+    def build() -> DataFrame:
         lines = stored(line_sets(df, rarity(df), percent, least_words), "lines")
-        reps = lines.groupBy("hi", "lo").agg(F.min(place).alias("place"), F.count("*").alias("copies"), *(F.first(c).alias(c) for c in ("n", "skip", "parity", "parity2", "prefix")))
+        # equal sets of a batch are one row by now: rows are dealt and sorted once, and not counted before they are dealt
+        reps = lines.filter("copies > 0").repartition("hi", "lo").groupBy("hi", "lo").agg(F.min(place).alias("place"), F.sum("copies").alias("copies"), *(F.first(c).alias(c) for c in ("n", "skip", "parity", "parity2", "prefix")))
         reps = stored(reps, "line-classes")
-        tokens = live_tokens(reps.filter("size(prefix) > 0"), percent)
-        return lines.select(*PLACE, "hi", "lo"), reps.select("hi", "lo", "place", "copies"), tokens
-
-    def build() -> DataFrame:
-        lines, classes, tokens = settled(df.sparkSession, "lines", tables)
+        tokens = stored(live_tokens(reps.filter("size(prefix) > 0"), percent), "line-live-tokens")
         links = earliest_links(df, tokens, percent)
-        classes = classes.join(links.withColumnRenamed("y", "place"), "place", "left").filter("copies > 1 OR x IS NOT NULL")
-        found = lines.join(classes.select("hi", "lo", "place", "x"), ["hi", "lo"]).withColumn("m", F.when(place != F.col("place"), F.col("place")).otherwise(F.col("x")))
+        classes = reps.select("hi", "lo", "place", "copies").join(links.withColumnRenamed("y", "place"), "place", "left").filter("copies > 1 OR x IS NOT NULL")
+        found = lines.select(*PLACE, "hi", "lo").join(classes.select("hi", "lo", "place", "x"), ["hi", "lo"]).withColumn("m", F.when(place != F.col("place"), F.col("place")).otherwise(F.col("x")))
         return found.filter("m IS NOT NULL").select(*PLACE, F.col("m.doc_id").alias("match_doc_id"), F.col("m.line").alias("match_line"))
 
     return settled(df.sparkSession, "lines-later", build)

@@ -8,7 +8,8 @@ from tessera.llm.linejoin import later_lines, text_id
 
 def _removed(docs, gone):
     gone = gone.groupBy("doc_id", "text_id").agg(F.sort_array(F.collect_set(F.col("line").cast("long"))).alias("removed"), F.min("match_doc_id").alias("first_match"))
-    rows = docs.select(F.col("doc_id").cast("long"), text_id(), F.when(F.length("text") > 0, F.size(F.split("text", "\n"))).otherwise(0).cast("long").alias("n_lines"))
+    n_lines = F.when(F.octet_length("text") > 0, F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).otherwise(0).cast("long")
+    rows = docs.select(F.col("doc_id").cast("long"), text_id(), n_lines.alias("n_lines"))
     rows = rows.join(gone, ["doc_id", "text_id"], "left").withColumn("removed", F.coalesce("removed", F.array().cast("array<bigint>")))
     return rows.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), "removed", "first_match")
 
