@@ -18,6 +18,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import kept
+
 #: Words kept by one worker (twice as many at most), none of them longer than this many characters: workers outlive their
 #: tasks, and what they keep is missing to the next ones.
 CACHE_WORDS, CACHE_LENGTH = 50_000, 64
@@ -202,13 +204,8 @@ class WordBpe:
         return " ".join(map(self.texts.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-_loaded: dict[str, WordBpe] = {}
-
-
 def loaded(path: str) -> WordBpe:
-    if path not in _loaded:
-        _loaded[path] = WordBpe(path)
-    return _loaded[path]
+    return kept(path, lambda: WordBpe(path))
 
 
 def encode_column(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", ids: bool = False) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import BATCH, Marked, group_starts, settled, small_batches, stored, whole_groups
+from tessera.llm.common import BATCH, Marked, group_starts, let_go, settled, small_batches, stored, whole_groups
 from tessera.llm.textblocks import LOWER, blocks, digests, mix, runs, words
 
 LINES = "doc_id long, text_id long, line int, n int, hi long, lo long, skip int, parity long, parity2 long, copies int, prefix array<long>"
@@ -52,6 +52,7 @@ def rarity(df: DataFrame, slot_bits: int = SLOT_BITS) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([steps.tobytes()], pa.binary()), pa.array([n[lo:hi].astype(np.uint32).tobytes()], pa.binary())], names=["part", "steps", "counts"])
 
     def count(batches):
+        let_go()
         held, n = [], 0
         for batch in batches:
             for _, _, data, offsets in blocks(batch.column(0)):
@@ -155,6 +156,7 @@ def line_sets(df: DataFrame, codes: np.ndarray, percent: int, least_words: int)
             yield ids[lo:hi][row], texts[lo:hi][row], number, n, upper, lower, skip, *parity, left, h[at]
 
     def run(batches):
+        let_go()
         for batch in batches:
             parts = list(sets(batch))
             if not parts:
